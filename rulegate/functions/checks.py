@@ -1,45 +1,39 @@
-"""Rules as column expressions: per rule one typed value column and one error column.
+"""Rules as column expressions: per rule one typed value, per row one verdict, messages on demand.
 
-The work is laid out as a few consecutive projections, each adding one step for all rules: raw text,
-text after the missing test, parse candidates, typed value, error. Spark keeps them apart wherever a
-result is used twice, so no cell is matched or cast more than once, and every step stays a small
-generated method the JVM can compile.
+The work is laid out as a few consecutive projections, each adding one step for all rules: trimmed
+text, text after the missing test, parse results, typed value, verdict. Spark keeps them apart wherever
+a result is used twice, so no cell is matched or cast more than once. Messages are built from what the
+steps leave behind, and only for rejected rows.
 """
 
 from __future__ import annotations
 
+import datetime
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rulegate.functions import numbers
 from rulegate.functions.layouts import readers
-from rulegate.functions.text import is_missing, lower_text, quote_text, trim_cell
+from rulegate.functions.text import may_hold_other_space, is_missing, lower_text, quote_text, trim_cell
 from rulegate.rules import COLUMN_TYPES, Rule, Rules
 
-VALUE, ERROR = "__value{}", "__error{}"
+# Rules checked per stretch of generated code. Their joint code has to stay below the method size the
+# JVM still compiles (8,000 bytes); beyond it rows are interpreted, several times slower.
+GROUP = 5
 
 
 def value_name(i: int) -> str:
-    return VALUE.format(i)
+    return f"__value{i}"
 
 
-def error_name(i: int) -> str:
-    return ERROR.format(i)
-
-
-def raw_text(rule: Rule, cell: Column | None) -> Column:
+def raw_text(rule: Rule, cell: Column, other_space: Column) -> Column:
     """Override, else trimmed cell, else blank; then whole-value replacement."""
     if rule.override is not None:
         raw = F.lit(rule.override)
-    elif cell is None:
-        raw = F.lit("")
     else:
-        raw = F.coalesce(trim_cell(cell), F.lit(""))
-    return replaced(rule, raw)
-
-
-def replaced(rule: Rule, raw: Column) -> Column:
+        raw = F.coalesce(F.when(other_space, trim_cell(cell)).otherwise(F.trim(cell)), F.lit(""))
     if not rule.replace:
         return raw
     looked_up = lower_text(raw) if rule.lower else raw
@@ -54,145 +48,215 @@ def present_text(rule: Rule, raw: Column) -> Column:
     return F.when(missing, F.lit(rule.default if usable_default else None)).otherwise(raw)
 
 
-def candidates(rule: Rule, text: Column) -> list[Column]:
-    """First parse step, kept as columns because value and error both look at them."""
+def rule_readers(rule: Rule):
+    return readers(rule.layouts, rule.type == "date") if rule.type in ("date", "datetime") else []
+
+
+def first_parse(rule: Rule, text: Column) -> list[Column]:
+    """Parse results kept as columns because value and verdict both look at them."""
     if rule.type == "int":
         return [numbers.to_long_exact(text)]
-    if rule.type in ("date", "datetime"):
-        return [r.rewrite(text) for r in readers(rule.layouts, rule.type == "date")]
-    return []
+    if rule.type == "float":
+        return [numbers.to_double(text)]
+    return [r.rewrite(text) for r in rule_readers(rule)[:1]]
 
 
-def second_candidates(rule: Rule, text: Column, first: list[Column]) -> list[Column]:
-    """For `int`: the double behind text that is not a plain 64-bit whole number."""
+def second_parse(rule: Rule, text: Column, first: list[Column]) -> list[Column]:
+    """Parse results only needed where the first one says so."""
     if rule.type == "int":
         return [F.when(first[0].isNull(), numbers.to_double(text))]
-    return []
+    leading, *others = rule_readers(rule) or [None]
+    return [
+        F.when(first[0] == text, r.rewrite(text)) if leading.excludes(r) else r.rewrite(text) for r in others
+    ]
 
 
 def typed_value(rule: Rule, text: Column, first: list[Column], second: list[Column]) -> Column:
     if rule.type == "string":
         return lower_text(text) if rule.lower else text
     if rule.type == "float":
-        return numbers.to_double(text)
+        return numbers.without_overflow(first[0], text)
     if rule.type == "int":
         return F.coalesce(first[0], numbers.double_to_long(second[0]))
-    chain = [r.value(c, text) for r, c in zip(readers(rule.layouts, rule.type == "date"), first)]
-    return F.coalesce(*chain)
+    return F.coalesce(*[r.value(c, text) for r, c in zip(rule_readers(rule), first + second)])
 
 
-def error_message(rule: Rule, text: Column, value: Column, second: list[Column]) -> Column:
-    """The first broken condition of a rule as a message, NULL when the cell is fine."""
-    found: list[tuple[Column, Column]] = []
-
-    def broken(condition: Column, *message: Column | str) -> None:
-        parts = [F.lit(m) if isinstance(m, str) else m for m in message]
-        found.append((condition, F.concat(*parts) if len(parts) > 1 else parts[0]))
+def conditions(rule: Rule, text: Column, value: Column, second: list[Column]) -> list[tuple]:
+    """What can be wrong with a cell, in order: condition, message start, quoted text or None, message end.
 
+    Every condition is true or false, never NULL.
+    """
+    found: list[tuple] = []
     if rule.exclude_if_missing:
-        broken(text.isNull(), "missing value excluded by rule")
+        found.append((text.isNull(), "missing value excluded by rule", None, ""))
     elif rule.required and rule.default is None:
-        broken(text.isNull(), "value is required")
+        found.append((text.isNull(), "value is required", None, ""))
     if rule.type == "string":
         if rule.min_length > 0:
-            broken(F.octet_length(value) < rule.min_length, f"min_length={rule.min_length} violated")
+            short = F.coalesce(F.octet_length(value) < rule.min_length, F.lit(False))
+            found.append((short, f"min_length={rule.min_length} violated", None, ""))
         if rule.allowed:
-            broken(~value.isin(list(rule.allowed)), "value ", quote_text(value), " not in allowed_values")
-    elif rule.type == "int":
-        unreadable = value.isNull() & text.isNotNull()
-        broken(unreadable & numbers.has_fraction(second[0]), "invalid int (fractional): ", quote_text(text))
-        broken(unreadable, "invalid int: ", quote_text(text))
-        if rule.non_zero:
-            broken(value == 0, "must be non-zero")
+            known = F.coalesce(value.isin(list(rule.allowed)), F.lit(True))
+            found.append((~known, "value ", value, " not in allowed_values"))
+        return found
+    unreadable = value.isNull() & text.isNotNull()
+    if rule.type == "int":
+        fraction = F.coalesce(numbers.has_fraction(second[0]), F.lit(False))
+        found.append((unreadable & fraction, "invalid int (fractional): ", text, ""))
+    found.append((unreadable, f"invalid {rule.type}: ", text, ""))
+    if rule.non_zero and rule.type == "int":
+        found.append((F.coalesce(value, F.lit(1)) == 0, "must be non-zero", None, ""))
+    return found
+
+
+def is_wrong(rule: Rule, text: Column, value: Column) -> Column:
+    """Whether any condition of a rule is broken: the cheap verdict every row gets."""
+    if rule.type != "string" and (rule.exclude_if_missing or (rule.required and rule.default is None)):
+        verdict = value.isNull()  # unreadable or missing
     else:
-        broken(value.isNull() & text.isNotNull(), f"invalid {rule.type}: ", quote_text(text))
-    if not found:
-        return F.lit(None).cast("string")
-    chain = F
-    for condition, message in found:
-        chain = chain.when(condition, message)
+        verdict = None
+        for condition, *_ in conditions(rule, text, value, [F.lit(0.0)]):
+            verdict = condition if verdict is None else verdict | condition
+    if rule.non_zero and rule.type == "int":
+        verdict = verdict | (F.coalesce(value, F.lit(1)) == 0)
+    return F.lit(False) if verdict is None else verdict
+
+
+def first_error(rule: Rule, text: Column, value: Column, second: list[Column]) -> Column:
+    """Parts of the first broken condition's message, NULL when the cell is fine."""
+    chain = F.when(F.lit(False), _parts(rule, "", None, ""))
+    for condition, start, quoted, end in conditions(rule, text, value, second):
+        chain = chain.when(condition, _parts(rule, start, quoted, end))
     return chain
 
 
-def with_checks(df: DataFrame, rules: Rules, cells: dict[str, Column], keep: list[str]) -> DataFrame:
-    """`keep` columns of `df` plus `__value<i>` and `__error<i>` for every rule.
-
-    `cells` maps trimmed header names to columns of `df`; rules without an entry see a blank cell.
-    """
-    fields = list(enumerate(rules.fields))
-
-    def step(frame: DataFrame, build) -> DataFrame:
-        return frame.select(*keep, *[c.alias(name) for i, rule in fields for name, c in build(i, rule)])
-
-    def have(kind: str, i: int, count: int) -> list[Column]:
-        return [F.col(f"__{kind}{i}_{n}") for n in range(count)]
-
-    def carry(i: int, *names: str):
-        return [(name, F.col(name)) for name in names]
+def _parts(rule: Rule, start: str, quoted: Column | None, end: str) -> Column:
+    text = F.lit(None).cast("string") if quoted is None else quoted
+    return F.struct(
+        F.lit(rule.name).alias("field"), F.lit(start).alias("start"), text.alias("text"), F.lit(end).alias("end")
+    )
 
-    sizes: dict[int, tuple[int, int]] = {}
-    for i, rule in fields:
-        first = candidates(rule, F.lit(""))
-        sizes[i] = (len(first), len(second_candidates(rule, F.lit(""), first)))
 
-    def texts(i, rule):
-        return [(f"__text{i}", present_text(rule, F.col(f"__raw{i}")))]
+def text_name(i: int) -> str:
+    return f"__text{i}"
 
-    def firsts(i, rule):
-        made = candidates(rule, F.col(f"__text{i}"))
-        return carry(i, f"__text{i}") + [(f"__first{i}_{n}", c) for n, c in enumerate(made)]
 
-    def seconds(i, rule):
-        first = have("first", i, sizes[i][0])
-        made = second_candidates(rule, F.col(f"__text{i}"), first)
-        kept = [f"__first{i}_{n}" for n in range(sizes[i][0])]
-        return carry(i, f"__text{i}", *kept) + [(f"__second{i}_{n}", c) for n, c in enumerate(made)]
+def with_checks(df: DataFrame, rules: Rules, cells: dict[str, Column], keep: list[str]) -> DataFrame:
+    """`keep` columns of `df`, per rule its text and value, and the verdict `__ok` of the row.
 
-    def values(i, rule):
-        first, second = have("first", i, sizes[i][0]), have("second", i, sizes[i][1])
-        kept = [f"__second{i}_{n}" for n in range(sizes[i][1])]
-        return carry(i, f"__text{i}", *kept) + [
-            (value_name(i), typed_value(rule, F.col(f"__text{i}"), first, second))
+    `cells` maps trimmed header names to columns of `df`; rules without an entry see a blank cell.
+    """
+    sources = {
+        i: cells[r.name] for i, r in enumerate(rules.fields) if r.override is None and r.name in cells
+    }
+    every_cell = F.concat_ws("", *[F.col(f"__cell{i}") for i in sources])
+    frame = df.select(*keep, *[c.alias(f"__cell{i}") for i, c in sources.items()])
+    frame = frame.select("*", may_hold_other_space(every_cell).alias("__other_space"), F.lit(True).alias("__ok"))
+
+    done: list[str] = []
+    numbered = list(enumerate(rules.fields))
+    groups = [numbered[at : at + GROUP] for at in range(0, len(numbered), GROUP)]
+    for position, group in enumerate(groups):
+        waiting = [f"__cell{i}" for later in groups[position + 1 :] for i, _ in later if i in sources]
+        carried = [*keep, *done, *waiting, *(["__other_space"] if waiting else [])]
+        if position:
+            # a counter between the groups makes Spark generate code for each group by itself
+            frame = frame.observe(f"rulegate-group-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"))
+        frame, made = _check_group(frame, group, sources, carried)
+        done += made
+    return frame.select(*keep, *done, "__ok")
+
+
+def _check_group(
+    frame: DataFrame, group: list[tuple[int, Rule]], sources: dict[int, Column], carried: list[str]
+) -> tuple[DataFrame, list[str]]:
+    """All steps for a few rules; returns the frame and the names of the columns it adds."""
+    blank = F.lit("")
+
+    def columns(names: list[str]) -> list[Column]:
+        return [F.col(name) for name in names]
+
+    def parse_names(i: int, rule: Rule) -> tuple[list[str], list[str]]:
+        first = first_parse(rule, blank)
+        second = second_parse(rule, blank, first)
+        return [f"__first{i}_{n}" for n in range(len(first))], [f"__second{i}_{n}" for n in range(len(second))]
+
+    firsts, seconds = {}, {}
+    for i, rule in group:
+        firsts[i], seconds[i] = parse_names(i, rule)
+    texts = [text_name(i) for i, _ in group]
+    all_firsts = [name for i, _ in group for name in firsts[i]]
+    all_seconds = [name for i, _ in group for name in seconds[i]]
+    kept_seconds = [name for i, r in group if r.type == "int" for name in seconds[i]]
+
+    def cell(i: int) -> Column:
+        return F.col(f"__cell{i}") if i in sources else blank
+
+    passing = [*carried, "__ok"]
+    frame = frame.select(
+        *passing, *[raw_text(r, cell(i), F.col("__other_space")).alias(f"__raw{i}") for i, r in group]
+    )
+    frame = frame.select(
+        *passing, *[present_text(r, F.col(f"__raw{i}")).alias(text_name(i)) for i, r in group]
+    )
+    first_columns = [
+        c.alias(name) for i, r in group for name, c in zip(firsts[i], first_parse(r, F.col(text_name(i))))
+    ]
+    frame = frame.select(*passing, *texts, *first_columns)
+    if all_seconds:
+        second_columns = [
+            c.alias(name)
+            for i, r in group
+            for name, c in zip(seconds[i], second_parse(r, F.col(text_name(i)), columns(firsts[i])))
         ]
+        frame = frame.select(*passing, *texts, *all_firsts, *second_columns)
+    value_columns = [
+        typed_value(r, F.col(text_name(i)), columns(firsts[i]), columns(seconds[i])).alias(value_name(i))
+        for i, r in group
+    ]
+    frame = frame.select(*passing, *texts, *kept_seconds, *value_columns)
+    verdicts = [~is_wrong(r, F.col(text_name(i)), F.col(value_name(i))) for i, r in group]
+    made = [*texts, *kept_seconds, *[value_name(i) for i, _ in group]]
+    ok = reduce(lambda a, b: a & b, [F.col("__ok"), *verdicts])
+    return frame.select(*carried, *made, ok.alias("__ok")), made
 
-    def errors(i, rule):
-        message = error_message(
-            rule, F.col(f"__text{i}"), F.col(value_name(i)), have("second", i, sizes[i][1])
-        )
-        return carry(i, value_name(i)) + [(error_name(i), message)]
 
-    frame = step(df, lambda i, rule: [(f"__raw{i}", raw_text(rule, cells.get(rule.name)))])
-    for build in (texts, firsts, seconds, values, errors):
-        frame = step(frame, build)
-    return frame
+def first_errors(rules: Rules) -> Column:
+    """Array with one entry per rule, NULL where it is fine, from the columns `with_checks` leaves."""
+    entries = [
+        first_error(
+            r,
+            F.col(text_name(i)),
+            F.col(value_name(i)),
+            [F.col(f"__second{i}_0")] if r.type == "int" else [],
+        )
+        for i, r in enumerate(rules.fields)
+    ]
+    return F.array(*entries)
 
 
-def no_errors(rules: Rules) -> Column:
-    """True for rows every rule accepts."""
-    return reduce(lambda a, b: a & b, [F.col(error_name(i)).isNull() for i in range(len(rules.fields))])
+def message(entry: Column) -> Column:
+    return F.concat(entry["start"], F.coalesce(quote_text(entry["text"]), F.lit("")), entry["end"])
 
 
 def rendered_errors(rules: Rules) -> Column:
     """All messages of a row as one text, in rule order."""
-    parts = [F.concat(F.lit(r.name + ": "), F.col(error_name(i))) for i, r in enumerate(rules.fields)]
-    return F.concat_ws(" | ", *parts)
+    texts = F.transform(first_errors(rules), lambda e: F.concat(e["field"], F.lit(": "), message(e)))
+    return F.array_join(texts, " | ")
 
 
 def listed_errors(rules: Rules) -> Column:
-    """All messages of a row as an array of (field, msg), in rule order."""
-    entries = [
-        F.when(
-            F.col(error_name(i)).isNotNull(),
-            F.struct(F.lit(r.name).alias("field"), F.col(error_name(i)).alias("msg")),
-        )
-        for i, r in enumerate(rules.fields)
-    ]
-    return F.array_compact(F.array(*entries))
+    """Messages of a row as an array of (field, msg) in rule order, with NULL for rules that are fine."""
+    return F.transform(
+        first_errors(rules),
+        lambda e: F.when(e.isNotNull(), F.struct(e["field"].alias("field"), message(e).alias("msg"))),
+    )
 
 
 def typed_columns(rules: Rules) -> list[Column]:
     """Output columns of accepted rows; required rules become non-nullable."""
-    stand_in = {"string": "", "float": 0.0, "int": 0, "date": "1970-01-01", "datetime": "1970-01-01"}
+    epoch = datetime.datetime(1970, 1, 1, tzinfo=datetime.timezone.utc)
+    stand_in = {"string": "", "float": 0.0, "int": 0, "date": epoch.date(), "datetime": epoch}
     columns = []
     for i, r in enumerate(rules.fields):
         c = F.col(value_name(i))

@@ -130,9 +130,8 @@ def parse_layout(layout: str) -> Layout:
 
 
 def _can_share(a: Layout, b: Layout, date_only: bool) -> bool:
-    """Same calendar order, and for a datetime the same clock elements apart from fraction and zone."""
-    optional = {"fraction", "zone"}
-    clock = date_only or set(a.groups) - optional == set(b.groups) - optional
+    """Same calendar order, and for a datetime the same clock elements (a fraction may be absent)."""
+    clock = date_only or set(a.groups) - {"fraction"} == set(b.groups) - {"fraction"}
     return a.numeric and b.numeric and a.order == b.order and "year" in a.order and clock
 
 
@@ -153,8 +152,13 @@ class Reader:
 
     pattern: str
     slots: dict[str, str]  # element -> replacement text naming its capture groups
+    order: tuple[str, ...]  # calendar elements, empty when a two-digit year or a name is involved
     date_only: bool
 
+    def excludes(self, other: Reader) -> bool:
+        """No text matches both readers with different calendar days."""
+        return bool(self.order) and self.order == other.order
+
     @property
     def extras(self) -> list[str]:
         """Elements Spark's cast cannot read in place; they travel behind the moment."""
@@ -230,5 +234,6 @@ def readers(layouts: tuple[str, ...], date_only: bool) -> list[Reader]:
                 slots[element] = slots.get(element, "") + f"${i}"
             offset += len(layout.groups)
         pattern = "^(?:" + "|".join(layout.pattern for layout in bundle) + r")\z"
-        result.append(Reader(pattern, slots, date_only))
+        fixed = bundle[0].numeric and "year" in bundle[0].order
+        result.append(Reader(pattern, slots, bundle[0].order if fixed else (), date_only))
     return result

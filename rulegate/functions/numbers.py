@@ -4,30 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Accepted number spellings.
-DECIMAL = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"
-HEXADECIMAL = r"^[+-]?0[xX](?:[0-9a-fA-F]+\.?[0-9a-fA-F]*|\.[0-9a-fA-F]+)[pP][+-]?[0-9]+\z"
+# Accepted number spellings. Underscores may only stand between digits (in hexadecimal
+# numbers also after the prefix); the look-ahead rejects all others before the digits are read.
 INTEGER = r"^[+-]?[0-9]+\z"
-INFINITIES = ["inf", "+inf", "-inf", "infinity", "+infinity", "-infinity"]
-
-# An underscore may only stand between two digits (or after a hexadecimal prefix).
-STRAY_UNDERSCORE = r"(?:^|[^0-9])_|_(?:[^0-9]|\z)"
-STRAY_UNDERSCORE_HEX = r"(?:^|[^0-9a-fA-FxX])_|_(?:[^0-9a-fA-F]|\z)"
+DECIMAL = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
+SPACED_DECIMAL = (
+    r"(?!.*(?:[^0-9]_|_[^0-9]|_\z))[+-]?(?:[0-9][0-9_]*\.?[0-9_]*|\.[0-9][0-9_]*)(?:[eE][+-]?[0-9][0-9_]*)?"
+)
+HEXADECIMAL = (
+    r"(?!.*(?:[^0-9a-fA-FxX]_|_[^0-9a-fA-F]|_\z))[+-]?0[xX](?=_?\.?[0-9a-fA-F])"
+    r"[0-9a-fA-F_]*\.?[0-9a-fA-F_]*[pP][+-]?[0-9][0-9_]*"
+)
+SPECIAL = r"[+-]?(?i:inf|infinity)|(?i:nan)"
+NUMBER = rf"^(?:{DECIMAL}|{SPECIAL}|{SPACED_DECIMAL}|{HEXADECIMAL})\z"
 
 TWO_POW_63 = float(2**63)
 
 
 def to_double(c: Column) -> Column:
-    """Double, or NULL for bad syntax and for finite text too large for a double."""
-    bare = F.replace(c, F.lit("_"))
-    parsed = bare.try_cast("double")
-    in_range = F.when(F.abs(parsed) < float("inf"), parsed)
-    return (
-        F.when(c.rlike(DECIMAL), in_range)
-        .when(F.lower(c).isin(INFINITIES + ["nan"]), F.lower(c).try_cast("double"))
-        .when(bare.rlike(DECIMAL) & ~c.rlike(STRAY_UNDERSCORE), in_range)
-        .when(bare.rlike(HEXADECIMAL) & ~c.rlike(STRAY_UNDERSCORE_HEX), in_range)
-    )
+    """Double, or NULL for bad syntax. Finite text beyond the double range gives infinity here."""
+    return F.when(c.rlike(NUMBER), F.replace(c, F.lit("_")).try_cast("double"))
+
+
+def without_overflow(f: Column, c: Column) -> Column:
+    """The double `f` read from `c`, NULL when it is infinite but spelled with digits."""
+    return F.when(~((F.abs(f) == float("inf")) & c.rlike("[0-9]")), f)
 
 
 def to_long_exact(c: Column) -> Column:
@@ -37,11 +38,9 @@ def to_long_exact(c: Column) -> Column:
 
 def double_to_long(f: Column) -> Column:
     """A double without fraction inside the 64-bit range, else NULL."""
-    return F.when(
-        (f % F.lit(1.0) == 0) & (f >= F.lit(-TWO_POW_63)) & (f < F.lit(TWO_POW_63)), f.try_cast("bigint")
-    )
+    return F.when((f % 1.0 == 0) & (f >= -TWO_POW_63) & (f < TWO_POW_63), f.try_cast("bigint"))
 
 
 def has_fraction(f: Column) -> Column:
     """True for fractional values, infinities and NaN."""
-    return f % F.lit(1.0) != 0
+    return f % 1.0 != 0

@@ -24,6 +24,8 @@ NAMED_ESCAPES = {
 UNSAFE_IN_FILE_NAMES = "/\\\x00"
 
 LONGEST_MISSING_WORD = max(len(w) for w in MISSING_WORDS)
+MISSING = "^(?i:" + "|".join(MISSING_WORDS) + r")\z"
+NOT_PRINTABLE_ASCII = "[^ -~]"
 
 
 def trim_cell(c: Column) -> Column:
@@ -36,15 +38,18 @@ def lower_text(c: Column) -> Column:
     return F.lower(F.replace(F.replace(c, F.lit("İ"), F.lit("i")), F.lit("Σ"), F.lit("σ")))
 
 
+def may_hold_other_space(c: Column) -> Column:
+    """False when the text is printable ASCII, so the plain space is the only white space in it."""
+    return c.rlike(NOT_PRINTABLE_ASCII)
+
+
 def is_missing(c: Column, trimmed: bool = False) -> Column:
     """True for blank text and the null-like words in any case.
 
-    With `trimmed` the caller vouches that `c` has no outer white space; long cells then skip the
-    lower-casing.
+    With `trimmed` the caller vouches that `c` has no outer white space.
     """
-    if trimmed:
-        return (F.octet_length(c) <= LONGEST_MISSING_WORD) & F.lower(c).isin(MISSING_WORDS)
-    return F.lower(trim_cell(c)).isin(MISSING_WORDS)
+    text = c if trimmed else trim_cell(c)
+    return (F.octet_length(text) <= LONGEST_MISSING_WORD) & text.rlike(MISSING)
 
 
 def quote_text(c: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, functions as F
@@ -24,19 +25,17 @@ class Validation:
 
     def valid(self, *keep: str) -> DataFrame:
         """Typed columns in rule order, after the kept columns asked for."""
-        good = self.checked.filter(checks.no_errors(self.rules))
-        return good.select(*keep, *checks.typed_columns(self.rules))
+        return self.checked.filter("__ok").select(*keep, *checks.typed_columns(self.rules))
 
     def invalid(self, *keep: str) -> DataFrame:
         """Kept columns (all by default) and `__errors` of the rejected rows."""
-        bad = self.checked.filter(~checks.no_errors(self.rules))
-        return bad.select(*(keep or self.keep), checks.rendered_errors(self.rules).alias("__errors"))
+        errors = checks.rendered_errors(self.rules).alias("__errors")
+        return self.checked.filter("NOT __ok").select(*(keep or self.keep), errors)
 
     def error_rows(self, *keep: str) -> DataFrame:
         """One row per error: kept columns, `field`, `msg`."""
-        bad = self.checked.filter(~checks.no_errors(self.rules))
-        listed = bad.select(*keep, F.explode(checks.listed_errors(self.rules)).alias("__entry"))
-        return listed.select(*keep, "__entry.field", "__entry.msg")
+        entries = F.inline(checks.listed_errors(self.rules))
+        return self.checked.filter("NOT __ok").select(*keep, entries).filter("msg IS NOT NULL")
 
     def error_profile(self) -> DataFrame:
         """How often each field and message occurs; counted before the shuffle."""
@@ -44,26 +43,16 @@ class Validation:
 
     def stats(self, *by: str) -> DataFrame:
         """Total, valid and invalid rows, per group when columns are named."""
-        ok = checks.no_errors(self.rules)
-        return self.checked.groupBy(*by).agg(
-            F.count("*").alias("total_rows"),
-            F.count_if(ok).alias("valid_rows"),
-            F.count_if(~ok).alias("invalid_rows"),
-        )
-
-    def observed(self, observation: Observation) -> Validation:
-        """Same rows, with total, valid and invalid counted by whichever action runs first.
-
-        The observation also keeps the row filters above the checks, so each check runs once per row.
-        """
-        ok = checks.no_errors(self.rules)
-        counted = self.checked.observe(
-            observation,
-            F.count(F.lit(1)).alias("total_rows"),
-            F.count_if(ok).alias("valid_rows"),
-            F.count_if(~ok).alias("invalid_rows"),
-        )
-        return Validation(self.rules, counted, self.keep)
+        return self.checked.groupBy(*by).agg(*counts())
+
+
+def counts() -> list[Column]:
+    ok = F.col("__ok")
+    return [
+        F.count("*").alias("total_rows"),
+        F.count_if(ok).alias("valid_rows"),
+        F.count_if(~ok).alias("invalid_rows"),
+    ]
 
 
 def header_cells(df: DataFrame) -> dict[str, Column]:
@@ -76,11 +65,13 @@ def validate(
     rules: Rules,
     keep: list[str] | None = None,
     cells: dict[str, Column] | None = None,
+    observation: Observation | None = None,
 ) -> Validation:
     """Check every row of a frame of text columns against the rules.
 
     `keep` names columns that travel along (all by default). `cells` overrides how source columns are
-    found. A needed column that is absent raises HeaderError before any job runs.
+    found. A needed column that is absent raises HeaderError before any job runs. `observation` receives
+    total_rows, valid_rows and invalid_rows from the first action over the result.
     """
     if not rules.fields:
         raise RuleError("schema.fields cannot be empty")
@@ -89,7 +80,10 @@ def validate(
     if absent:
         raise HeaderError(header_message(absent[0]))
     kept = list(df.columns) if keep is None else list(keep)
-    return Validation(rules, checks.with_checks(df, rules, found, [f"`{k}`" for k in kept]), tuple(kept))
+    checked = checks.with_checks(df, rules, found, [f"`{k}`" for k in kept])
+    # The counters make Spark keep row filters above the checks, so each check runs once per row.
+    watch = observation or f"rulegate-{uuid.uuid4().hex}"
+    return Validation(rules, checked.observe(watch, *counts()), tuple(kept))
 
 
 def header_message(name: str) -> str:

@@ -86,10 +86,14 @@ def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def located(lines: DataFrame) -> DataFrame:
-    """Add file and split position to a text source (batch or one streaming micro-batch)."""
+    """Add file and split position to a text source (batch or one streaming micro-batch).
+
+    The two functions read the position of the running task; the `_metadata` column would copy it into
+    every row.
+    """
     return lines.select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("block"),
+        F.input_file_name().alias("path"),
+        F.input_file_block_start().alias("block"),
         record_text(F.col("value")).alias("record"),
     )
 
