@@ -253,14 +253,14 @@ def listed_errors(rules: Rules) -> Column:
     )
 
 
+def not_null(rule: Rule, value: Column) -> Column:
+    """Tell Spark that a value of a required rule is never NULL; the literal itself is never used."""
+    epoch = datetime.datetime(1970, 1, 1, tzinfo=datetime.timezone.utc)
+    unused = {"string": "", "float": 0.0, "int": 0, "date": epoch.date(), "datetime": epoch}[rule.type]
+    return F.coalesce(value, F.lit(unused).cast(COLUMN_TYPES[rule.type]))
+
+
 def typed_columns(rules: Rules) -> list[Column]:
     """Output columns of accepted rows; required rules become non-nullable."""
-    epoch = datetime.datetime(1970, 1, 1, tzinfo=datetime.timezone.utc)
-    stand_in = {"string": "", "float": 0.0, "int": 0, "date": epoch.date(), "datetime": epoch}
-    columns = []
-    for i, r in enumerate(rules.fields):
-        c = F.col(value_name(i))
-        if r.required:  # never NULL here: the literal only tells Spark so
-            c = F.coalesce(c, F.lit(stand_in[r.type]).cast(COLUMN_TYPES[r.type]))
-        columns.append(c.alias(r.output))
-    return columns
+    values = [(r, F.col(value_name(i))) for i, r in enumerate(rules.fields)]
+    return [(not_null(r, v) if r.required else v).alias(r.output) for r, v in values]

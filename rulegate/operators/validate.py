@@ -32,6 +32,22 @@ class Validation:
         errors = checks.rendered_errors(self.rules).alias("__errors")
         return self.checked.filter("NOT __ok").select(*(keep or self.keep), errors)
 
+    def staged(self, *keep: str, rejected_only: tuple[str, ...] = ()) -> DataFrame:
+        """Both sides in one frame, for a scratch table that feeds several outputs.
+
+        Kept columns, `__ok`, the typed columns as struct `row`, and for rejected rows `__errors` and the
+        columns of `rejected_only`.
+        """
+        ok = F.col("__ok")
+        values = [F.col(checks.value_name(i)).alias(r.output) for i, r in enumerate(self.rules.fields)]
+        return self.checked.select(
+            *keep,
+            "__ok",
+            F.when(ok, F.struct(*values)).alias("row"),
+            F.when(~ok, checks.rendered_errors(self.rules)).alias("__errors"),
+            *[F.when(~ok, F.col(c)).alias(c) for c in rejected_only],
+        )
+
     def error_rows(self, *keep: str) -> DataFrame:
         """One row per error: kept columns, `field`, `msg`."""
         entries = F.inline(checks.listed_errors(self.rules))
