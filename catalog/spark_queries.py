@@ -65,7 +65,7 @@ def one_rule(spark: SparkSession, sf_dir: str, rule: dict, source: str = "orders
     checked = validate(raw, rules, keep=[key]).checked
     return checked.select(
         key,
-        F.when(F.col("__ok"), F.col(checks.value_name(0))).alias("value"),
+        F.when(F.col("__ok"), checks.value(rules, 0)).alias("value"),
         F.when(~F.col("__ok"), checks.rendered_errors(rules)).alias("errors"),
     )
 

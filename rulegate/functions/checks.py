@@ -19,13 +19,15 @@ from rulegate.functions.layouts import readers
 from rulegate.functions.text import may_hold_other_space, is_missing, lower_text, quote_text, trim_cell
 from rulegate.rules import COLUMN_TYPES, Rule, Rules
 
-# Rules checked per stretch of generated code. Their joint code has to stay below the method size the
-# JVM still compiles (8,000 bytes); beyond it rows are interpreted, several times slower.
-GROUP = 5
+def group_size(rules: Rules) -> int:
+    """Rules checked per stretch of generated code.
 
-
-def value_name(i: int) -> str:
-    return f"__value{i}"
+    The code of one stretch has to stay below the method size the JVM compiles (8,000 bytes); beyond it
+    rows are interpreted, several times slower. Every earlier group adds code for carrying its results,
+    so wide documents get smaller groups.
+    """
+    count = len(rules.fields)
+    return 4 if count <= 20 else 3 if count <= 33 else 2
 
 
 def raw_text(rule: Rule, cell: Column, other_space: Column) -> Column:
@@ -101,7 +103,8 @@ def conditions(rule: Rule, text: Column, value: Column, second: list[Column]) ->
         return found
     unreadable = value.isNull() & text.isNotNull()
     if rule.type == "int":
-        fraction = F.coalesce(numbers.has_fraction(second[0]), F.lit(False))
+        real = numbers.without_overflow(second[0], text)
+        fraction = F.coalesce(numbers.has_fraction(real), F.lit(False))
         found.append((unreadable & fraction, "invalid int (fractional): ", text, ""))
     found.append((unreadable, f"invalid {rule.type}: ", text, ""))
     if rule.non_zero and rule.type == "int":
@@ -137,98 +140,111 @@ def _parts(rule: Rule, start: str, quoted: Column | None, end: str) -> Column:
     )
 
 
-def text_name(i: int) -> str:
-    return f"__text{i}"
+def value(rules: Rules, i: int) -> Column:
+    """Typed value of rule `i` in a checked frame."""
+    return F.col(f"__got{i // group_size(rules)}")[f"value{i}"]
+
+
+def why(rules: Rules, i: int, part: str) -> Column:
+    """What the messages of rule `i` need: its `text`, or `real`, the double behind an `int`."""
+    return F.col(f"__why{i // group_size(rules)}")[f"{part}{i}"]
 
 
 def with_checks(df: DataFrame, rules: Rules, cells: dict[str, Column], keep: list[str]) -> DataFrame:
-    """`keep` columns of `df`, per rule its text and value, and the verdict `__ok` of the row.
+    """`keep` columns of `df`, the verdict `__ok`, and per group of rules `__got` (typed values) and
+    `__why` (what messages need), read through `value` and `why`.
 
     `cells` maps trimmed header names to columns of `df`; rules without an entry see a blank cell.
     """
     sources = {
         i: cells[r.name] for i, r in enumerate(rules.fields) if r.override is None and r.name in cells
     }
-    every_cell = F.concat_ws("", *[F.col(f"__cell{i}") for i in sources])
-    frame = df.select(*keep, *[c.alias(f"__cell{i}") for i, c in sources.items()])
+    packed = F.struct(*[c.alias(f"cell{i}") for i, c in sources.items()]) if sources else F.struct(F.lit(""))
+    every_cell = F.concat_ws("", *[F.col("__cells")[f"cell{i}"] for i in sources])
+    frame = df.select(*keep, packed.alias("__cells"))
     frame = frame.select("*", may_hold_other_space(every_cell).alias("__other_space"), F.lit(True).alias("__ok"))
 
     done: list[str] = []
     numbered = list(enumerate(rules.fields))
-    groups = [numbered[at : at + GROUP] for at in range(0, len(numbered), GROUP)]
-    for position, group in enumerate(groups):
-        waiting = [f"__cell{i}" for later in groups[position + 1 :] for i, _ in later if i in sources]
-        carried = [*keep, *done, *waiting, *(["__other_space"] if waiting else [])]
-        if position:
+    size = group_size(rules)
+    for position, start in enumerate(range(0, len(numbered), size)):
+        if start:
             # a counter between the groups makes Spark generate code for each group by itself
             frame = frame.observe(f"rulegate-group-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"))
-        frame, made = _check_group(frame, group, sources, carried)
-        done += made
-    return frame.select(*keep, *done, "__ok")
+        waiting = ["__cells", "__other_space"] if start + size < len(numbered) else []
+        group = numbered[start : start + size]
+        frame = _check_group(frame, position, group, set(sources), [*keep, *done], waiting)
+        done += [f"__got{position}", f"__why{position}"]
+    return frame
 
 
 def _check_group(
-    frame: DataFrame, group: list[tuple[int, Rule]], sources: dict[int, Column], carried: list[str]
-) -> tuple[DataFrame, list[str]]:
-    """All steps for a few rules; returns the frame and the names of the columns it adds."""
+    frame: DataFrame,
+    position: int,
+    group: list[tuple[int, Rule]],
+    with_cell: set[int],
+    carried: list[str],
+    waiting: list[str],
+) -> DataFrame:
+    """All steps for a few rules; adds their `__got` and `__why` and updates `__ok`."""
     blank = F.lit("")
+    passing = [*carried, *waiting, "__ok"]
 
     def columns(names: list[str]) -> list[Column]:
         return [F.col(name) for name in names]
 
-    def parse_names(i: int, rule: Rule) -> tuple[list[str], list[str]]:
-        first = first_parse(rule, blank)
-        second = second_parse(rule, blank, first)
-        return [f"__first{i}_{n}" for n in range(len(first))], [f"__second{i}_{n}" for n in range(len(second))]
+    def text(i: int) -> Column:
+        return F.col(f"text{i}")
 
     firsts, seconds = {}, {}
     for i, rule in group:
-        firsts[i], seconds[i] = parse_names(i, rule)
-    texts = [text_name(i) for i, _ in group]
-    all_firsts = [name for i, _ in group for name in firsts[i]]
-    all_seconds = [name for i, _ in group for name in seconds[i]]
-    kept_seconds = [name for i, r in group if r.type == "int" for name in seconds[i]]
-
-    def cell(i: int) -> Column:
-        return F.col(f"__cell{i}") if i in sources else blank
+        first = first_parse(rule, blank)
+        firsts[i] = [f"__first{i}_{n}" for n in range(len(first))]
+        seconds[i] = [f"__second{i}_{n}" for n in range(len(second_parse(rule, blank, first)))]
+    texts = [f"text{i}" for i, _ in group]
+    whole = [i for i, r in group if r.type == "int"]
 
-    passing = [*carried, "__ok"]
-    frame = frame.select(
-        *passing, *[raw_text(r, cell(i), F.col("__other_space")).alias(f"__raw{i}") for i, r in group]
-    )
     frame = frame.select(
-        *passing, *[present_text(r, F.col(f"__raw{i}")).alias(text_name(i)) for i, r in group]
+        *passing,
+        *[
+            raw_text(r, F.col("__cells")[f"cell{i}"] if i in with_cell else blank, F.col("__other_space")).alias(
+                f"raw{i}"
+            )
+            for i, r in group
+        ],
     )
+    frame = frame.select(*passing, *[present_text(r, F.col(f"raw{i}")).alias(f"text{i}") for i, r in group])
     first_columns = [
-        c.alias(name) for i, r in group for name, c in zip(firsts[i], first_parse(r, F.col(text_name(i))))
+        c.alias(name) for i, r in group for name, c in zip(firsts[i], first_parse(r, text(i)))
     ]
     frame = frame.select(*passing, *texts, *first_columns)
-    if all_seconds:
+    if any(seconds.values()):
         second_columns = [
             c.alias(name)
             for i, r in group
-            for name, c in zip(seconds[i], second_parse(r, F.col(text_name(i)), columns(firsts[i])))
+            for name, c in zip(seconds[i], second_parse(r, text(i), columns(firsts[i])))
         ]
-        frame = frame.select(*passing, *texts, *all_firsts, *second_columns)
+        frame = frame.select(*passing, *texts, *[n for i, _ in group for n in firsts[i]], *second_columns)
     value_columns = [
-        typed_value(r, F.col(text_name(i)), columns(firsts[i]), columns(seconds[i])).alias(value_name(i))
-        for i, r in group
+        typed_value(r, text(i), columns(firsts[i]), columns(seconds[i])).alias(f"value{i}") for i, r in group
     ]
-    frame = frame.select(*passing, *texts, *kept_seconds, *value_columns)
-    verdicts = [~is_wrong(r, F.col(text_name(i)), F.col(value_name(i))) for i, r in group]
-    made = [*texts, *kept_seconds, *[value_name(i) for i, _ in group]]
-    ok = reduce(lambda a, b: a & b, [F.col("__ok"), *verdicts])
-    return frame.select(*carried, *made, ok.alias("__ok")), made
+    frame = frame.select(*passing, *texts, *[n for i in whole for n in seconds[i]], *value_columns)
+    verdicts = [~is_wrong(r, text(i), F.col(f"value{i}")) for i, r in group]
+    reals = [F.col(seconds[i][0]).alias(f"real{i}") for i in whole]
+    return frame.select(
+        *carried,
+        *waiting,
+        F.struct(*[f"value{i}" for i, _ in group]).alias(f"__got{position}"),
+        F.struct(*texts, *reals).alias(f"__why{position}"),
+        reduce(lambda a, b: a & b, [F.col("__ok"), *verdicts]).alias("__ok"),
+    )
 
 
 def first_errors(rules: Rules) -> Column:
     """Array with one entry per rule, NULL where it is fine, from the columns `with_checks` leaves."""
     entries = [
         first_error(
-            r,
-            F.col(text_name(i)),
-            F.col(value_name(i)),
-            [F.col(f"__second{i}_0")] if r.type == "int" else [],
+            r, why(rules, i, "text"), value(rules, i), [why(rules, i, "real")] if r.type == "int" else []
         )
         for i, r in enumerate(rules.fields)
     ]
@@ -262,5 +278,5 @@ def not_null(rule: Rule, value: Column) -> Column:
 
 def typed_columns(rules: Rules) -> list[Column]:
     """Output columns of accepted rows; required rules become non-nullable."""
-    values = [(r, F.col(value_name(i))) for i, r in enumerate(rules.fields)]
+    values = [(r, value(rules, i)) for i, r in enumerate(rules.fields)]
     return [(not_null(r, v) if r.required else v).alias(r.output) for r, v in values]

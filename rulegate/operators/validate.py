@@ -39,7 +39,7 @@ class Validation:
         columns of `rejected_only`.
         """
         ok = F.col("__ok")
-        values = [F.col(checks.value_name(i)).alias(r.output) for i, r in enumerate(self.rules.fields)]
+        values = [checks.value(self.rules, i).alias(r.output) for i, r in enumerate(self.rules.fields)]
         return self.checked.select(
             *keep,
             "__ok",
