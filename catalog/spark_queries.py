@@ -372,8 +372,7 @@ def split_by_key(spark, sf_dir):
     raw = derived(spark, sf_dir, raw_events, "events")
     source = csv_of(raw, "events", "event_id")
     out = scratch_path(spark, "split")
-    for _ in range(2):  # a second run replaces the first
-        workflows.split_csv(spark, source, out)
+    workflows.split_csv(spark, source, out)
     text = spark.read.schema(", ".join(f"{c} string" for c in [*raw.columns, "key_file"]))
     return text.option("header", True).option("escape", '"').csv(out).select(
         "key_file", *[F.coalesce(c, F.lit("")).alias(c) for c in raw.columns]
@@ -425,7 +424,7 @@ def event_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_path(spark, "batches")
     gate = event_gate(spark, sf_dir)
     typed = gate.valid("key_file").withColumnRenamed("key_file", workflows.SOURCE)
-    write_typed(typed.repartitionByRange(workflows.SOURCE, "event_id"), f"{out}/ok", workflows.SOURCE)
+    write_typed(typed.repartition(workflows.SOURCE), f"{out}/ok", workflows.SOURCE)
     gate.stats("key_file").withColumnRenamed("key_file", "file").write.parquet(f"{out}/ok/{SOURCES_TABLE}")
     batch_directory(spark, f"{out}/ok", f"{out}/export", BATCH_SIZE)
     return spark.read.parquet(f"{out}/export").withColumn(BATCH_FOLDER, F.col(BATCH_FOLDER).cast("bigint"))
@@ -545,7 +544,7 @@ def auto_summary(spark, sf_dir):
 @query
 def auto_errors(spark, sf_dir):
     _, out = run_auto(spark, sf_dir)
-    names = [*ERROR_COLUMNS, "user_key", "event_id", "happened_at", "kind", "amount", workflows.SOURCE]
+    names = [workflows.SOURCE, *ERROR_COLUMNS, "user_key", "event_id", "happened_at", "kind", "amount"]
     text = spark.read.schema(", ".join(f"{c} string" for c in names)).option("header", True).option("escape", '"')
     return text.csv(f"{out}/error").select(
         workflows.SOURCE,

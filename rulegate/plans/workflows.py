@@ -347,11 +347,14 @@ def auto(
     write_empty_error: bool = False,
     clear: bool = True,
     write_split: bool = False,
+    folder_per_key: bool = False,
 ) -> AutoResult:
     """Split by key, validate every key file, batch the typed rows: one pass from scan to checked rows.
 
-    The key files exist as a column, not as files, unless `write_split` asks for them. The checked rows
-    are kept once as a scratch table that feeds all outputs.
+    The key files exist as a column, not as files: `success_dir` and `error_dir` hold one table each, with
+    the key file in `source_file` and rows of a key side by side. `folder_per_key` writes a folder per
+    key file instead, `write_split` also the split CSVs; both cost a file per key. The checked rows are
+    kept once as a scratch table that feeds all outputs.
     """
     pin(spark)
     schema_path = rules if isinstance(rules, str) else ""
@@ -396,12 +399,16 @@ def auto(
 
     staged = staged_rows(rows_in, rules, header, per_key)
     bad = staged.filter("NOT __ok").withColumnRenamed("key_file", SOURCE)
-    write_csv(bad, error_dir, header, original_cells(len(header)), ERROR_COLUMNS, SOURCE)
+    cells, folder = original_cells(len(header)), SOURCE if folder_per_key else None
+    if folder:
+        write_csv(bad, error_dir, header, cells, ERROR_COLUMNS, folder)
+    else:
+        write_csv(bad, error_dir, header, cells, [SOURCE, *ERROR_COLUMNS])
     typed = staged.filter("__ok").select("key_file", "__row_number", *_row_columns(rules))
-    write_typed(typed.drop("__row_number").withColumnRenamed("key_file", SOURCE), success_dir, SOURCE)
+    write_typed(typed.drop("__row_number").withColumnRenamed("key_file", SOURCE), success_dir, folder)
     stats = materialize(key_file_stats(staged, per_key), "key-stats")
     stats.write.mode("overwrite").parquet(f"{success_dir.rstrip('/')}/{SOURCES_TABLE}")
-    if write_empty_error:
+    if write_empty_error and folder:
         record = files.files.select("header").first().header
         clean = stats.filter("invalid_rows = 0").select(F.col("file").alias(SOURCE), F.lit(record).alias("header"))
         write_header_only(clean, error_dir)

@@ -102,7 +102,9 @@ def read_csv_directory(spark: SparkSession, directory: str) -> CsvFiles:
     paths = csv_paths(spark, directory)
     if not paths:
         raise FileNotFoundError(f"no csv files found in directory: {directory}")
-    return CsvFiles(read_lines(spark, *paths), list_files(spark, *paths))
+    # parts of split folders always hold a header; only plain files can be empty and need the listing
+    plain = [p for p in paths if not p.endswith(f"{KEY_FOLDER}*")]
+    return CsvFiles(read_lines(spark, *paths), list_files(spark, *plain) if plain else None)
 
 
 def read_csv_file(spark: SparkSession, path: str) -> CsvFiles:
