@@ -198,9 +198,11 @@ def _check_group(
 
     firsts, seconds = {}, {}
     for i, rule in group:
-        first = first_parse(rule, blank)
-        firsts[i] = [f"__first{i}_{n}" for n in range(len(first))]
-        seconds[i] = [f"__second{i}_{n}" for n in range(len(second_parse(rule, blank, first)))]
+        moments = len(rule_readers(rule))
+        first = 1 if moments or rule.type in ("int", "float") else 0
+        second = 1 if rule.type == "int" else max(moments - 1, 0)
+        firsts[i] = [f"__first{i}_{n}" for n in range(first)]
+        seconds[i] = [f"__second{i}_{n}" for n in range(second)]
     texts = [f"text{i}" for i, _ in group]
     whole = [i for i, r in group if r.type == "int"]
 
@@ -277,6 +279,9 @@ def not_null(rule: Rule, value: Column) -> Column:
 
 
 def typed_columns(rules: Rules) -> list[Column]:
-    """Output columns of accepted rows; required rules become non-nullable."""
+    """Output columns of accepted rows: required rules non-nullable, all others nullable.
+
+    The condition is always true here; it keeps a column with a default nullable, as declared.
+    """
     values = [(r, value(rules, i)) for i, r in enumerate(rules.fields)]
-    return [(not_null(r, v) if r.required else v).alias(r.output) for r, v in values]
+    return [(not_null(r, v) if r.required else F.when(F.col("__ok"), v)).alias(r.output) for r, v in values]

@@ -103,7 +103,7 @@ def test_golden_rows(spark):
 def test_nullability(spark):
     gate = validate(text_frame(spark, HEADER, []), parse_rules(DOCUMENT))
     required = [f.name for f in gate.valid().schema if not f.nullable]
-    assert set(required) >= {"record_id", "customer_id", "event_date", "status", "quantity"}
+    assert required == ["record_id", "customer_id", "event_date", "status", "quantity"]
 
 
 INF = float("inf")
