@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from rulegate.functions import checks
+from rulegate.functions.text import lower_text, trim_cell
 from rulegate.rules import RuleError, Rules, quoted, strip
+from rulegate.session import small_side
+
+LARGE_MAP = 64  # replacements a map literal still serves well (it is searched entry by entry)
 
 
 class HeaderError(ValueError):
@@ -96,11 +100,33 @@ def validate(
     if absent:
         raise HeaderError(header_message(absent[0]))
     kept = list(df.columns) if keep is None else list(keep)
+    df, rules, found = look_up_large_maps(df, rules, found)
     checked = checks.with_checks(df, rules, found, [f"`{k}`" for k in kept])
     # The counters make Spark keep row filters above the checks, so each check runs once per row.
     watch = observation or f"rulegate-{uuid.uuid4().hex}"
     return Validation(rules, checked.observe(watch, *counts()), tuple(kept))
 
 
+def look_up_large_maps(
+    df: DataFrame, rules: Rules, cells: dict[str, Column]
+) -> tuple[DataFrame, Rules, dict[str, Column]]:
+    """Replacements too many for a map literal become a join with a small table before the checks."""
+    fields, found = [], dict(cells)
+    for i, rule in enumerate(rules.fields):
+        if len(rule.replace) > LARGE_MAP and rule.override is None and rule.name in found:
+            text = trim_cell(found[rule.name])
+            source, target = f"__from{i}", f"__to{i}"
+            table = df.sparkSession.createDataFrame(
+                list(rule.replace.items()), f"`{source}` string, `{target}` string"
+            )
+            row_bytes = max(len(k) + len(v) for k, v in rule.replace.items()) * 4 + 64
+            small = small_side(table, len(rule.replace), row_bytes)
+            df = df.join(small, (lower_text(text) if rule.lower else text) == F.col(source), "left")
+            found[rule.name] = F.coalesce(F.col(target), found[rule.name])
+            rule = replace(rule, replace={})
+        fields.append(rule)
+    return df, Rules(tuple(fields)), found
+
+
 def header_message(name: str) -> str:
     return f"required schema field {quoted(name)} not found in CSV header"

@@ -132,13 +132,15 @@ class CsvFiles:
 
     @cached_property
     def line_blocks(self) -> DataFrame:
-        """Per split: line count, first line, odd-quote lines, first malformed line."""
+        """Per split: line count, first id, odd-quote lines, first malformed line.
+
+        Only fixed-width results, so Spark aggregates by hash while it reads and sorts nothing.
+        """
         record = F.col("record")
         odd = record.contains('"') & (quote_count(record) % 2 == 1)
         summary = self.numbered.groupBy("path", "block").agg(
             F.min("id").alias("first_id"),
             F.count("*").alias("n"),
-            F.min_by("record", "id").alias("first_record"),
             F.count_if(odd).alias("odd_lines"),
             F.min(F.when(broken_quotes(record), F.col("id"))).alias("bad_id"),
         )
@@ -148,6 +150,22 @@ class CsvFiles:
     def split_count(self) -> int:
         return self.line_blocks.count()
 
+    @cached_property
+    def first_lines(self) -> DataFrame:
+        """path, record: the first line with text of every file."""
+        of_file = Window.partitionBy("path").orderBy("block")
+        first = self.line_blocks.withColumn("at", F.row_number().over(of_file)).filter("at = 1")
+        ids = materialize(first.select(F.col("first_id").alias("id")), "csv-first-ids")
+        count = ids.count()
+        lines = self.numbered.select("path", "id", "record")
+        if count > FEW_FILES:
+            found = lines.join(small_side(ids, count, 16), "id", "left_semi").select("path", "record")
+            return materialize(found, "csv-first-lines")
+        wanted = [r.id for r in ids.collect()]
+        # a limited collect stops reading once all are found; the first split comes first
+        rows = lines.filter(F.col("id").isin(wanted)).select("path", "record").limit(count).collect()
+        return self.lines.sparkSession.createDataFrame(rows, "path string, record string")
+
     # -- files whose quoted cells span lines ----------------------------------------------------
 
     @cached_property
@@ -194,7 +212,6 @@ class CsvFiles:
                 zero.alias("block"),
                 zero.alias("first_id"),
                 F.count("*").alias("n"),
-                F.min_by("record", "id").alias("first_record"),
                 F.lit(None).cast("bigint").alias("bad_id"),
             )
             failed = self.quote_failures.select(
@@ -202,7 +219,6 @@ class CsvFiles:
                 zero.alias("block"),
                 zero.alias("first_id"),
                 zero.alias("n"),
-                F.lit(None).cast("string").alias("first_record"),
                 "bad_id",
             )
             plain = plain.join(self.glued_paths(), "path", "left_anti").unionByName(glued).unionByName(failed)
@@ -222,15 +238,19 @@ class CsvFiles:
         row = F.col("before") + F.col("bad_id") - F.col("first_id") + 2 - F.col("headers")
         first = F.col("headers") == 1
         seen = self.blocks.groupBy("path", "file").agg(
-            F.max(F.when(first, F.col("first_record"))).alias("header"),
             F.max(F.when(first, F.col("first_id"))).alias("header_id"),
             F.min(row).alias("bad_row"),
         )
+        headers = self.first_lines
+        if self.has_glued:
+            whole = self.glued.filter("id = 0").select("path", "record")
+            headers = headers.join(self.glued_paths(), "path", "left_anti").unionByName(whole)
+        seen = seen.join(headers.withColumnRenamed("record", "header"), "path", "left")
         failure = F.when(F.col("bad_row") == 1, F.lit("read header: malformed quotes")).when(
             F.col("bad_row").isNotNull(),
             F.concat(F.lit("read row "), F.col("bad_row"), F.lit(": malformed quotes")),
         )
-        table = seen.withColumn("failure", failure).drop("bad_row")
+        table = seen.select("path", "file", "header", "header_id", failure.alias("failure"))
         if self.listing is not None:
             # files without a single record only show up in the listing, whose paths are spelled plainly
             spot = lambda c: F.regexp_replace(c, "^[a-z0-9]+:/+", "/")

@@ -194,6 +194,15 @@ def test_text_rules(spark):
     assert one(spark, {"type": "string", "required": True, "override": " none "}, ["a"]) == ["value is required"]
 
 
+def test_large_replacement_map(spark):
+    """Many replacements go through a join and give what the map literal gives."""
+    entries = {f"from {n}": f" to {n} " for n in range(200)}
+    texts = [f" FROM {n} " for n in range(210)] + [None, "n/a"]
+    expected = [f"to {n}" for n in range(200)] + [f"from {n}" for n in range(200, 210)] + ["none given"] * 2
+    rule = {"type": "string", "lower": True, "inline_replace": entries, "default": "None given"}
+    assert one(spark, rule, texts) == expected
+
+
 def test_header_check(spark):
     frame = spark.createDataFrame([("1",)], "a string")
     rules = parse_rules({"fields": [{"name": "b", "type": "int", "default": 1}]})
