@@ -155,15 +155,15 @@ class CsvFiles:
         """path, record: the first line with text of every file."""
         of_file = Window.partitionBy("path").orderBy("block")
         first = self.line_blocks.withColumn("at", F.row_number().over(of_file)).filter("at = 1")
-        ids = materialize(first.select(F.col("first_id").alias("id")), "csv-first-ids")
-        count = ids.count()
+        ids = first.select(F.col("first_id").alias("id"))
         lines = self.numbered.select("path", "id", "record")
-        if count > FEW_FILES:
-            found = lines.join(small_side(ids, count, 16), "id", "left_semi").select("path", "record")
+        wanted = [r.id for r in ids.limit(FEW_FILES + 1).collect()]
+        if len(wanted) > FEW_FILES:
+            small = small_side(ids, self.split_count, 16)
+            found = lines.join(small, "id", "left_semi").select("path", "record")
             return materialize(found, "csv-first-lines")
-        wanted = [r.id for r in ids.collect()]
         # a limited collect stops reading once all are found; the first split comes first
-        rows = lines.filter(F.col("id").isin(wanted)).select("path", "record").limit(count).collect()
+        rows = lines.filter(F.col("id").isin(wanted)).select("path", "record").limit(len(wanted)).collect()
         return self.lines.sparkSession.createDataFrame(rows, "path string, record string")
 
     # -- files whose quoted cells span lines ----------------------------------------------------
@@ -278,12 +278,12 @@ class CsvFiles:
     @cached_property
     def only_header(self) -> list[str] | None:
         """Cells of the header when all readable files have the same one, else None."""
-        readable = self.files.filter("header IS NOT NULL AND failure IS NULL")
-        found = readable.select("header").distinct().limit(2).collect()
-        if len(found) != 1:
-            return None
-        one = self.headers().filter("header_cells IS NOT NULL").select("header_cells").limit(1).first()
-        return list(one.header_cells)
+        found = self.headers().filter("header_cells IS NOT NULL").select("header_cells").distinct().limit(2).collect()
+        return list(found[0].header_cells) if len(found) == 1 else None
+
+    @cached_property
+    def all_readable(self) -> bool:
+        return self.files.filter("failure IS NOT NULL").isEmpty()
 
     def headers(self) -> DataFrame:
         """path, file, header_cells (untrimmed, exact width), failure; one row per physical file."""
@@ -340,16 +340,16 @@ class CsvFiles:
         Columns: path, block, id, `cells` (struct). With one header for all files the positions are
         constants; otherwise they come from a join with the per-file positions.
         """
-        positions = materialize(self.positions(rules), "csv-positions")
-        failed = positions.filter("failure IS NOT NULL").select("path")
-        records = self.records()
-        same = self.only_header
-        if not failed.isEmpty():
-            records = records.join(small_side(failed, self.file_count, ROW_BYTES), "path", "left_anti")
+        records, same = self.records(), self.only_header
+        positions = None
+        if same is None or not self.all_readable or rules.missing_headers(same):
+            positions = materialize(self.positions(rules), "csv-positions")
+            failed = positions.filter("failure IS NOT NULL").select("path")
+            if not failed.isEmpty():
+                records = records.join(small_side(failed, self.file_count, ROW_BYTES), "path", "left_anti")
         parsed = records.withColumn("cells", parsed_cells(F.col("record"), self.width)).drop("record")
         if same is not None:
-            at = {strip(name): i for i, name in enumerate(same)}
-            return parsed, {name: F.col(f"cells.c{i}") for name, i in at.items()}
+            return parsed, {strip(name): F.col(f"cells.c{i}") for i, name in enumerate(same)}
         names = [f"__at{i}" for i in range(len(rules.fields))]
         spots = positions.filter("failure IS NULL").select("path", *names)
         located_rows = parsed.join(small_side(spots, self.file_count, ROW_BYTES), "path")
