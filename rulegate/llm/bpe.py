@@ -106,7 +106,6 @@ class Codec:
                 ends.setdefault(token[-3:], set()).add(len(token))
         #: Lengths of the tokens that can end in three bytes; the order is free, as only one token fits.
         self.ends = {k: [*sorted(v), *([2] if k[1:] in self.ids else []), 1] for k, v in ends.items()}
-        self.bytes = {i: t for t, i in self.ids.items()} | {i: t.encode() for t, i in self.added.items()}
         self.survives: dict[int, bool] = {}
         self.classes = classes()
         self.slow = None
@@ -281,10 +280,6 @@ class Codec:
         if run:
             yield self._encode_run(*self.split(run))
 
-    def decode(self, ids: Sequence[int]) -> str:
-        get = self.bytes.get
-        return b"".join([get(i, b"") for i in ids]).decode("utf-8", "replace")
-
 
 def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", keep: Sequence[str] = ("doc_id",), out: str = "token_ids") -> DataFrame:
     """`keep` columns and the token ids of every whole text. No shuffle: each task walks the trie of its texts."""
@@ -315,9 +310,11 @@ def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "token_ids", keep
         voc = shared.value
         table = {i: t for t, i in voc["ids"].items()} | {i: t.encode() for t, i in voc["added"].items()}
         for batch in batches:
+            lists = batch.column(len(keep))
+            edges, flat = lists.offsets.to_pylist(), lists.values
             texts = [
-                b"".join([table.get(i, b"") for i in ids or ()]).decode("utf-8", "replace")
-                for ids in map(pa.Scalar.as_py, batch.column(len(keep)))
+                b"".join([table.get(i, b"") for i in flat.slice(a, b - a).to_numpy(zero_copy_only=False).tolist()]).decode("utf-8", "replace")
+                for a, b in zip(edges, edges[1:])
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.string())], [*keep, out])
 

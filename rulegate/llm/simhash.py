@@ -22,6 +22,7 @@ the smallest id present (null if none); an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from itertools import combinations
 
 import numpy as np
@@ -59,9 +60,10 @@ def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp): 64-bit SimHash of every whole text, bit k set if set in over half of the shingles' XXH64. No
-    shuffle; a long text adds up its bit counts block by block."""
+def fingerprints(docs: DataFrame, text_col: str = "text", keep: Sequence[str] = ("doc_id",), shingle: int = SHINGLE) -> DataFrame:
+    """`keep` columns and `fp`: 64-bit SimHash of every whole text, a bit set if set in over half of the shingles'
+    XXH64. No shuffle; a long text adds up its bit counts block by block."""
+    keep = list(keep)
 
     def task(batches):
         from xxhash import xxh64_intdigest as h
@@ -77,7 +79,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
                     marks[rows] = majority(np.array(hashes, np.uint64), np.array(sizes))
                     hashes.clear(), sizes.clear(), rows.clear()
 
-            for row, text in enumerate(batch.column(1)):
+            for row, text in enumerate(batch.column(0)):
                 # bytes.lower() folds ASCII letters only, bytes.split() cuts at the six ASCII white spaces
                 words = (text.as_py() or "").encode().lower().split()
                 if not words:
@@ -100,10 +102,10 @@ def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
                 sizes.append(n)
                 rows.append(row)
             flush()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks.view(np.int64))], [id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(marks.view(np.int64))], [*keep, "fp"])
 
-    schema = T.StructType([docs.schema[id_col], T.StructField("fp", T.LongType(), False)])
-    return docs.select(id_col, text_col).mapInArrow(task, schema)
+    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("fp", T.LongType(), False)])
+    return docs.select(F.col(text_col).alias("__text"), *keep).mapInArrow(task, schema)
 
 
 def hex16(fp: Column) -> Column:
@@ -307,10 +309,26 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", bands: int = BANDS, cell: int = CELL) -> DataFrame:
-    """(id, fp, component_id) of every row: the smallest id a chain of links reaches."""
-    marked = materialize(fingerprints(docs, text_col, id_col), "fingerprints")
+    """(id, fp, component_id, root) of every row: the smallest id a chain of links reaches, and the fingerprint
+    that names the component."""
+    marked = materialize(fingerprints(docs, text_col, [id_col]), "fingerprints")
     distinct = materialize(marked.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct-fingerprints")
     found = components(links(distinct.select("fp"), bands, DISTANCE, cell))
     rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return marked.join(named, "fp").select(id_col, "fp", "component_id")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id", "root")
+    return marked.join(named, "fp").select(id_col, "fp", "component_id", "root")
+
+
+def one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The rows of `docs` that represent their component: those with its smallest id.
+
+    Rows are told apart by id: of several rows with the id that stays, one remains. A component without any id
+    keeps one row."""
+    groups = materialize(near_duplicates(docs, text_col, id_col), "near-duplicates")
+    stays = groups.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("copies"))
+    once = docs.join(stays.where("copies = 1"), id_col, "left_semi")
+    several = docs.join(stays.where("copies > 1"), id_col, "left_semi").dropDuplicates([id_col])
+    nameless = groups.where(F.col("component_id").isNull()).select("fp", "root").distinct()
+    row = docs.where(F.col(id_col).isNull()).select(F.struct(*docs.columns).alias("__row"), F.col(text_col).alias("__own"))
+    marked = fingerprints(row, "__own", ["__row"]).join(nameless, "fp").dropDuplicates(["root"]).select("__row.*")
+    return once.unionByName(several).unionByName(marked)

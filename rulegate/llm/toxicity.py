@@ -10,11 +10,14 @@ one, and scoring covers every whole text. Texts are read in blocks, so a long on
 
 Defined results: a null or empty text scores the bias alone; without any labelled row every score is 0.5 and
 `predicted` follows the same rule as elsewhere; labels that are null are no labels, and a document labelled
-twice is toxic if any label says so; repeated rows score alike; only the id and the text are carried.
+twice is toxic if any label says so; repeated rows score alike; only
+the named columns are carried.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -23,10 +26,10 @@ from rulegate.llm.common import by_value
 
 by_value(__name__)
 
-SAMPLE = 6_000
+SAMPLE = 16_000
 BITS = 20
-ALPHA, BETA, L1, L2 = 0.5, 1.0, 1.5, 0.5
-EPOCHS = 3
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 0.0
+EPOCHS = 4
 BLOCK = 1 << 21  # bytes of a text taken at once
 WORDS_KEPT = 300_000
 
@@ -131,10 +134,11 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     return [a for a, _ in pairs], [w for _, w in pairs], bias
 
 
-def score(docs: DataFrame, model: tuple[list[int], list[float], float], text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id, score, predicted) of every row. No shuffle; the model's nonzero weights are broadcast."""
+def score(docs: DataFrame, model: tuple[list[int], list[float], float], text_col: str = "text", keep: Sequence[str] = ("doc_id",), out: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """`keep` columns, score and prediction of every row. No shuffle; the model's nonzero weights are broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([docs.schema[id_col], T.StructField("score", T.DoubleType(), False), T.StructField("predicted", T.IntegerType(), False)])
+    keep, out = list(keep), list(out)
+    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField(out[0], T.DoubleType(), False), T.StructField(out[1], T.IntegerType(), False)])
 
     def task(batches):
         at, weight, bias = shared.value
@@ -143,10 +147,10 @@ def score(docs: DataFrame, model: tuple[list[int], list[float], float], text_col
         features = Features()
         for batch in batches:
             sums = []
-            for text in batch.column(1):
+            for text in batch.column(0):
                 carried = [f[weights[f] != 0] for f in features.of(text.as_py() or "")]
                 sums.append(bias + (weights[np.unique(np.concatenate(carried))].sum() if carried else 0.0))
             p = 1 / (1 + np.exp(-np.clip(np.array(sums, float), -700, 700)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [id_col, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*keep, *out])
 
-    return docs.select(id_col, text_col).mapInArrow(task, schema)
+    return docs.select(F.col(text_col).alias("__text"), *keep).mapInArrow(task, schema)
