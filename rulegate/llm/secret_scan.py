@@ -9,7 +9,7 @@ Spans are code-point offsets, end exclusive, of the leftmost non-overlapping mat
 
 Defined results: a null text is an empty one; a document without an id cannot be posted, so it is scanned by
 every rule; documents that share an id share their postings, which only adds candidates; an empty table gives
-an empty result; only the id and the text are carried, unless rows are redacted.
+an empty result.
 """
 
 from __future__ import annotations
@@ -234,39 +234,43 @@ def rule_spans(text: Column, rule: SecretRule, order: int) -> Column:
 
 
 def scan(docs: DataFrame, rules: Sequence[SecretRule] = RULES, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """All columns of `docs` plus `secrets`: array of (from, order, to, kind) sorted by start, then rule order.
+    """All columns of `docs` plus `secrets` (in place of one of that name): an array of (from, order, to, kind)
+    sorted by start, then rule order.
 
     One pass builds the postings, one scans. Candidates join on the id: broadcast while their measured size is
     small, else by shuffle.
     """
+    columns = [c for c in docs.columns if c != "secrets"]
+    # the row travels as one struct, so that its columns cannot clash with those of the scan
+    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     asked = {k: q for k, q in queries.items() if q != ALL}
     trigrams = sorted(set().union(*map(trigrams_of, asked.values())))
     spark = docs.sparkSession
     if asked:
         found = materialize(
-            candidates(postings(docs, trigrams, text_col, id_col), asked, trigrams, id_col).withColumnRenamed(id_col, "__id"),
+            candidates(postings(docs, trigrams, "text", "id"), asked, trigrams, "id").withColumnRenamed("id", "found"),
             "secret-candidates",
         )
         size = found.count() * (32 + 16 * len(asked))
         found = F.broadcast(found) if size <= BROADCAST_BYTES else found
-        joined = docs.join(found, F.col(id_col) == F.col("__id"), "left")
+        joined = docs.join(found, F.col("id") == F.col("found"), "left")
     else:
-        joined = docs.withColumn("__id", F.lit(None)).withColumn("kinds", F.array().cast("array<string>"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
+        joined = docs.withColumn("kinds", F.array().cast("array<string>"))
+    text = F.coalesce(F.col("text"), F.lit(""))
     empty = F.array().cast("array<struct<from:int,order:int,to:int,counts:boolean>>")
     parts = []
     for order, rule in enumerate(rules):
         can = F.lit(True)
         if rule.kind in asked:
-            can = F.col(id_col).isNull() | F.coalesce(F.array_contains("kinds", rule.kind), F.lit(False))
+            can = F.col("id").isNull() | F.coalesce(F.array_contains("kinds", rule.kind), F.lit(False))
         parts.append(F.when(can, rule_spans(text, rule, order)).otherwise(empty))
     names = F.array(*[F.lit(r.kind) for r in rules])
     spans = F.transform(
         F.sort_array(F.concat(*parts)),
         lambda s: F.struct(s["from"].alias("from"), s["order"].alias("order"), s["to"].alias("to"), F.get(names, s["order"]).alias("kind")),
     )
-    return joined.withColumn("secrets", spans).drop("__id", "kinds")
+    return joined.select(*[F.col(f"row.`{c}`").alias(c) for c in columns], spans.alias("secrets"))
 
 
 def span_text(spans: Column) -> Column:
