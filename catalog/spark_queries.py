@@ -363,7 +363,7 @@ def split_counts(spark, sf_dir):
 @query
 def row_number_per_key(spark, sf_dir):
     rows = event_rows(spark, sf_dir).withColumn("n", F.col("event_id").cast("bigint"))
-    numbered = number_within(rows, "key_file", ["n"], F.floor(F.col("n") / 1_000_000), first=2)
+    numbered = number_within(rows, "key_file", [F.floor(F.col("n") / 1_000)], ["n"], first=2)
     return numbered.select("event_id", "key_file", F.col("__row_number").alias("row_number"))
 
 

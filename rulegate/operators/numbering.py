@@ -6,44 +6,26 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rulegate.session import scratch_path
 
-HOT_ROWS = 1_000_000  # groups above this size are numbered in chunks
 
+def number_within(df: DataFrame, key: str, chunk: list[Column], order: list[str], first: int = 1) -> DataFrame:
+    """Add `__row_number`, counting from `first` inside every `key`, by `chunk` and then `order`.
 
-def number_within(
-    df: DataFrame,
-    key: str,
-    order: list[str],
-    chunk: Column,
-    first: int = 1,
-    hot_rows: int = HOT_ROWS,
-    group_sizes: DataFrame | None = None,
-) -> DataFrame:
-    """Add `__row_number`, counting from `first` inside every `key` in the given order.
-
-    `chunk` has to grow with the order (an input split, an id range); a key with more than `hot_rows`
-    rows is numbered chunk by chunk, so one window never holds more than a chunk of it. One shuffle of
-    the rows, on key and chunk; the chunk totals that link the parts stay small. `group_sizes`
-    (key, total_rows) saves counting the groups again.
+    `chunk` names stretches of bounded size in order, such as input splits; a window never holds more than
+    one stretch of a key, whatever the size of the key. One shuffle of the rows, on key and chunk; the
+    totals of the stretches stay small.
     """
-    sizes = df.groupBy(key).agg(F.count("*").alias("total_rows")) if group_sizes is None else group_sizes
-    # at most total rows / hot_rows keys qualify, which bounds what is broadcast
-    hot = sizes.filter(F.col("total_rows") > hot_rows).select(key, F.lit(True).alias("__hot"))
-    marked = (
-        df.join(F.broadcast(hot), key, "left")
-        .withColumn("__chunk", F.when(F.col("__hot"), chunk.cast("bigint")).otherwise(F.lit(-1)))
-        .drop("__hot")
-    )
-    local = F.row_number().over(Window.partitionBy(key, "__chunk").orderBy(*order))
-    before = Window.partitionBy(key).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    names = [f"__chunk{i}" for i in range(len(chunk))]
+    marked = df.withColumns(dict(zip(names, chunk)))
+    local = F.row_number().over(Window.partitionBy(key, *names).orderBy(*order))
+    before = Window.partitionBy(key).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        marked.filter("__chunk >= 0")
-        .groupBy(key, "__chunk")
+        marked.groupBy(key, *names)
         .agg(F.count("*").alias("__n"))
-        .select(key, "__chunk", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+        .select(key, *names, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     )
-    numbered = marked.withColumn("__local", local).join(offsets, [key, "__chunk"], "left")
-    number = F.col("__local") + F.coalesce("__before", F.lit(0)) + (first - 1)
-    return numbered.withColumn("__row_number", number.cast("bigint")).drop("__local", "__before", "__chunk")
+    numbered = marked.withColumn("__local", local).join(offsets, [key, *names])
+    number = F.col("__local") + F.col("__before") + (first - 1)
+    return numbered.withColumn("__row_number", number.cast("bigint")).drop("__local", "__before", *names)
 
 
 def global_rank(df: DataFrame, by: list[str], out: str) -> DataFrame:

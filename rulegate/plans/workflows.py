@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, fu
 from rulegate.functions.checks import not_null
 from rulegate.functions.text import decode_path
 from rulegate.operators.batch import (
+    BATCH_FOLDER,
     BatchSummary,
     assign_batches,
     batch_directory,
@@ -26,18 +27,20 @@ from rulegate.operators.split import (
 )
 from rulegate.operators.validate import Validation, validate
 from rulegate.rules import Rules, load_rules, quoted, strip
-from rulegate.session import absolute, materialize, pin, remove, small_side
+from rulegate.session import absolute, glob, materialize, pin, remove, small_side
 from rulegate.sources.csv_files import (
     ROW_BYTES,
     CsvFiles,
     logical_name,
     parsed_cells,
+    part_order,
     read_csv_directory,
     read_csv_file,
 )
 from rulegate.sources.parquet_files import SOURCES_TABLE
 
 SOURCE = "source_file"
+WORK_COLUMNS = ("key_file", "file_rank", "batch_no", "__row_number", "__part", "__ok")
 TASK_ROWS = 2_000_000  # rows of a batch that end up in one output part of the one-pass run
 
 
@@ -113,6 +116,15 @@ def as_rules(rules: Rules | str) -> Rules:
     return load_rules(rules) if isinstance(rules, str) else rules
 
 
+def check_names(rules: Rules, reserved: tuple[str, ...] = ()) -> None:
+    """Refuse, before any job, output names that Spark would take for one another or for the engine's own."""
+    taken = {name.lower(): name for name in reserved}
+    for rule in rules.fields:
+        if rule.output.lower() in taken:
+            raise ValueError(f"output name {quoted(rule.output)} clashes with {quoted(taken[rule.output.lower()])}")
+        taken[rule.output.lower()] = rule.output
+
+
 def output_paths(input_path: str, success_dir: str, error_dir: str) -> tuple[str, str]:
     base = os.path.splitext(os.path.basename(input_path.rstrip("/")))[0]
     return f"{success_dir.rstrip('/')}/{base}.parquet", f"{error_dir.rstrip('/')}/{base}_error.csv"
@@ -170,7 +182,7 @@ def split_csv(
     position = key_position(header, detect_key(header) if not key or not key.strip() else key)
     keyed = _keyed_records(files, position, missing_file or MISSING_KEYS_FILE)
     per_file = materialize(rows_per_key_file(keyed), "key-files")
-    order = ["key_file", "path", "block", "id"]
+    order = [F.col("key_file"), *part_order(), F.col("id")]
     rows = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
     write_csv(rows, output_dir, header, original_cells(len(header)), partition="key_file", mode=mode)
     return SplitSummary(**split_summary(per_file).first().asDict())
@@ -199,6 +211,7 @@ def validate_csv(
     """
     pin(spark)
     rules = as_rules(rules)
+    check_names(rules)
     files = read_csv_file(spark, input_csv)
     header = file_header(files)
     failed = files.failures(rules).first()
@@ -241,6 +254,7 @@ def validate_directory(
     """
     pin(spark)
     rules = as_rules(rules)
+    check_names(rules, (SOURCE,))
     files = read_csv_directory(spark, input_dir)
     table, cells = files.table(rules)
     counted = Observation()
@@ -354,11 +368,13 @@ def auto(
     The key files exist as a column, not as files: `success_dir` and `error_dir` hold one table each, with
     the key file in `source_file` and rows of a key side by side. `folder_per_key` writes a folder per
     key file instead, `write_split` also the split CSVs; both cost a file per key. The checked rows are
-    kept once as a scratch table that feeds all outputs.
+    kept once as a scratch table that feeds all outputs. `clear=False` adds to all outputs of earlier runs;
+    new batches are numbered after the ones that are there.
     """
     pin(spark)
     schema_path = rules if isinstance(rules, str) else ""
     rules = as_rules(rules)
+    check_names(rules, (SOURCE, BATCH_FOLDER, *WORK_COLUMNS))
     home = os.path.dirname(input_csv.rstrip("/"))
     split_dir = split_dir or f"{home}/split"
     success_dir = success_dir or f"{home}/success"
@@ -386,7 +402,7 @@ def auto(
     per_key = materialize(listed, "key-files")
     split = SplitSummary(**split_summary(per_key).first().asDict())
     if write_split:
-        order = ["key_file", "path", "block", "id"]
+        order = [F.col("key_file"), *part_order(), F.col("id")]
         spread = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
         write_csv(spread, split_dir, header, original_cells(len(header)), partition="key_file")
 
@@ -397,23 +413,25 @@ def auto(
         result = DirectoryResult(split_dir, key_count, summary, success_dir, error_dir)
         raise DirectoryError(f"directory validation completed with {key_count} failed file(s)", result)
 
-    staged = staged_rows(rows_in, rules, header, per_key)
+    staged = staged_rows(rows_in, rules, header)
+    mode = "overwrite" if clear else "append"
+    stats = materialize(key_file_stats(staged, per_key), "key-stats")
+    sums = directory_summary(stats, stats.limit(0)).first()
+    summary = DirectorySummary(**sums.asDict())
     bad = staged.filter("NOT __ok").withColumnRenamed("key_file", SOURCE)
     cells, folder = original_cells(len(header)), SOURCE if folder_per_key else None
     if folder:
-        write_csv(bad, error_dir, header, cells, ERROR_COLUMNS, folder)
-    else:
-        write_csv(bad, error_dir, header, cells, [SOURCE, *ERROR_COLUMNS])
+        write_csv(bad, error_dir, header, cells, ERROR_COLUMNS, folder, mode)
+    elif summary.invalid_rows or write_empty_error:
+        # without rejected rows this is a header and nothing else, written on request
+        write_csv(bad, error_dir, header, cells, [SOURCE, *ERROR_COLUMNS], mode=mode)
     typed = staged.filter("__ok").select("key_file", "__row_number", *_row_columns(rules))
-    write_typed(typed.drop("__row_number").withColumnRenamed("key_file", SOURCE), success_dir, folder)
-    stats = materialize(key_file_stats(staged, per_key), "key-stats")
-    stats.write.mode("overwrite").parquet(f"{success_dir.rstrip('/')}/{SOURCES_TABLE}")
+    write_typed(typed.drop("__row_number").withColumnRenamed("key_file", SOURCE), success_dir, folder, mode)
+    stats.write.mode(mode).parquet(f"{success_dir.rstrip('/')}/{SOURCES_TABLE}")
     if write_empty_error and folder:
         record = files.files.select("header").first().header
         clean = stats.filter("invalid_rows = 0").select(F.col("file").alias(SOURCE), F.lit(record).alias("header"))
         write_header_only(clean, error_dir)
-    sums = directory_summary(stats, stats.limit(0)).first()
-    summary = DirectorySummary(**sums.asDict())
     validation = DirectoryResult(split_dir, key_count, summary, success_dir, error_dir)
 
     if batch_dir and absolute(spark, batch_dir) != absolute(spark, success_dir):
@@ -421,22 +439,28 @@ def auto(
     else:
         batches = materialize(key_batches(stats, batch_size), "key-batches")
         rows = batched_rows(typed, batches, key_count)
-        write_batches(rows, ["file_rank", "__row_number"], export_dir, "overwrite" if clear else "append")
+        # batches kept from earlier runs keep their numbers
+        kept = 0 if clear else last_batch(spark, export_dir)
+        rows = rows.withColumn("batch_no", F.col("batch_no") + kept)
+        write_batches(rows, ["file_rank", "__row_number"], export_dir, mode)
         count = batches.agg(F.max("batch_no")).first()[0] or 0
         batch = BatchSummary(key_count, count, batch_size, summary.valid_rows, export_dir)
     return AutoResult(input_csv, schema_path, chosen, split, validation, batch)
 
 
-def staged_rows(keyed: DataFrame, rules: Rules, header: list[str], per_key: DataFrame) -> DataFrame:
+def last_batch(spark: SparkSession, export_dir: str) -> int:
+    """The largest batch number a folder holds, 0 without any."""
+    names = glob(spark, f"{export_dir.rstrip('/')}/{BATCH_FOLDER}=*")
+    return max((int(n.rsplit("=", 1)[1]) for n in names), default=0)
+
+
+def staged_rows(keyed: DataFrame, rules: Rules, header: list[str]) -> DataFrame:
     """Checked rows numbered inside their key file, written once as a scratch table.
 
     Columns: key_file, __row_number, __ok, `row` (typed columns) or `__errors` and `cells`.
     """
     at = {strip(name): F.col(f"cells.c{i}") for i, name in enumerate(header)}
-    order = ["path", "block", "id"]
-    numbered = number_within(
-        keyed, "key_file", order, F.col("block"), first=2, group_sizes=per_key.select("key_file", "total_rows")
-    )
+    numbered = number_within(keyed, "key_file", part_order(), ["id"], first=2)
     gate = validate(numbered, rules, keep=["key_file", "__row_number", "cells"], cells=at)
     staged = gate.staged("key_file", "__row_number", rejected_only=["cells"])
     return materialize(staged, "staged", partition="__ok")

@@ -77,6 +77,19 @@ def glob(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(s.getPath().toString() for s in found) if found else []
 
 
+def statuses(spark: SparkSession, pattern: str, least_bytes: int = 0) -> list[tuple[str, bool]]:
+    """(path, is a folder) of what matches a glob and, for files, has at least so many bytes; metadata only."""
+    p = _hadoop_path(spark, pattern)
+    fs = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    found = fs.globStatus(p) or []
+    return sorted((s.getPath().toString(), s.isDirectory()) for s in found if s.isDirectory() or s.getLen() >= least_bytes)
+
+
+def escaped(path: str) -> str:
+    """A path as a glob that only matches itself."""
+    return "".join(f"\\{c}" if c in "{}[]*?\\" else c for c in path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Drop a previous output."""
     p = _hadoop_path(spark, path)

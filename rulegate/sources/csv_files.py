@@ -1,6 +1,8 @@
 """CSV files as a table of records: exact record numbers, per-file headers, whole-file failure.
 
-The files are read as text lines, so every file stays splittable. One narrow pass over the lines builds
+The files are read as text lines, so every file stays splittable. The lines are scanned once and written to
+scratch storage with their file, split and an id; everything else reads that table, so record numbers and
+headers cannot depend on how another scan would be split. One narrow pass over it builds
 a `blocks` table (one row per input split): record counts, the first record and the first malformed one.
 Record numbers follow from it by a running sum over blocks, never over rows. Files whose quoted cells
 span lines take a second route that glues their lines; all other files never pay for it.
@@ -16,14 +18,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from rulegate.functions.text import decode_path, trim_cell
 from rulegate.operators.validate import header_message
 from rulegate.rules import Rules, strip
-from rulegate.session import glob, materialize, small_side
+from rulegate.session import escaped, glob, materialize, small_side, statuses
 
 CSV_GLOB = "*.[cC][sS][vV]"
 KEY_FOLDER = "key_file="  # folders written by the split job: one logical file each
+GLUED_RANGE = 100_000  # records of a file with multi-line cells that count as one split
 ROW_BYTES = 400  # generous size of one blocks row (path text plus counters)
 
 FEW_FILES = 100
 
+HIDDEN = ("_", ".")  # Spark's readers pass over such names
+
 MALFORMED = r'[^,"]"|"[^,"]'
 
 
@@ -45,10 +50,22 @@ def broken_quotes(line: Column) -> Column:
     return line.contains('"') & F.regexp_replace(line, '"[^"]*"', '"').rlike(MALFORMED)
 
 
+def first_cells(record: Column, width: int) -> Column:
+    """A record cut after its first `width` cells, so that no record is wider than the parser expects.
+
+    Fewer commas than that cannot hold more cells; without quotes a comma always ends a cell.
+    """
+    commas = F.length(record) - F.length(F.replace(record, F.lit(","), F.lit("")))
+    cell = '[^,"]*+(?:"[^"]*+"[^,"]*+)*+'
+    quoted = F.regexp_extract(record, f"^{cell}(?:,{cell}){{0,{width - 1}}}+", 0)
+    cut = F.when(record.contains('"'), quoted).otherwise(F.substring_index(record, ",", width))
+    return F.when(commas >= width, cut).otherwise(record)
+
+
 def parsed_cells(record: Column, width: int) -> Column:
     """Struct c0..cN of the cells of a record; NULL where the record is too short, surplus cells cut."""
     schema = ", ".join(f"c{i} string" for i in range(width))
-    return F.from_csv(record, schema, {"escape": '"', "maxColumns": str(max(20480, width + 1))})
+    return F.from_csv(first_cells(record, width), schema, {"escape": '"', "maxColumns": str(width + 1)})
 
 
 def width_bound(record: Column) -> Column:
@@ -70,6 +87,11 @@ def logical_name(path: Column) -> Column:
     )
 
 
+def part_order() -> list[Column]:
+    """Input order of the parts and splits of a logical file: `part-99999` comes before `part-100000`."""
+    return [F.length("path"), F.col("path"), F.col("block")]
+
+
 def csv_paths(spark: SparkSession, directory: str) -> list[str]:
     """What a directory holds for the CSV jobs: `*.csv` in any case and split folders, not recursive."""
     folder = directory.rstrip("/")
@@ -111,9 +133,22 @@ def read_csv_file(spark: SparkSession, path: str) -> CsvFiles:
     return CsvFiles(read_lines(spark, path), list_files(spark, path))
 
 
-def list_files(spark: SparkSession, *paths: str) -> DataFrame:
-    """Every input file, also those without a single line; names only, no content is read."""
-    return spark.read.format("binaryFile").load(list(paths)).select(F.col("path").alias("listed"))
+def list_files(spark: SparkSession, *patterns: str) -> DataFrame:
+    """listed, hidden: every input file, also empty ones and those Spark passes over by their names.
+
+    Folders of parts count by their parts that hold something; one without any is listed itself.
+    """
+    rows = []
+    for pattern in patterns:
+        for path, folder in statuses(spark, pattern):
+            name = path.rsplit("/", 1)[1]
+            parts = [
+                part
+                for part, below in (statuses(spark, f"{escaped(path)}/*", 1) if folder else [])
+                if not below and not part.rsplit("/", 1)[1].startswith(HIDDEN)
+            ]
+            rows += [(part, False) for part in parts] or [(path, name.startswith(HIDDEN))]
+    return spark.createDataFrame(rows, "listed string, hidden boolean")
 
 
 @dataclass(frozen=True)
@@ -127,8 +162,9 @@ class CsvFiles:
 
     @cached_property
     def numbered(self) -> DataFrame:
-        """Lines that hold text, with an id that grows inside each split."""
-        return self.lines.filter("record <> ''").withColumn("id", F.monotonically_increasing_id())
+        """Lines that hold text, with an id that grows inside each split; the one scan of the input."""
+        lines = self.lines.filter("record <> ''").withColumn("id", F.monotonically_increasing_id())
+        return materialize(lines, "csv-lines")
 
     @cached_property
     def line_blocks(self) -> DataFrame:
@@ -208,9 +244,8 @@ class CsvFiles:
         plain = self.line_blocks.drop("odd_lines")
         if self.has_glued:
             zero = F.lit(0).cast("bigint")
-            glued = self.glued.groupBy("path").agg(
-                zero.alias("block"),
-                zero.alias("first_id"),
+            glued = self.glued.groupBy("path", glued_range(F.col("id")).alias("block")).agg(
+                F.min("id").alias("first_id"),
                 F.count("*").alias("n"),
                 F.lit(None).cast("bigint").alias("bad_id"),
             )
@@ -223,7 +258,7 @@ class CsvFiles:
             )
             plain = plain.join(self.glued_paths(), "path", "left_anti").unionByName(glued).unionByName(failed)
         of_file = Window.partitionBy("path").orderBy("block")
-        of_name = Window.partitionBy("file").orderBy("path", "block")
+        of_name = Window.partitionBy("file").orderBy(*part_order())
         before = of_name.rowsBetween(Window.unboundedPreceding, -1)
         table = (
             plain.withColumn("file", logical_name(decode_path(F.col("path"))))
@@ -254,14 +289,16 @@ class CsvFiles:
         if self.listing is not None:
             # files without a single record only show up in the listing, whose paths are spelled plainly
             spot = lambda c: F.regexp_replace(c, "^[a-z0-9]+:/+", "/")
-            listed = self.listing.select(spot(F.col("listed")).alias("spot"))
+            listed = self.listing.select(spot(F.col("listed")).alias("spot"), "hidden")
             known = table.select(spot(decode_path(F.col("path"))).alias("spot"))
             empty = listed.join(known, "spot", "left_anti").select(
                 F.col("spot").alias("path"),
                 logical_name(F.col("spot")).alias("file"),
                 F.lit(None).cast("string").alias("header"),
                 F.lit(None).cast("bigint").alias("header_id"),
-                F.lit("read header: EOF").alias("failure"),
+                F.when(F.col("hidden"), F.lit("read header: names starting with _ or . cannot be read"))
+                .otherwise(F.lit("read header: EOF"))
+                .alias("failure"),
             )
             table = table.unionByName(empty)
         return materialize(table, "csv-files")
@@ -323,8 +360,7 @@ class CsvFiles:
             return self._without(self.numbered, first_ids)
         plain = self.numbered.join(self.glued_paths(), "path", "left_anti")
         plain_firsts = first_ids.join(self.glued_paths(), "path", "left_anti")
-        zero = F.lit(0).cast("bigint")
-        glued = self.glued.filter("id > 0").select("path", zero.alias("block"), "record", "id")
+        glued = self.glued.filter("id > 0").select("path", glued_range(F.col("id")).alias("block"), "record", "id")
         return self._without(plain, plain_firsts).unionByName(glued)
 
     def _without(self, lines: DataFrame, first_ids: DataFrame) -> DataFrame:
@@ -361,8 +397,9 @@ class CsvFiles:
     def with_row_numbers(self, records: DataFrame) -> DataFrame:
         """Add `file` and `__row_number` (header is 1) to rows that still carry path, block and id."""
         offsets = self.blocks.select("path", "block", "file", "first_id", "before", "headers")
-        joined = records.join(small_side(offsets, self.split_count, ROW_BYTES), ["path", "block"])
-        number = F.col("before") + F.col("id") - F.col("first_id") + 2 - F.col("headers")
+        joined = records.join(small_side(offsets, self.split_count, ROW_BYTES), ["path", "block"], "left")
+        lost = F.raise_error(F.concat(F.lit("no split found for a record of "), F.col("path"))).cast("bigint")
+        number = F.coalesce("before", lost) + F.col("id") - F.col("first_id") + 2 - F.col("headers")
         return joined.withColumn("__row_number", number).drop("first_id", "before", "headers")
 
     def failures(self, rules: Rules) -> DataFrame:
@@ -370,6 +407,10 @@ class CsvFiles:
         return self.positions(rules).filter("failure IS NOT NULL").select("path", "file", "failure")
 
 
+def glued_range(record_no: Column) -> Column:
+    return F.floor(record_no / GLUED_RANGE)
+
+
 def number_quoted_lines(lines: DataFrame, splits: int) -> DataFrame:
     """Record number (header is 0) and quoting state of every line; kept as a scratch table.
 
@@ -379,8 +420,9 @@ def number_quoted_lines(lines: DataFrame, splits: int) -> DataFrame:
     in_split = Window.partitionBy("path", "block").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
 
-    counted = lines.withColumn("id", F.monotonically_increasing_id()).withColumn(
-        "quotes", quote_count(F.col("record"))
+    counted = materialize(
+        lines.withColumn("id", F.monotonically_increasing_id()).withColumn("quotes", quote_count(F.col("record"))),
+        "csv-counted-lines",
     )
     opening = (
         counted.groupBy("path", "block")

@@ -188,7 +188,7 @@ def test_batch_order(spark):
 def test_hot_key_numbering(spark):
     """A key holding a third of the rows is numbered in chunks, with the same result as one window."""
     rows = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 50).cast("string")).alias("k"))
-    numbered = number_within(rows, "k", ["id"], F.floor(F.col("id") / 100), first=2, hot_rows=200)
+    numbered = number_within(rows, "k", [F.floor(F.col("id") / 100)], ["id"], first=2)
     seen = {}
     for r in sorted(numbered.collect(), key=lambda r: r.id):
         seen[r.k] = seen.get(r.k, 1) + 1
