@@ -303,9 +303,11 @@ def ragged_align(spark, sf_dir):
     value = (
         F.when(key % 3 == 0, key.cast("string"))
         .when(key % 3 == 1, F.concat_ws(",", key, "o_custkey"))
-        .otherwise(F.concat_ws(",", key, "o_custkey", "o_orderstatus", F.lit("extra"), F.lit("more")))
+        .when(key % 101 == 0, F.concat_ws(",", key, "o_custkey", "o_orderstatus", F.repeat(F.lit("x,"), 30_000)))
+        .otherwise(F.concat_ws(",", key, "o_custkey", "o_orderstatus", F.lit("extra"), F.lit('"mo,re"')))
     )
-    lines = orders.select(F.lit("all").alias("key_file"), key.alias("position"), value.alias("value"))
+    spread = F.concat(F.lit("part"), (key % 64).cast("string"))
+    lines = orders.select(spread.alias("key_file"), key.alias("position"), value.alias("value"))
     files = read_csv_directory(spark, csv_lines(with_headers(lines, F.lit("id,cust,status"))))
     rules = parse_rules({"fields": [{"name": n, "type": "string"} for n in ("id", "cust", "status")]})
     rows, cells = files.table(rules)

@@ -157,6 +157,10 @@ class CsvFiles:
 
     lines: DataFrame
     listing: DataFrame | None = None
+    by_path: bool = False  # every physical file stands for itself, parts are not folded into one file
+
+    def _name(self, path: Column) -> Column:
+        return path if self.by_path else logical_name(path)
 
     # -- one narrow pass over the lines ---------------------------------------------------------
 
@@ -261,7 +265,7 @@ class CsvFiles:
         of_name = Window.partitionBy("file").orderBy(*part_order())
         before = of_name.rowsBetween(Window.unboundedPreceding, -1)
         table = (
-            plain.withColumn("file", logical_name(decode_path(F.col("path"))))
+            plain.withColumn("file", self._name(decode_path(F.col("path"))))
             .withColumn("headers", F.when(F.row_number().over(of_file) == 1, 1).otherwise(0))
             .withColumn("before", F.coalesce(F.sum(F.col("n") - F.col("headers")).over(before), F.lit(0)))
         )
@@ -293,7 +297,7 @@ class CsvFiles:
             known = table.select(spot(decode_path(F.col("path"))).alias("spot"))
             empty = listed.join(known, "spot", "left_anti").select(
                 F.col("spot").alias("path"),
-                logical_name(F.col("spot")).alias("file"),
+                self._name(F.col("spot")).alias("file"),
                 F.lit(None).cast("string").alias("header"),
                 F.lit(None).cast("bigint").alias("header_id"),
                 F.when(F.col("hidden"), F.lit("read header: names starting with _ or . cannot be read"))

@@ -26,9 +26,11 @@ def stream_gate(
     files_per_batch: int = 1000,
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Check arriving CSV files; every file is one unit, as in the folder job.
+    """Check arriving CSV files; the unit is one physical file, whichever micro-batch it comes in.
 
-    Typed rows, rejected rows (file, __row_number, __errors, cells) and failed files (path, file,
+    Row numbers count within that file and a malformed one fails alone; parts are not folded into logical
+    files, as they may arrive in different batches. Empty files and names that start with _ or . hold no
+    lines for Spark's source and leave no trace. Typed rows, rejected rows (file, __row_number, __errors, cells) and failed files (path, file,
     failure) are Parquet tables partitioned by micro-batch. A batch that runs again after a failure
     replaces its own folders, so nothing is written twice.
     """
@@ -50,7 +52,7 @@ def stream_gate(
 
 def gate_batch(lines: DataFrame, rules: Rules, good: str, quarantine: str, failed: str) -> None:
     """One micro-batch: the same steps as the folder job, on the lines of the new files."""
-    files = CsvFiles(lines)
+    files = CsvFiles(lines, by_path=True)
     if files.line_blocks.isEmpty():
         return
     table, cells = files.table(rules)
