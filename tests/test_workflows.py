@@ -42,19 +42,18 @@ def test_validate_file(spark, tmp_path):
     rules = tmp_path / "rules.json"
     rules.write_text(json.dumps(DOCUMENT))
     result = validate_csv(spark, source, str(rules), f"{tmp_path}/ok", f"{tmp_path}/bad")
-    assert (result.stats.total_rows, result.stats.valid_rows, result.stats.invalid_rows) == (7, 4, 3)
+    assert (result.stats.total_rows, result.stats.valid_rows, result.stats.invalid_rows) == (7, 3, 4)
     assert result.parquet_path.endswith("/ok/in.parquet") and result.error_csv_path.endswith("/bad/in_error.csv")
     errors = read_parts(result.error_csv_path)["in_error.csv"]
     assert errors[0] == ["__row_number", "__errors", *HEADER]
-    assert [(r[0], r[1], r[2]) for r in errors[1:]] == [("3", ERRORS[""], ""), ("4", ERRORS["r3"], "r3"), ("5", ERRORS["r4"], "r4")]
-    assert errors[2][7] == " N/A " and len(errors[3]) == 13
+    numbers = {"P1": "3", "PX12": "4", "PX13": "5", "PX15": "7"}
+    assert [(r[0], r[1], r[2]) for r in errors[1:]] == [(numbers[k], ERRORS[k], k) for k in ERRORS]
+    assert errors[2][3] == " " and len(errors[3]) == 2 + len(HEADER)
     footer = pq.ParquetFile(glob.glob(result.parquet_path + "/part*")[0])
     assert footer.metadata.row_group(0).column(0).compression == "SNAPPY"
-    assert [f.name for f in footer.schema_arrow if not f.nullable] == [
-        f["parquet_name"] if "parquet_name" in f else f["name"] for f in DOCUMENT["fields"] if f.get("required")
-    ]
+    assert [f.name for f in footer.schema_arrow if not f.nullable] == ["parcel_no", "weight", "scanned"]
     types = {f.name: str(f.type) for f in footer.schema_arrow}
-    assert types["event_date"] == "date32[day]" and types["created_at"] == "timestamp[us, tz=UTC]"
+    assert types["due"] == "date32[day]" and types["scanned"] == "timestamp[us, tz=UTC]"
 
 
 def test_empty_error_policy(spark, tmp_path):
@@ -133,26 +132,26 @@ def test_auto(spark, tmp_path, folders):
     assert result.split_primary_key == "key"
     assert (result.split_summary.missing_key_rows, result.split_summary.output_files) == (1, 4)
     summary = result.validation.summary
-    assert (summary.files, summary.total_rows, summary.valid_rows, summary.invalid_rows) == (5, 7, 4, 3)
+    assert (summary.files, summary.total_rows, summary.valid_rows, summary.invalid_rows) == (5, 7, 3, 4)
     batch = result.batch_summary
-    assert (batch.input_files, batch.batches, batch.total_rows) == (5, 3, 4)
-    rows = spark.read.parquet(f"{tmp_path}/batch_export").select("record_id", "validation_batch").collect()
+    assert (batch.input_files, batch.batches, batch.total_rows) == (5, 3, 3)
+    rows = spark.read.parquet(f"{tmp_path}/batch_export").select("parcel_no", "validation_batch").collect()
     # name order: a, b, c, missing_keys, n_a
-    assert sorted(map(tuple, rows)) == [("r1", 1), ("r5", 2), ("r6", 1), ("r7", 3)]
+    assert sorted(map(tuple, rows)) == [("PX10", 1), ("PX14", 2), ("PX16", 3)]
     errors = read_parts(f"{tmp_path}/errors")
     if folders:
-        assert {k: [r[0] for r in v[1:]] for k, v in errors.items()} == {
-            "source_file=a": ["3"], "source_file=b": ["2"], "source_file=c": [], "source_file=missing_keys": ["2"],
+        assert {k: sorted(r[0] for r in v[1:]) for k, v in errors.items()} == {
+            "source_file=a": ["3"], "source_file=b": ["2", "3"], "source_file=c": [], "source_file=missing_keys": ["2"],
             "source_file=n_a": [],
         }
         assert len(read_parts(f"{tmp_path}/split")) == 5
         again = batch_directory(spark, f"{tmp_path}/success", f"{tmp_path}/again", 2)
-        assert (again.input_files, again.batches, again.total_rows) == (5, 3, 4)
+        assert (again.input_files, again.batches, again.total_rows) == (5, 3, 3)
     else:
         body = [r[:2] for r in errors["errors"] if r[0] != "source_file"]
-        assert sorted(body) == [["a", "3"], ["b", "2"], ["missing_keys", "2"]]
+        assert sorted(body) == [["a", "3"], ["b", "2"], ["b", "3"], ["missing_keys", "2"]]
     document = json.loads(result_frame(spark, result).first().result)
-    assert document["validation"]["summary"]["valid_rows"] == 4
+    assert document["validation"]["summary"]["valid_rows"] == 3
     with pytest.raises(ValueError, match="batch_export_dir must differ from batch_dir"):
         auto(spark, source, rules, batch_export_dir=f"{tmp_path}/success")
 
@@ -216,6 +215,6 @@ def test_stream_equals_directory(spark, tmp_path):
     columns = ["id", "q", "note"]
     good = sorted(map(str, spark.read.parquet(outs[0]).select(*columns).collect()))
     assert good == sorted(map(str, spark.read.parquet(f"{tmp_path}/ok").select(*columns).collect())) and len(good) == 162
-    rejected = {(r.file, r["__row_number"]) for r in spark.read.parquet(outs[1]).collect()}
+    rejected = {(r.file.rsplit("/", 1)[1], r["__row_number"]) for r in spark.read.parquet(outs[1]).collect()}
     assert rejected == {("a.csv", 3), ("b b+c%20.csv", 3), ("e.CSV", 3)}
     assert {r.file for r in spark.read.parquet(outs[2]).collect()} == {"c.csv", "g.csv", "i.csv", "j.csv"}
