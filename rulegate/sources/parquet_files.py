@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rulegate.functions.text import decode_path
 from rulegate.session import glob, materialize
 
+# workers need not be able to import this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 PARQUET_GLOB = "*.[pP][aA][rR][qQ][uU][eE][tT]"
 SOURCE_FOLDER = "source_file="  # folders written by the directory jobs: one logical file each
 SOURCES_TABLE = "_sources"  # per-file counts next to them; Spark skips the name when reading rows
