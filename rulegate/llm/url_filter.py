@@ -1,8 +1,8 @@
 """URL filter: a blocked Bloom filter in front of an exact hash join.
 
 A list holds canonical URL prefixes, each a host (it covers its subdomains) and a path prefix, with a verdict.
-A URL asks for every (host suffix, path prefix) that an entry could have; path prefixes are taken at the
-lengths that occur in the list. Nearly all of these keys are not listed, so each is first tested against the
+A URL asks for every (host suffix, path prefix) that an entry could have; suffixes are taken with the numbers of labels and path
+prefixes at the lengths that occur in the list, so a host of very many labels asks no more. Nearly all of these keys are not listed, so each is first tested against the
 filter: one 256-bit block per key, found by hash, and one bit in each of the block's eight words. Keys that
 pass are joined to the list by their full text, which removes the false positives; the longest entry wins.
 
@@ -69,19 +69,23 @@ def bloom(listed: DataFrame, keys: int) -> tuple[DataFrame, int]:
     return set_bits.groupBy("block").agg(*[F.bit_or(f"w{k}").alias(f"w{k}") for k in range(WORDS)]), blocks
 
 
-def host_suffixes(host: Column) -> Column:
-    """The host and every parent domain; none for an empty host."""
+def host_suffixes(host: Column, numbers: Sequence[int]) -> Column:
+    """The host and its parent domains that have one of these numbers of labels; none for an empty host."""
     labels = F.split(host, r"\.", -1)
-    all_of = F.transform(
-        F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels) - k + 1), ".")
-    )
+    fitting = F.filter(F.array(*[F.lit(n) for n in numbers]), lambda n: n <= F.size(labels))
+    all_of = F.transform(fitting, lambda n: F.array_join(F.slice(labels, F.size(labels) - n + 1, n), "."))
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.filter(all_of, lambda h: h != ""))
 
 
 def judge(urls: DataFrame, listed: DataFrame, url_col: str = "url", id_col: str = "page_id", default: str = "allow") -> DataFrame:
     """(id, host, path, verdict, entry, listed_by): the longest entry that fits each URL, or the default."""
     listed = listed.withColumn("key", key_of(F.col("host"), F.col("path")))
-    stats = listed.agg(F.count("*").alias("n"), F.collect_set(F.length("path")).alias("lengths"), F.sum(F.octet_length("key")).alias("bytes")).first()
+    stats = listed.agg(
+        F.count("*").alias("n"),
+        F.collect_set(F.length("path")).alias("lengths"),
+        F.collect_set(F.size(F.split("host", r"\."))).alias("labels"),
+        F.sum(F.octet_length("key")).alias("bytes"),
+    ).first()
     host, path = host_and_path(F.col(url_col))
     split = urls.select(id_col, host.alias("host"), path.alias("path"))
     if not stats["n"]:
@@ -91,7 +95,7 @@ def judge(urls: DataFrame, listed: DataFrame, url_col: str = "url", id_col: str
     lengths = F.array(*[F.lit(n) for n in sorted(stats["lengths"])])
     fitting = F.filter(lengths, lambda n: n <= F.length("path"))
     asked = (
-        pairs.select("host", "path", F.explode(host_suffixes(F.col("host"))).alias("suffix"))
+        pairs.select("host", "path", F.explode(host_suffixes(F.col("host"), sorted(stats["labels"]))).alias("suffix"))
         .select("host", "path", "suffix", F.explode(fitting).alias("n"))
         .select("host", "path", "suffix", "n", F.concat("suffix", F.substring(F.col("path"), F.lit(1), F.col("n"))).alias("key"))
     )
