@@ -5,13 +5,14 @@ number of weights. FTRL-proximal gives each weight its own rate and an L1 thresh
 stay exactly zero; the rest is small enough to broadcast, and a text's score is the sum over the few of its
 features that carry weight.
 
-The fit uses at most `SAMPLE` labelled rows, those with the smallest hashes of their ids; this bound is the only
-one, and scoring covers every whole text. Texts are read in blocks, so a long one needs no more memory.
+The fit uses at most `SAMPLE` labelled documents, those with the smallest hashes of their ids, and of these as many
+as hold `SAMPLE_FEATURES` features together; these bounds are the only ones, and scoring covers every whole text.
+Texts are read in blocks, so a long one needs no more memory.
 
 Defined results: a null or empty text scores the bias alone; without any labelled row every score is 0.5 and
 `predicted` follows the same rule as elsewhere; labels that are null are no labels, and a document labelled
-twice is toxic if any label says so; repeated rows score alike; only
-the named columns are carried.
+twice is toxic if any label says so; a document id of several rows is learned from once, by its greatest text;
+repeated rows score alike; only the named columns are carried.
 """
 
 from __future__ import annotations
@@ -20,15 +21,16 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from rulegate.llm.common import by_value
 
 by_value(__name__)
 
 SAMPLE = 16_000
+SAMPLE_FEATURES = 32_000_000
 BITS = 20
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 0.0
+ALPHA, BETA, L1, L2 = 3.0, 1.0, 3.0, 0.0
 EPOCHS = 4
 BLOCK = 1 << 21  # bytes of a text taken at once
 WORDS_KEPT = 300_000
@@ -100,15 +102,16 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, epochs: i
     return w[:-1], float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", sample: int = SAMPLE) -> tuple[list[int], list[float], float]:
+def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", sample: int = SAMPLE, sample_features: int = SAMPLE_FEATURES) -> tuple[list[int], list[float], float]:
     """(feature numbers, their weights, bias). `labels` holds only rows that may be learned from.
 
-    Ids are chosen first (at most `sample`, so the choice can be broadcast); their texts become feature numbers
-    on the executors, and one task fits the bounded sample."""
+    Ids are chosen first (at most `sample`, so the choice can be broadcast), rows that share one meet map-side;
+    their texts become feature numbers on the executors, and one task fits the bounded sample."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("__label"))
     order = F.xxhash64(F.col(id_col).cast("string"), F.lit(7))
     chosen = known.withColumn("__order", order).orderBy("__order", id_col).limit(sample)
-    rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select("__order", "__label", text_col)
+    rows = docs.select(id_col, F.col(text_col).alias("__text")).join(F.broadcast(chosen), id_col)
+    rows = rows.groupBy(id_col, "__order", "__label").agg(F.max("__text").alias("__text")).select("__order", "__label", "__text")
 
     def extract(batches):
         features = Features()
@@ -127,7 +130,9 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
         return pa.table({"at": pa.array(np.append(at, -1), pa.int64()), "weight": np.append(weights[at], bias)})
 
     extracted = rows.mapInArrow(extract, "o long, y int, x array<int>").withColumn("all", F.lit(0))
-    learned = extracted.groupBy("all").applyInArrow(learn, "at long, weight double").toArrow()
+    so_far = F.sum(F.size("x")).over(Window.partitionBy("all").orderBy("o").rowsBetween(Window.unboundedPreceding, 0))
+    bounded = extracted.withColumn("so_far", so_far).where(F.col("so_far") <= sample_features).drop("so_far")
+    learned = bounded.groupBy("all").applyInArrow(learn, "at long, weight double").toArrow()
     at, weight = learned.column("at").to_pylist(), learned.column("weight").to_pylist()
     bias = next((w for a, w in zip(at, weight) if a < 0), 0.0)
     pairs = [(a, w) for a, w in zip(at, weight) if a >= 0]
