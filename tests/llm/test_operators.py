@@ -196,6 +196,16 @@ def test_toxicity(spark, odd_docs, no_docs):
     assert {r["score"] for r in toxicity.score(odd_docs, unlearned).collect()} == {0.5}
 
 
+def test_toxicity_sample_bounds(spark):
+    """Rows that share a labelled id are learned from once; the feature bound cuts in the order of the sample."""
+    docs = spark.createDataFrame([(i, f"word{i} vile") for i in range(40)] + [(1, "word1 vile")] * 50, "doc_id long, text string")
+    labels = docs.select("doc_id", F.lit(1).alias("toxic")).distinct()
+    once = spark.createDataFrame([(i, f"word{i} vile") for i in range(40)], "doc_id long, text string")
+    assert toxicity.fit(docs, labels) == toxicity.fit(once, labels)
+    assert toxicity.fit(docs, labels, sample_features=0) == ([], [], 0.0)
+    assert toxicity.fit(docs, labels, sample_features=10)[2] < toxicity.fit(docs, labels)[2]
+
+
 def test_long_text_is_read_in_blocks(monkeypatch):
     text = " ".join(f"w{i % 37}" for i in range(2_000))
     whole = toxicity.Features().distinct(text)
@@ -206,6 +216,13 @@ def test_long_text_is_read_in_blocks(monkeypatch):
 # ---- URLs ----------------------------------------------------------------------------------------
 
 
+def test_url_host_of_many_labels(spark):
+    listed = url_filter.entries(spark, [("org/", "allow"), ("b.org/", "block")], "rule")
+    urls = spark.createDataFrame([(1, "http://" + "a." * 20_000 + "b.org/x"), (2, "http://" + "." * 5_000 + "org/"), (3, "http://b.org./")], "page_id long, url string")
+    found = {r["page_id"]: (r["verdict"], r["entry"]) for r in url_filter.judge(urls, listed).collect()}
+    assert found == {1: ("block", "b.org/"), 2: ("allow", "org/"), 3: ("allow", None)}
+
+
 def test_url_filter(spark):
     rules = [("org/", "allow"), ("a.org/x", "block"), ("net/", "block"), ("b.net/ok/", "allow")]
     listed = url_filter.entries(spark, rules, "rule").union(url_filter.entries(spark, [("evil.com/", "block"), ("c.a.org/x", "allow")], "list"))

@@ -56,5 +56,11 @@ def test_stages(spark, sf_dir, odd_docs):
     assert packed.where("piece = 0").count() == masked.count()
 
 
+def test_nothing_learned_keeps_all(spark, sf_dir, tmp_path):
+    spark.read.parquet(f"{sf_dir}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).count() == docs.count()
+
+
 def test_pipeline_runs(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).select("doc_id").distinct().count() > 0
