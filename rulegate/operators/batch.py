@@ -10,7 +10,7 @@ from rulegate.functions.text import decode_path
 from rulegate.operators.numbering import global_rank
 from rulegate.operators.sinks import write_typed
 from rulegate.rules import quoted
-from rulegate.session import absolute, materialize, small_side
+from rulegate.session import absolute, glob, job, materialize, small_side
 from rulegate.sources.parquet_files import footers, list_parquet, parquet_paths, spot
 
 BATCH_FOLDER = "validation_batch"
@@ -64,13 +64,21 @@ def write_batches(rows: DataFrame, order: list[str], path: str, mode: str = "ove
     write_typed(sorted_rows.drop("__part", *order), path, BATCH_FOLDER, mode)
 
 
+def written_rows(spark: SparkSession, path: str) -> int:
+    """Rows of an export folder, counted from its footers by Spark; 0 when there is none."""
+    if not glob(spark, f"{path.rstrip('/')}/{BATCH_FOLDER}=*"):
+        return 0
+    return spark.read.schema(f"{BATCH_FOLDER} string").parquet(path).count()
+
+
+@job
 def batch_directory(
     spark: SparkSession, input_dir: str, output_dir: str, batch_size: int = 1000, clear: bool = True
 ) -> BatchSummary:
     """Merge the Parquet files of a folder, `batch_size` files per batch.
 
     Files of one batch must share a schema; a batch with a stray file is left out, the others are
-    written, and the first conflict is raised at the end.
+    written, and the first conflict is raised at the end. Rows written are checked against the footers read.
     """
     if not input_dir.strip():
         raise ValueError("missing batch input directory")
@@ -102,16 +110,20 @@ def batch_directory(
     )
     shapes = [r.fingerprint for r in plan.select("fingerprint").distinct().collect()]  # one per schema
     whole_folder = parquet_paths(spark, input_dir) if len(shapes) == 1 and not bad_batches else None
+    kept = 0 if clear else written_rows(spark, output_dir)
     for n, shape in enumerate(sorted(shapes)):
         part = plan.filter(F.col("fingerprint") == shape)
         _write_shape(part, output_dir, clear and n == 0, whole_folder)
+    total_rows = plan.agg(F.coalesce(F.sum("num_rows"), F.lit(0)).alias("n")).first().n
+    arrived = written_rows(spark, output_dir) - kept if shapes else 0
+    if arrived != total_rows:
+        raise BatchError(f"batch phase failed: {arrived} rows written, {total_rows} rows in the input files")
     if bad_batches:
         worst = conflicts.orderBy("batch_no", "file_rank", "path").select("batch_no", spot(F.col("path")).alias("path"))
         found = worst.first()
         raise BatchError(
             f"batch phase failed: write batch {found.batch_no}: schema mismatch for {quoted(found.path)}"
         )
-    total_rows = plan.agg(F.coalesce(F.sum("num_rows"), F.lit(0)).alias("n")).first().n
     return BatchSummary(totals.files, totals.batches, size, total_rows, output_dir)
 
 

@@ -27,7 +27,7 @@ from rulegate.operators.split import (
 )
 from rulegate.operators.validate import Validation, validate
 from rulegate.rules import Rules, load_rules, quoted, strip
-from rulegate.session import absolute, glob, materialize, pin, remove, small_side
+from rulegate.session import absolute, glob, job, materialize, pin, remove, small_side
 from rulegate.sources.csv_files import (
     ROW_BYTES,
     CsvFiles,
@@ -164,6 +164,7 @@ def original_cells(width: int) -> list[Column]:
 # -- split ---------------------------------------------------------------------------------------
 
 
+@job
 def split_csv(
     spark: SparkSession,
     input_csv: str,
@@ -197,6 +198,7 @@ def _keyed_records(files: CsvFiles, position: int, missing_file: str) -> DataFra
 # -- validate ------------------------------------------------------------------------------------
 
 
+@job
 def validate_csv(
     spark: SparkSession,
     input_csv: str,
@@ -239,6 +241,7 @@ def _write_errors(
     write_csv(numbered, path, header, original_cells(len(header)), extra=ERROR_COLUMNS)
 
 
+@job
 def validate_directory(
     spark: SparkSession,
     input_dir: str,
@@ -346,6 +349,7 @@ def write_header_only(sources: DataFrame, error_dir: str) -> None:
 # -- auto ----------------------------------------------------------------------------------------
 
 
+@job
 def auto(
     spark: SparkSession,
     input_csv: str,

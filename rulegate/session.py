@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextvars import ContextVar
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -17,6 +19,7 @@ PINNED = {
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 _local_scratch: str | None = None
+_job_folder: ContextVar[str | None] = ContextVar("job_folder", default=None)
 
 
 def pin(spark: SparkSession) -> SparkSession:
@@ -35,7 +38,7 @@ def scratch_root(spark: SparkSession) -> str:
     )
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.partition("[")[0] != "local":  # a local-cluster has executors of its own
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     if _local_scratch is None:
         _local_scratch = tempfile.mkdtemp(prefix="rulegate-")
@@ -43,7 +46,26 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{_job_folder.get() or scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def job(run):
+    """Decorator of a job (spark, ...) whose results are all written: its scratch tables lie in one folder, which
+    is removed when it ends or fails. A job inside a job shares the outer one's folder."""
+
+    @wraps(run)
+    def wrapped(spark: SparkSession, *args, **kwargs):
+        if _job_folder.get():
+            return run(spark, *args, **kwargs)
+        folder = scratch_path(spark, "job")
+        token = _job_folder.set(folder)
+        try:
+            return run(spark, *args, **kwargs)
+        finally:
+            _job_folder.reset(token)
+            remove(spark, folder)
+
+    return wrapped
 
 
 def materialize(df: DataFrame, label: str, partition: str | None = None) -> DataFrame:

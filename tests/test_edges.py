@@ -1,8 +1,12 @@
 """Inputs that differ between scans, odd file names, very wide records, and runs on top of earlier ones."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
+from rulegate import session
+from rulegate.operators.batch import batch_directory
 from rulegate.plans.workflows import DirectoryError, auto, validate_csv, validate_directory
 from rulegate.rules import parse_rules
 from rulegate.sources.csv_files import first_cells, read_csv_file
@@ -120,3 +124,14 @@ def test_micro_batch_counts_within_physical_files(spark, tmp_path):
     gate_batch(read_lines(spark, source), RULES, *out)
     found = spark.read.parquet(out[1]).select("file", "__row_number").collect()
     assert [r["__row_number"] for r in found] == [2, 2] and len({r["file"] for r in found}) == 2
+
+
+def test_scratch_tables_go_with_the_job(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "scratch_root", lambda spark: f"{tmp_path}/scratch")
+    folder = write(tmp_path / "in", {"a.csv": "k,n\na,1\nb,z\n"})
+    auto(spark, f"{folder}/a.csv", RULES, *(f"{tmp_path}/{n}" for n in ("split", "ok", "bad")), batch_export_dir=f"{tmp_path}/export")
+    validate_csv(spark, f"{folder}/a.csv", RULES, f"{tmp_path}/ok1", f"{tmp_path}/bad1")
+    with pytest.raises(FileNotFoundError):
+        batch_directory(spark, str(tmp_path / "in"), f"{tmp_path}/x")
+    assert os.listdir(tmp_path / "scratch") == []
+    assert spark.read.parquet(f"{tmp_path}/export").count() == 1
