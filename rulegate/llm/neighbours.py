@@ -7,12 +7,14 @@ current k-th would have been handed out before with probability `CONFIDENCE`: th
 reached, over the squared k-th distance, passes the chi-square quantile.
 
 The tree's upper part, fitted on a bounded sample, cuts all rows into blocks; every row is indexed. A query first
-searches its own block, then, with the distance it has, just those blocks whose box in the projected space the
+searches the block nearest to it, then, with the distance it has, just those blocks whose box in the projected space the
 same test does not rule out. Blocks that ties or clusters make too large are cut by hash, and the queries of a
 block into slices, so no task holds more than a block and a slice.
 
-Largest inner products are nearest neighbours once every vector is given one more coordinate that brings it to
-the largest norm. Scores are inner products of the original vectors in double precision.
+Largest inner products are nearest neighbours once every indexed vector is given one more coordinate that brings
+it to the largest norm, and a query a zero there: the squared distance is then a constant of the query less twice
+the inner product. A row that asks therefore has two projections, one as a vector of the index and one as a query,
+and the block it searches first is the one nearest to the latter. Scores are inner products of the original vectors in double precision.
 
 Defined results: vectors that are null, zero, or hold null or non-finite numbers take no part, nor do rows
 without an id or with another length than the most common one; a query with fewer candidates gets them all;
@@ -156,7 +158,7 @@ class Block:
         own = np.einsum("ij,ij->i", queries, queries) + norms * norms
         active = np.arange(n)
         for step in range(far.shape[1]):
-            # 2 * (norms^2-ish constant) - 2 * score is the squared distance of the lifted vectors
+            # |q|^2 + norms^2 - 2 * score is the squared distance of the query, zero lifted, to a lifted vector
             kth = np.maximum(own[active] - 2 * best[active, -1], 0)
             reach = np.minimum(kth, bound[active])
             active = active[far[active, step] <= limit * reach]
@@ -258,9 +260,25 @@ def search(rows: DataFrame, is_query: Column, k: int = NEAREST, id_col: str = "v
 
         return rows.union(queries).groupBy("part", "slice").applyInArrow(run, FOUND)
 
-    queries = placed.where(is_query).select("part", F.col("vec_id").alias("query_id"), "v", "p")
+    def settle(batches):
+        """A query's projection (zero in the extra coordinate) and the nearest box; of several, one by its id."""
+        parts, low, high = shared.value
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                b = batch.slice(lo, 512)
+                points = matrix(b.column(1)) @ axes[:width]
+                far = box_distance(points, low, high)
+                near = far == far.min(axis=1, keepdims=True)
+                mixed = (b.column(0).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+                turn = mixed.astype(np.int64) % near.sum(axis=1)
+                home = (np.cumsum(near, axis=1) > turn[:, None]).argmax(axis=1)
+                p = pa.FixedSizeListArray.from_arrays(pa.array(points.ravel()), DIMENSIONS).cast(pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([pa.array(parts[home]), *b.columns, p], ["part", "query_id", "v", "p"])
+
+    asking = placed.where(is_query).select(F.col("vec_id").alias("query_id"), "v")
+    queries = materialize(asking.mapInArrow(settle, "part long, query_id long, v array<double>, p array<double>"), "neighbours-queries")
     home = materialize(visit(placed, queries.withColumn("bound", F.lit(float("inf")))), "neighbours-home")
-    # squared lifted distance of the k-th found, infinite while there are fewer
+    # squared distance of the k-th found under the lifting, infinite while there are fewer
     kth = home.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
     norm2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     reach = F.when(F.col("n") >= k, F.greatest(norm2 + F.lit(norm * norm) - 2 * F.col("least"), F.lit(0.0))).otherwise(F.lit(float("inf")))

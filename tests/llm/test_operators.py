@@ -341,6 +341,23 @@ def test_recall_of_neighbours(spark, block):
     assert hits >= 0.9 * total
 
 
+def test_recall_of_neighbours_of_mixed_norms(spark):
+    rng = np.random.default_rng(5)
+    n, width = 2_000, 31  # the projection of the extra coordinate is long at this width
+    v = rng.standard_normal((40, width))[rng.integers(0, 40, n)] + 0.02 * rng.standard_normal((n, width))
+    v *= (np.where(rng.random(n) < 0.5, 1.0, 0.1) / np.linalg.norm(v, axis=1))[:, None]
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    found = defaultdict(set)
+    for r in neighbours.search(rows, F.col("vec_id") % 20 == 0, block=300).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    hits = 0
+    for q in range(0, n, 20):
+        score = v @ v[q]
+        score[q] = -np.inf
+        hits += len(found[q] & set(np.lexsort((np.arange(n), -score))[:20].tolist()))
+    assert hits >= 0.9 * n
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     good = [(i, [float(i % 3), 1.0, 0.5]) for i in range(1, 45)]
