@@ -319,6 +319,17 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     return marked.join(named, "fp").select(id_col, "fp", "component_id", "root")
 
 
+def one_row_each(marked: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of `marked` (row, id, mark), one per component of `found` (node, root), which holds marks: the one with
+    the smallest id, ties by mark; a component without any id keeps one row."""
+    rooted = marked.select("id", "mark").join(found.withColumnRenamed("node", "mark"), "mark", "left")
+    counted = rooted.groupBy(F.coalesce("root", "mark").alias("root"), "id", "mark").agg(F.count("*").alias("copies"))
+    first = counted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "mark", "copies")).alias("f"))
+    first = materialize(first.select("root", F.col("f.id").alias("own"), F.col("f.mark").alias("mark"), F.col("f.copies").alias("copies")), "representatives")
+    stays = marked.join(first, "mark").where(F.col("id").eqNullSafe(F.col("own")))
+    return stays.where("copies = 1").select("row").union(stays.where("copies > 1").dropDuplicates(["root"]).select("row"))
+
+
 def one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of `docs` that represent their component: those with its smallest id.
 

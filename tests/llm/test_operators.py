@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rulegate.llm import bpe, language_id, neighbours, packing, quality_rules, secret_scan, simhash, toxicity, url_filter, warc
+from rulegate.llm import bpe, language_id, near_copies, neighbours, packing, quality_rules, secret_scan, simhash, toxicity, url_filter, warc
 from rulegate.llm.common import held_out, table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -311,6 +311,40 @@ def test_one_of_each(spark, odd_docs, no_docs):
     assert simhash.one_of_each(no_docs).count() == simhash.near_duplicates(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("members", [near_copies.MEMBERS, 3])
+def test_near_copies_by_jaccard(spark, odd_docs, no_docs, members):
+    rng = np.random.default_rng(3)
+    rows = []
+    for group in range(8):
+        words = [f"w{x}" for x in rng.integers(0, 5_000, 150)]
+        for copy in range(5):  # 0, 1, 2, 5 and 9 words differ: similarities on both sides of 0.8
+            text = list(words)
+            for at in rng.choice(150, (0, 1, 2, 5, 9)[copy], replace=False):
+                text[at] = f"x{group}{copy}"
+            rows.append((1_000 + len(rows), " ".join(text)))
+    docs = odd_docs.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
+
+    def plain(text):
+        words = (text or "").encode().lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    data = [tuple(r) for r in docs.collect()]
+    sets = [plain(t) for _, t in data]
+    label = list(range(len(data)))
+    for i in range(len(data)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and label[i] != label[j]:
+                label = [label[j] if x == label[i] else x for x in label]
+    least = {}
+    for (i, _), x in zip(data, label):
+        least[x] = min((v for v in (i, least.get(x)) if v is not None), default=None)
+    kept = near_copies.one_of_each(docs, members=members)
+    assert kept.columns == docs.columns
+    assert counted(r[:1] for r in kept.collect()) == counted((v,) for v in least.values())
+    assert 10 < len(least) < len(data) - 10
+    assert near_copies.one_of_each(no_docs).count() == 0
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(-5, 139)]
     found = simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()
