@@ -50,6 +50,19 @@ ADDED_RULES = [
 ]
 RULES = [*BASE_RULES, *ADDED_RULES]
 
+# For masking, a private key is all of it. From its header on, it goes to the END line if no other line of dashes comes
+# before; without one, it is the header, the fields of an encrypted key and the base64 that follows, in which a run
+# shorter than 16 counts only as a line of its own. Line breaks may be written as \n, lines may be quoted with `>`.
+# Possessive, so that the length of a key costs neither stack nor time.
+_GAP = r"(?:[\s>]|\\[nr])*+"
+KEY = (
+    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
+    r"(?:[^-]*+(?:-{1,4}+(?!-)[^-]*+)*+-----END [A-Z ]{0,20}PRIVATE KEY-----"
+    rf"|(?:{_GAP}(?:Proc-Type:\s*+\d,[A-Z]++|DEK-Info:\s*+[A-Z0-9-]++,[0-9A-Fa-f]++))*+"
+    rf"(?:(?:{_GAP}[A-Za-z0-9+/=]{{16,}}+)++(?:[\r\n]++[A-Za-z0-9+/]{{1,15}}+={{0,2}}+(?![^\r\n]))?+)?+)"
+)
+MASK_RULES = [*RULES[:-1], SecretRule("private_key", KEY)]
+
 # ---- Boolean trigram queries ------------------------------------------------------------------
 
 ALL = ("all",)  # every document
