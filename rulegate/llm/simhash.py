@@ -333,13 +333,8 @@ def one_row_each(marked: DataFrame, found: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of `docs` that represent their component: those with its smallest id.
 
-    Rows are told apart by id: of several rows with the id that stays, one remains. A component without any id
-    keeps one row."""
-    groups = materialize(near_duplicates(docs, text_col, id_col), "near-duplicates")
-    stays = groups.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("copies"))
-    once = docs.join(stays.where("copies = 1"), id_col, "left_semi")
-    several = docs.join(stays.where("copies > 1"), id_col, "left_semi").dropDuplicates([id_col])
-    nameless = groups.where(F.col("component_id").isNull()).select("fp", "root").distinct()
-    row = docs.where(F.col(id_col).isNull()).select(F.struct(*docs.columns).alias("__row"), F.col(text_col).alias("__own"))
-    marked = fingerprints(row, "__own", ["__row"]).join(nameless, "fp").dropDuplicates(["root"]).select("__row.*")
-    return once.unionByName(several).unionByName(marked)
+    Rows are told apart by id and fingerprint: of several rows with the id that stays, the one with the smallest
+    fingerprint remains. A component without any id keeps one row."""
+    row = docs.select(F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"))
+    marked = materialize(fingerprints(row, "text", ["row", "id"]), "near-duplicates").withColumnRenamed("fp", "mark")
+    return one_row_each(marked, components(links(marked.select(F.col("mark").alias("fp")).distinct()))).select("row.*")

@@ -345,6 +345,19 @@ def test_near_copies_by_jaccard(spark, odd_docs, no_docs, members):
     assert near_copies.one_of_each(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("one_of_each", [simhash.one_of_each, near_copies.one_of_each])
+def test_one_of_each_when_texts_share_an_id(spark, one_of_each):
+    north, south = " ".join(f"north{k}" for k in range(60)), " ".join(f"south{k}" for k in range(60))
+    for rows, sides in (
+        ([(1, north), (1, south), (2, north), (3, south)], {(1, north), (1, south)}),  # the id leads both components
+        ([(1, north), (2, south), (2, north), (1, north)], {(1, north), (2, south)}),
+        ([(5, north), (5, south), (4, south)], {(5, north), (4, south)}),  # and only one of them
+        ([(None, north), (None, south), (4, south)], {(None, north), (4, south)}),
+    ):
+        kept = one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert counted(kept) == Counter(sides)
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(-5, 139)]
     found = simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()
