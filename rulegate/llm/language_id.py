@@ -7,8 +7,9 @@ the bytes right before it alone: the cost of every context and byte met in train
 languages side by side, and a text's exact code length is a sum of table entries. The shortest code wins; its
 score is the weight of its code among those of all languages, with equal priors.
 
-Texts are read as their lower-case letters with single blanks between words. Training takes about
-`SAMPLE_BYTES` of text per language, chosen by a hash of the id; scoring covers every whole text.
+Texts are read as their lower-case letters with single blanks between words. Training takes the texts of a language
+in order of a hash of the id until it has `SAMPLE_BYTES`, of the last one only the beginning that fits; a language
+with a letter in any text is learned. Scoring covers every whole text.
 
 Defined results: a null text, or one without a letter, is `und` with score 0, as is every text when nothing could
 be learned; ties go to the first language by name; rows without a language are not learned from; repeated rows
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from rulegate.llm.common import by_value
 
@@ -27,6 +28,7 @@ by_value(__name__)
 
 ORDER = 4
 SAMPLE_BYTES = 600_000
+PLACES = 16  # bits of the hash that texts are added up by
 BLOCK = 1 << 20  # bytes scored at once
 UNDETERMINED = "und"
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -183,23 +185,38 @@ class Scorer:
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", order: int = ORDER, sample_bytes: int = SAMPLE_BYTES) -> tuple[list[str], list[dict[str, np.ndarray]]]:
     """(languages, cost tables) learned from the given rows.
 
-    The sample holds about `sample_bytes` per language; its contexts are counted on the executors and meet on
+    The sample holds at most `sample_bytes` per language; its contexts are counted on the executors and meet on
     the driver as one row per language, order and gram, so their number is bounded by the sample."""
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).agg(F.sum(F.octet_length(text_col))).collect()}
-    languages = sorted(k for k, v in sizes.items() if v)
+    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    key = F.coalesce(F.col(id_col).cast("string"), F.xxhash64(text_col).cast("string"))
+    draw = F.pmod(F.xxhash64(key, F.lit(11)), F.lit(1 << 30))
+    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), draw.alias("draw"), F.shiftright(draw, 30 - PLACES).alias("place"))
+    # the place at which a language's running sum reaches the bound: texts before it are taken, those at it one by one
+    sums = rows.groupBy("lang", "place").agg(F.sum(F.octet_length("text")).alias("n"))
+    sums = sums.withColumn("upto", F.sum("n").over(Window.partitionBy("lang").orderBy("place")))
+    edge = F.min(F.when(F.col("upto") >= sample_bytes, F.struct("place", (F.col("upto") - F.col("n")).alias("before"))))
+    edges = {e["lang"]: e["edge"] or (1 << PLACES, 0) for e in sums.groupBy("lang").agg(edge.alias("edge")).collect()}
+    languages = sorted(edges)
     if not languages:
         return [], []
-    share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, sample_bytes / sizes[k])))])
-    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    number = F.create_map(*[x for i, k in enumerate(languages) for x in (F.lit(k), F.lit(i))])
-    sample = rows.where(draw < share[F.col(lang_col)]).select(number[F.col(lang_col)].alias("lang"), F.col(text_col).alias("text"))
+    number, at, before = (
+        F.create_map(*[x for k, v in enumerate(values) for x in (F.lit(languages[k]), F.lit(v).cast("long"))])[F.col("lang")]
+        for values in (range(len(languages)), [edges[k][0] for k in languages], [edges[k][1] for k in languages])
+    )
+    whole = rows.where(F.col("place") < at).select(number.cast("int").alias("lang"), "text", F.octet_length("text").cast("long").alias("most"))
+    ahead = Window.partitionBy("lang").orderBy("draw", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1)
+    most = F.lit(sample_bytes) - before - F.coalesce(F.sum(F.octet_length("text")).over(ahead), F.lit(0))
+    last = rows.where(F.col("place") == at).withColumn("most", most.cast("long")).where("most > 0")
+    # no more characters than bytes are left; the bytes are cut below
+    last = last.select(number.cast("int").alias("lang"), F.substring("text", F.lit(1), F.col("most").cast("int")).alias("text"), "most")
+    sample = whole.union(last)
 
     def count(batches):
         table = blanks()
         for batch in batches:
             found: dict[tuple[int, int], list[np.ndarray]] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for lang, text, most in zip(*(c.to_pylist() for c in batch.columns)):
+                text = text.encode()[:most].decode(errors="ignore")
                 raw = padded(text, table, order)
                 for k in range(order + 1):
                     found.setdefault((lang, k), []).append(grams(raw[order - k :], k))

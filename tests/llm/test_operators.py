@@ -106,6 +106,20 @@ def test_language_of_held_out_documents(spark, odd_docs, no_docs, sf_dir):
     assert {r["lang_pred"] for r in language_id.predict(odd_docs, nothing).collect()} == {"und"}
 
 
+def test_languages_of_few_long_documents_are_learned(spark):
+    texts = {"aa": "the cat sat on the mat and saw ", "bb": "der Hund und die Katze liegen ", "cc": "il gatto dorme sul tappeto "}
+    docs = [(f"{k}{i}", t * 200, k) for k, t in texts.items() for i in range(2)]  # each longer than the sample
+    docs += [("d", "12 34", "dd"), (None, texts["aa"], "aa")]
+    rows = spark.createDataFrame(docs, "doc_id string, text string, lang string")
+    for order in (0, 2):
+        for bound in (50, 300, 100_000):
+            languages, levels = language_id.fit(rows, order=order, sample_bytes=bound)
+            assert languages == ["aa", "bb", "cc"]
+            found = language_id.predict(rows.where("lang <> 'dd'"), (languages, levels)).join(rows, "doc_id")
+            assert order == 0 or found.where("lang <> lang_pred").count() == 0
+            assert len(levels[order]["grams"]) <= 3 * (bound + 2)
+
+
 # ---- tokens ------------------------------------------------------------------------------------
 
 
