@@ -12,15 +12,17 @@ with code points Python's Unicode tables do not know yet are split by the tokeni
 
 Defined results: a null text is an empty one (no ids); added special tokens written out in a text become their
 id, as the tokenizer library does by default; unknown ids decode to nothing; bytes that are no UTF-8 decode to
-U+FFFD. Empty tables give empty tables; repeated rows stay repeated; only the named columns are carried.
+U+FFFD. Empty tables give empty tables; repeated rows stay repeated; only the named columns are carried. Texts are
+taken in runs of bounded size and memos are bounded by bytes, so a worker's memory does not grow with its input.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from array import array
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +39,15 @@ WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x20
 # Endings split off after an apostrophe, in the order the pattern tries them
 ENDINGS = ["s", "t", "re", "ve", "m", "ll", "d"]
 
-# Memory bounds of a task; reaching one empties the memo and changes no result
-WORDS_KEPT = 400_000
-PAIRS_KEPT = 1_000_000
-CHARS_AT_ONCE = 1_000_000
+# Memory bounds of a task; reaching one empties a memo or ends a run of texts and changes no result
+MEMO_BYTES = 24 << 20
+WORD_COST = 180  # bytes an entry of the memo takes beside its characters
+PAIRS_KEPT = 150_000
+CHARS_AT_ONCE = 400_000
+IDS_AT_ONCE = 400_000
+
+# A cut before white space that follows other text leaves all words as they are
+CUT = re.compile("(?<=[^{0}])[{0}]".format("".join(f"\\u{p:04x}" for p in WHITE_SPACE)))
 
 
 def classes() -> np.ndarray:
@@ -114,6 +121,7 @@ class Codec:
     def forget(self) -> None:
         self.words: dict[str, int] = {}
         self.flat, self.at = array("i"), array("q", [0])
+        self.held = 0
 
     # ---- splitting -----------------------------------------------------------------------------
 
@@ -207,7 +215,7 @@ class Codec:
                 tail = word[stop - 3 : stop] if stop > 2 else word[:stop]
                 widths_here = ends.get(tail)
                 if widths_here is None:
-                    widths_here = ends[tail] = [2, 1] if tail[-2:] in ids and stop > 1 else [1]
+                    widths_here = [2, 1] if stop > 1 and tail[-2:] in ids else [1]
                 for width in widths_here:
                     if width > stop:
                         continue
@@ -241,9 +249,12 @@ class Codec:
 
     def _encode_run(self, words: list, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         distinct = set(words)
-        if len(self.words) + len(distinct) > WORDS_KEPT:
-            self.forget()
         new = distinct.difference(self.words)
+        cost = sum(WORD_COST + (len(w) if isinstance(w, str) else 0) for w in new)
+        if self.held + cost > MEMO_BYTES:
+            self.forget()
+            new = set(distinct)
+        self.held += cost
         for number in [w for w in new if isinstance(w, int)]:
             new.discard(number)
             self.words[number] = len(self.at) - 1
@@ -261,8 +272,20 @@ class Codec:
         sizes = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])])
         return flat, sizes
 
-    def encode(self, texts: Sequence[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(ids of a run of texts one after the other, number of ids of each text), run by run."""
+    def pieces(self, text: str) -> Iterator[str]:
+        """A text cut where words end, so that a very long one is split into words piece by piece."""
+        at = 0
+        while len(text) - at > CHARS_AT_ONCE:
+            cut = CUT.search(text, at + CHARS_AT_ONCE)
+            if not cut:
+                break
+            yield text[at : cut.start()]
+            at = cut.start()
+        yield text[at:]
+
+    def encode(self, texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids of a run of texts one after the other, number of ids of each text), run by run. Runs end after
+        `CHARS_AT_ONCE` characters, a longer text is a run of its own."""
         run: list[str] = []
         chars = 0
         for text in texts:
@@ -271,35 +294,72 @@ class Codec:
             if run and (not plain or chars + len(text) > CHARS_AT_ONCE):
                 yield self._encode_run(*self.split(run))
                 run, chars = [], 0
-            if plain:
-                run.append(text)
-                chars += len(text)
-            else:
+            if not plain:
                 words = self.split_one(text)
                 yield self._encode_run(words, np.array([len(words)]))
+            elif len(text) > CHARS_AT_ONCE:
+                parts = [self._encode_run(*self.split([p]))[0] for p in self.pieces(text)]
+                yield np.concatenate(parts), np.array([sum(map(len, parts))])
+            else:
+                run.append(text)
+                chars += len(text)
         if run:
             yield self._encode_run(*self.split(run))
 
 
-def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", keep: Sequence[str] = ("doc_id",), out: str = "token_ids") -> DataFrame:
-    """`keep` columns and the token ids of every whole text. No shuffle: each task walks the trie of its texts."""
+def values(column: pa.Array) -> Iterator:
+    """The values of an Arrow column one by one, never as a list."""
+    for value in column:
+        yield value.as_py()
+
+
+def id_lists(flat: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    edges = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(edges), pa.array(flat.astype(np.int32, copy=False)))
+
+
+def decoder(vocabulary: dict):
+    """Function from ids to text; unknown ids hold no bytes."""
+    table = {i: t for t, i in vocabulary["ids"].items()} | {i: t.encode() for t, i in vocabulary["added"].items()}
+    return lambda ids: b"".join([table.get(i, b"") for i in ids]).decode("utf-8", "replace")
+
+
+def _encoded(docs: DataFrame, vocabulary: str, text_col: str, keep: Sequence[str], out: str, decoded: str | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(vocabulary))
     keep = list(keep)
-    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField(out, T.ArrayType(T.IntegerType(), False), False)])
+    extra = [T.StructField(out, T.ArrayType(T.IntegerType(), False), False)]
+    if decoded is not None:
+        extra.append(T.StructField(decoded, T.StringType(), False))
+    schema = T.StructType([*[docs.schema[c] for c in keep], *extra])
 
     def task(batches):
         codec = Codec(shared.value)
+        back = decoder(shared.value) if decoded is not None else None
         for batch in batches:
-            runs = list(codec.encode(batch.column(len(keep)).to_pylist()))
-            flat = np.concatenate([r[0] for r in runs]) if runs else np.zeros(0, np.int32)
-            sizes = np.concatenate([r[1] for r in runs]) if runs else np.zeros(0, np.int64)
-            edges = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(edges), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], ids], [*keep, out])
+            row = 0
+            for flat, sizes in codec.encode(values(batch.column(len(keep)))):
+                columns = [c.slice(row, len(sizes)) for c in batch.columns[: len(keep)]]
+                row += len(sizes)
+                columns.append(id_lists(flat, sizes))
+                if back:
+                    edges = [0, *np.cumsum(sizes).tolist()]
+                    columns.append(pa.array([back(flat[a:b].tolist()) for a, b in zip(edges, edges[1:])], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return docs.select(*keep, text_col).mapInArrow(task, schema)
 
 
+def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", keep: Sequence[str] = ("doc_id",), out: str = "token_ids") -> DataFrame:
+    """`keep` columns and the token ids of every whole text. No shuffle: each task walks the trie of its texts, a
+    bounded run of them at a time."""
+    return _encoded(docs, vocabulary, text_col, keep, out, None)
+
+
+def round_trip(docs: DataFrame, vocabulary: str, text_col: str = "text", keep: Sequence[str] = ("doc_id",), out: tuple[str, str] = ("token_ids", "decoded")) -> DataFrame:
+    """`keep` columns, the token ids of every whole text and the text those ids stand for, in one worker pass."""
+    return _encoded(docs, vocabulary, text_col, keep, *out)
+
+
 def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "token_ids", keep: Sequence[str] = ("doc_id",), out: str = "text") -> DataFrame:
     """`keep` columns and the text of every list of ids; a null list is an empty one."""
     shared = encoded.sparkSession.sparkContext.broadcast(load_vocabulary(vocabulary))
@@ -307,15 +367,16 @@ def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "token_ids", keep
     schema = T.StructType([*[encoded.schema[c] for c in keep], T.StructField(out, T.StringType(), False)])
 
     def task(batches):
-        voc = shared.value
-        table = {i: t for t, i in voc["ids"].items()} | {i: t.encode() for t, i in voc["added"].items()}
+        back = decoder(shared.value)
         for batch in batches:
             lists = batch.column(len(keep))
             edges, flat = lists.offsets.to_pylist(), lists.values
-            texts = [
-                b"".join([table.get(i, b"") for i in flat.slice(a, b - a).to_numpy(zero_copy_only=False).tolist()]).decode("utf-8", "replace")
-                for a, b in zip(edges, edges[1:])
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.string())], [*keep, out])
+            row, texts, held = 0, [], 0
+            for a, b in zip(edges, edges[1:]):
+                texts.append(back(flat.slice(a, b - a).to_numpy(zero_copy_only=False).tolist()))
+                held += b - a
+                if held > IDS_AT_ONCE or row + len(texts) == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([*[c.slice(row, len(texts)) for c in batch.columns[: len(keep)]], pa.array(texts, pa.string())], schema.names)
+                    row, texts, held = row + len(texts), [], 0
 
     return encoded.select(*keep, ids_col).mapInArrow(task, schema)

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from rulegate.llm.bpe import Codec, load_vocabulary
+from rulegate.llm.bpe import Codec, load_vocabulary, values
 from rulegate.llm.common import by_value
 from rulegate.session import materialize
 
@@ -66,10 +66,9 @@ def token_pieces(docs: DataFrame, vocabulary: str, text_col: str = "text", id_co
     def task(batches):
         codec = WordCodec(shared.value)
         for batch in batches:
-            row, out = 0, [[] for _ in range(5)]
-            lists = []
-            for flat, sizes in codec.encode(batch.column(1).to_pylist()):
-                at = 0
+            row = 0
+            for flat, sizes in codec.encode(values(batch.column(1))):
+                at, out, lists = 0, [[] for _ in range(5)], []
                 for size in sizes.tolist():
                     ids = np.append(flat[at : at + size], end).astype("<u4")
                     at += size
@@ -78,10 +77,10 @@ def token_pieces(docs: DataFrame, vocabulary: str, text_col: str = "text", id_co
                         for column, value in zip(out, (row, piece, a, b - a, zlib.crc32(ids[a:b].tobytes()))):
                             column.append(value)
                         if with_ids:
-                            lists.append(ids[a:b].tolist())
+                            lists.append(ids[a:b])
                     row += 1
-            columns = [batch.column(0).take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int32()), *[pa.array(c, pa.int64()) for c in out[2:]]]
-            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(lists, pa.list_(pa.int32()))] if with_ids else [])], schema.names)
+                columns = [batch.column(0).take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int32()), *[pa.array(c, pa.int64()) for c in out[2:]]]
+                yield pa.RecordBatch.from_arrays([*columns, *([pa.array(lists, pa.list_(pa.int32()))] if with_ids else [])], schema.names)
 
     return docs.select(id_col, text_col).mapInArrow(task, schema)
 

@@ -137,10 +137,27 @@ def test_tokens_equal_the_library(spark, odd_docs, no_docs, vocabulary, sf_dir):
     decoded = bpe.decode(bpe.encode(docs, vocabulary), vocabulary).collect()
     assert counted(decoded) == counted((r["doc_id"], r["text"] or "") for r in rows)
     assert bpe.encode(no_docs, vocabulary).count() == 0
+    both = bpe.round_trip(docs, vocabulary, keep=["doc_id"]).collect()
+    assert counted((r["doc_id"], r["decoded"]) for r in both) == counted((r["doc_id"], r["text"] or "") for r in rows)
+    assert counted((r["doc_id"], tuple(r["token_ids"])) for r in both) == counted((r["doc_id"], tuple(r["token_ids"])) for r in rows)
     broken = spark.createDataFrame([(1, [10**6, 162]), (2, None)], "doc_id long, token_ids array<int>")
     assert [r["text"] for r in bpe.decode(broken, vocabulary).orderBy("doc_id").collect()] == [library.decode([162], skip_special_tokens=False), ""]
 
 
+def test_tokens_do_not_depend_on_the_memory_bounds(vocabulary, monkeypatch):
+    library = pytest.importorskip("tokenizers").Tokenizer.from_file(vocabulary)
+    random.seed(6)
+    parts = ["it's ", "the end", "\n\n ", " a", "  b", "\t", "é漢 ", "12 ", "!\x1c!", "\u00a0", " long" * 9]
+    texts = ["".join(random.choices(parts, k=k)) for k in (1, 30, 300, 3, 900)] + ["x" * 500, "", None]
+    for chars, memo in ((20, 1), (100, 2_000), (1_000, 10_000)):
+        monkeypatch.setattr(bpe, "CHARS_AT_ONCE", chars)
+        monkeypatch.setattr(bpe, "MEMO_BYTES", memo)
+        codec, found = bpe.Codec(bpe.load_vocabulary(vocabulary)), []
+        for flat, sizes in codec.encode(texts):
+            found += [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])]
+        assert found == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_packing(spark, odd_docs, no_docs, vocabulary, sf_dir):
     library = pytest.importorskip("tokenizers").Tokenizer.from_file(vocabulary)
     docs = odd_docs.select("doc_id", "text").where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
