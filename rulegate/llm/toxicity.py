@@ -32,8 +32,9 @@ SAMPLE_FEATURES = 32_000_000
 BITS = 20
 ALPHA, BETA, L1, L2 = 3.0, 1.0, 3.0, 0.0
 EPOCHS = 4
-BLOCK = 1 << 21  # bytes of a text taken at once
-WORDS_KEPT = 300_000
+BLOCK = 1 << 19  # bytes of a text taken at once
+MEMO_BYTES = 16 << 20
+WORD_COST = 170  # bytes an entry of the word memo takes beside its letters
 
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -49,7 +50,7 @@ class Features:
     def __init__(self, bits: int = BITS):
         from xxhash import xxh64_intdigest
 
-        self.hash, self.bits, self.table, self.words = xxh64_intdigest, bits, folding(), {}
+        self.hash, self.bits, self.table, self.words, self.held = xxh64_intdigest, bits, folding(), {}, 0
 
     def blocks(self, text: str):
         raw = text.encode().translate(self.table)
@@ -64,20 +65,22 @@ class Features:
         """Feature numbers, block by block (not distinct across blocks)."""
         before = np.zeros(0, np.uint64)
         for words in self.blocks(text):
-            if len(self.words) > WORDS_KEPT:
+            if self.held > MEMO_BYTES:
                 self.words.clear()
+                self.held = 0
             known = self.words
             for w in set(words).difference(known):
                 known[w] = self.hash(w)
+                self.held += WORD_COST + len(w)
             h = np.concatenate([before, np.fromiter(map(known.__getitem__, words), np.uint64, len(words))])
             a, b, c = (np.uint64(m) for m in MULTIPLIERS)
             grams = [h * a, (h[:-1] * b + h[1:]) * a, (h[:-2] * c + h[2:]) * a]
             before = h[-2:]
-            yield (np.concatenate(grams) >> np.uint64(64 - self.bits)).astype(np.int64)
+            yield (np.concatenate(grams) >> np.uint64(64 - self.bits)).astype(np.int32)
 
     def distinct(self, text: str) -> np.ndarray:
         parts = [np.unique(f) for f in self.of(text)]
-        return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
+        return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int32)
 
 
 def ftrl(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, epochs: int = EPOCHS, alpha=ALPHA, beta=BETA, l1=L1, l2=L2) -> tuple[np.ndarray, float]:
@@ -118,13 +121,13 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
         for batch in batches:
             found = [features.distinct(t.as_py() or "") for t in batch.column(2)]
             edges = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            flat = np.concatenate(found).astype(np.int32) if found else np.zeros(0, np.int32)
+            flat = np.concatenate(found) if found else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), pa.ListArray.from_arrays(pa.array(edges), pa.array(flat))], ["o", "y", "x"])
 
     def learn(table: pa.Table) -> pa.Table:
         table = table.sort_by([("o", "ascending")])
         x = table.column("x").combine_chunks()
-        edges, flat = x.offsets.to_numpy(), x.values.to_numpy().astype(np.int64)
+        edges, flat = x.offsets.to_numpy(), x.values.to_numpy()
         weights, bias = ftrl([flat[a:b] for a, b in zip(edges, edges[1:])], table.column("y").to_numpy().astype(float))
         at = np.flatnonzero(weights)
         return pa.table({"at": pa.array(np.append(at, -1), pa.int64()), "weight": np.append(weights[at], bias)})
@@ -140,9 +143,13 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
 
 
 def score(docs: DataFrame, model: tuple[list[int], list[float], float], text_col: str = "text", keep: Sequence[str] = ("doc_id",), out: tuple[str, str] = ("score", "predicted")) -> DataFrame:
-    """`keep` columns, score and prediction of every row. No shuffle; the model's nonzero weights are broadcast."""
+    """`keep` columns, score and prediction of every row. No shuffle; the model's nonzero weights are broadcast.
+
+    `text_col` may be a field of a kept struct (`row.text`): the text then goes to the worker once, inside it."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep, out = list(keep), list(out)
+    outer, _, inner = text_col.partition(".")
+    inner = inner if outer in keep else ""
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField(out[0], T.DoubleType(), False), T.StructField(out[1], T.IntegerType(), False)])
 
     def task(batches):
@@ -151,11 +158,13 @@ def score(docs: DataFrame, model: tuple[list[int], list[float], float], text_col
         weights[at] = weight
         features = Features()
         for batch in batches:
+            texts = batch.column(keep.index(outer)).field(inner) if inner else batch.column(len(keep))
             sums = []
-            for text in batch.column(0):
+            for text in texts:
                 carried = [f[weights[f] != 0] for f in features.of(text.as_py() or "")]
                 sums.append(bias + (weights[np.unique(np.concatenate(carried))].sum() if carried else 0.0))
             p = 1 / (1 + np.exp(-np.clip(np.array(sums, float), -700, 700)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*keep, *out])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*keep, *out])
 
-    return docs.select(F.col(text_col).alias("__text"), *keep).mapInArrow(task, schema)
+    texts = [] if inner else [F.col(text_col).alias("__text")]
+    return docs.select(*keep, *texts).mapInArrow(task, schema)
