@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rulegate.llm import bpe, language_id, neighbours, packing, quality_rules, secret_scan, simhash, toxicity, url_filter, warc
+from rulegate.llm import bpe, language_id, lexical, merkle, neighbours, packing, quality_rules, repeats, secret_scan, simhash, toxicity, url_filter, warc
 from rulegate.llm.common import held_out, table
 from rulegate.session import materialize, scratch_path
 
@@ -122,6 +122,27 @@ def op10_secret_scan(spark, sf_dir):
     )
 
 
+@query
+def op11_lexical_search(spark, sf_dir):
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op12_merkle(spark, sf_dir):
+    altered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    text = F.when(altered, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    rows = merkle.manifest(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], tampered={"text": text})
+    folded = merkle.fold(F.col("tampered_leaf"), F.col("witness")).alias("folded_root")
+    proof = F.sha2(merkle.proof(F.col("witness")), 256).alias("proof_sha256")
+    found = rows.select("doc_id", "leaf", "subroot", "root", proof, folded)
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query
+def op13_substring_dedup(spark, sf_dir):
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 SQL["op1_quality_rules"] = r"""
 WITH t AS (
   SELECT doc_id, coalesce(text, '') AS x,
@@ -217,3 +238,94 @@ FROM documents LEFT JOIN d USING (doc_id)"""
 
 
 SQL["op10_secret_scan"] = _secret_sql()
+
+
+SQL["op11_lexical_search"] = r"""
+WITH terms AS (
+  SELECT row, doc_id, item, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (
+    SELECT row_number() OVER () AS row, doc_id, text, false AS item FROM documents
+    UNION ALL SELECT row_number() OVER () AS row, item_id, text, true FROM benchmark)),
+sizes AS (SELECT row, any_value(doc_id) AS doc_id, CAST(count(*) AS BIGINT) AS n FROM terms WHERE NOT item GROUP BY row),
+corpus AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS tokens FROM sizes),
+held AS (SELECT row, term, CAST(count(*) AS BIGINT) AS tf FROM terms WHERE NOT item GROUP BY row, term),
+weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM held, corpus GROUP BY term),
+asked AS (SELECT row AS item_row, any_value(doc_id) AS item_id, term, count(*) AS repeats FROM terms WHERE item GROUP BY row, term),
+parts AS (
+  SELECT row, term, (CAST(1000000000 AS BIGINT) * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // tokens)) AS part
+  FROM held JOIN sizes USING (row), corpus WHERE term IN (SELECT term FROM asked)),
+scores AS (
+  SELECT item_row, any_value(item_id) AS item_id, row, CAST(sum(repeats * w * part) AS BIGINT) AS score
+  FROM asked JOIN weights USING (term) JOIN parts USING (term) GROUP BY item_row, row HAVING sum(repeats * w * part) > 0),
+ranked AS (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_row ORDER BY score DESC, doc_id) AS rank
+  FROM scores JOIN sizes USING (row))
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10"""
+
+
+def _merkle_sql() -> str:
+    """Levels by recursion; a row's siblings are the nodes that share the parent of its node on a level."""
+    field = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda text: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    levels = lambda name, start: f"""
+{name}(tree, lvl, pos, h, n) AS (
+  SELECT tree, 0, pos, h, count(*) OVER (PARTITION BY tree) FROM {start}
+  UNION ALL
+  SELECT tree, lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), any_value((n + 2) // 3)
+  FROM {name} WHERE n > 1 GROUP BY tree, lvl, pos // 3)"""
+    steps = lambda rows, nodes: f"""
+  SELECT r.row, s.lvl, coalesce(string_agg(s.h, '' ORDER BY s.pos) FILTER (s.pos < r.pos // CAST(3 ** s.lvl AS BIGINT)), '') AS l,
+    coalesce(string_agg(s.h, '' ORDER BY s.pos) FILTER (s.pos > r.pos // CAST(3 ** s.lvl AS BIGINT)), '') AS r
+  FROM {rows} r JOIN {nodes} s ON r.tree = s.tree AND s.n > 1 AND s.pos // 3 = r.pos // CAST(3 ** (s.lvl + 1) AS BIGINT)
+  GROUP BY r.row, s.lvl"""
+    return f"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)),
+    lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, CAST(3988292384 AS BIGINT)) ELSE c // 2 END)) AS t),
+d AS (
+  SELECT documents.*, row_number() OVER () AS row, xor(list_reduce(
+    list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+    lambda c, s: xor(c // 256, crc.t[xor(c, s) % 256 + 1])), CAST(4294967295 AS BIGINT)) % 2 = 0 AS altered FROM documents, crc),
+x AS (
+  SELECT row, doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, {leaf("text")} AS h,
+    CASE WHEN altered THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf("text")} END AS other FROM d),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h, row) - 1 AS pos FROM x),
+{levels("a", "leaves")},
+roots AS (SELECT 0 AS tree, tree AS pos, tree AS row, h FROM a WHERE n = 1),
+{levels("b", "roots")},
+s AS ({steps("leaves", "a")}),
+t AS ({steps("roots", "b")}),
+path AS (
+  SELECT row, lvl, l, r FROM s
+  UNION ALL SELECT leaves.row, 1000 + t.lvl, t.l, t.r FROM leaves JOIN t ON leaves.tree = t.row),
+fold(row, k, h) AS (
+  SELECT row, 0, other FROM leaves
+  UNION ALL
+  SELECT fold.row, k + 1, sha256(p.l || fold.h || p.r) FROM fold JOIN (
+    SELECT *, row_number() OVER (PARTITION BY row ORDER BY lvl) - 1 AS step FROM path) p ON p.row = fold.row AND p.step = fold.k),
+last AS (SELECT row, arg_max(h, k) AS h FROM fold GROUP BY row),
+proofs AS (SELECT row, sha256(string_agg(l || r, '' ORDER BY lvl)) AS h FROM path GROUP BY row),
+top AS (SELECT h FROM b WHERE n = 1)
+SELECT doc_id, leaves.h AS leaf, roots.h AS subroot, top.h AS root, coalesce(proofs.h, sha256('')) AS proof_sha256,
+  last.h AS folded_root, last.h = top.h AS verified
+FROM leaves JOIN roots ON leaves.tree = roots.pos JOIN last ON last.row = leaves.row LEFT JOIN proofs ON proofs.row = leaves.row, top"""
+
+
+SQL["op12_merkle"] = _merkle_sql()
+
+SQL["op13_substring_dedup"] = r"""
+WITH t AS (
+  SELECT row_number() OVER () AS row, doc_id,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+windows AS (
+  SELECT row, i, md5(array_to_string(words[i : i + 34], ' ')) AS w FROM (SELECT row, words, unnest(range(1, len(words) - 33)) AS i FROM t WHERE len(words) > 34)),
+twice AS (SELECT row, i FROM windows QUALIFY count(*) OVER (PARTITION BY w) > 1),
+gone AS (SELECT row, list_distinct(flatten(list(range(i, i + 35)))) AS p FROM twice GROUP BY row),
+kept AS (
+  SELECT row, string_agg(word, ' ' ORDER BY k) AS x, count(*) AS n
+  FROM (SELECT row, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS k FROM t)
+  ANTI JOIN (SELECT row, unnest(p) AS k FROM gone) USING (row, k) GROUP BY row)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(x, '')) AS kept_sha256
+FROM t LEFT JOIN kept USING (row)"""
