@@ -282,3 +282,17 @@ typed AS (SELECT *, file IN ('g03.parquet', 'g08.parquet', 'g09.parquet') AS odd
   first_value(file IN ('g03.parquet', 'g08.parquet', 'g09.parquet')) OVER (PARTITION BY batch_no ORDER BY file) AS first_odd
   FROM ranked)
 SELECT batch_no, file FROM typed WHERE odd <> first_odd"""
+SQL["folder_inventory"] = """
+WITH named AS (SELECT 'p' || left(o_orderpriority, 1) AS name, count(*) AS n FROM orders GROUP BY 1),
+kinds AS (SELECT unnest(['csv', 'parquet']) AS kind)
+SELECT kind, CASE WHEN name = 'p3' THEN '_p3' ELSE name END AS name, CASE WHEN name <> 'p3' THEN n END AS rows,
+  CASE WHEN name <> 'p3' THEN NULL WHEN kind = 'csv' THEN 'read header: names starting with _ or . cannot be read'
+       ELSE 'names starting with _ or . cannot be read' END AS failure
+FROM named, kinds
+UNION ALL SELECT kind, 'empty', NULL, CASE WHEN kind = 'csv' THEN 'read header: EOF' ELSE 'not a Parquet file' END FROM kinds"""
+SQL["batch_twice"] = """
+WITH rows AS (SELECT o_orderkey, o_custkey % 16 AS g FROM orders),
+later AS (SELECT o_orderkey, g FROM rows UNION ALL SELECT -o_orderkey, g FROM rows WHERE g < 4)
+SELECT CAST(g // 4 + 1 AS BIGINT) AS validation_batch, count(*) AS total_rows, CAST(sum(o_orderkey) AS BIGINT) AS key_sum,
+  'write batch 3' AS stopped, 0 AS left_behind
+FROM later WHERE g < 8 GROUP BY 1"""

@@ -16,16 +16,17 @@ from catalog.inputs import (
 )
 from rulegate.functions import checks
 from rulegate.functions.text import file_safe, is_missing, snake_case
-from rulegate.operators.batch import BATCH_FOLDER, assign_batches, batch_directory, schema_conflicts
+from rulegate.operators.batch import BATCH_FOLDER, BatchError, assign_batches, batch_directory, schema_conflicts
 from rulegate.operators.numbering import number_within
 from rulegate.operators.sinks import CSV_OPTIONS, ERROR_COLUMNS, write_typed
 from rulegate.operators.split import rows_per_key_file, split_summary, with_key_file
 from rulegate.operators.validate import Validation, validate
 from rulegate.plans import workflows
 from rulegate.rules import Rules, parse_rules
-from rulegate.session import pin, scratch_path
+from rulegate.session import file_system, glob, hadoop_path, pin, rename, scratch_path
 from rulegate.sources.csv_files import read_csv_directory, read_csv_file
-from rulegate.sources.parquet_files import SOURCES_TABLE, footers, list_parquet
+from rulegate.sources.inventory import spot
+from rulegate.sources.parquet_files import SOURCES_TABLE, list_parquet, parquet_paths, required_columns, row_counts, schemas
 from rulegate.streaming import gate as streaming
 
 QUERIES = {}
@@ -456,10 +457,66 @@ def schema_compat(spark, sf_dir):
     write_typed(as_text.select(*columns), out, workflows.SOURCE, mode="append")
     listed = list_parquet(spark, out)
     numbered = listed.join(assign_batches(listed.select("file").distinct(), 4), "file")
-    conflicts = schema_conflicts(footers(listed).join(numbered, "path"))
+    conflicts = schema_conflicts(schemas(listed).join(numbered, "path"))
     return conflicts.join(listed, "path").select("batch_no", "file").distinct()
 
 
+def odd_folder(spark: SparkSession, rows: DataFrame, suffix: str, hidden: str) -> str:
+    """Files `<name><suffix>` of the rows of each `name`, those of one name with hidden file names, and an empty file."""
+    out, folder = scratch_path(spark, "odd"), scratch_path(spark, "folder")
+    writer = rows.write.partitionBy("name")
+    writer.option("header", True).csv(out) if suffix == ".csv" else writer.parquet(out)
+    for place in glob(spark, f"{out}/name=*"):
+        name = place.rsplit("=", 1)[1]
+        if name != hidden:
+            rename(spark, place, f"{folder}/{name}{suffix}")
+            continue
+        for number, part in enumerate(glob(spark, f"{place}/part-*")):
+            rename(spark, part, f"{folder}/_{name}-{number}{suffix}")
+    empty = hadoop_path(spark, f"{folder}/empty{suffix}")
+    file_system(spark, empty).create(empty).close()
+    return folder
+
+
+@query
+def folder_inventory(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(F.concat(F.lit("p"), F.left("o_orderpriority", F.lit(1))).alias("name"), "o_orderkey")
+    read = read_csv_directory(spark, odd_folder(spark, orders, ".csv", "p3"))
+    rows = read.blocks.groupBy("file").agg(F.sum(F.col("n") - F.col("headers")).alias("rows"))
+    csv = read.files.join(rows, "file", "left").select(F.lit("csv").alias("kind"), "file", "rows", "failure")
+    folder = odd_folder(spark, orders, ".parquet", "p3")
+    counts = row_counts(spark, parquet_paths(spark, folder))
+    listed = list_parquet(spark, folder).withColumn("spot", spot(F.col("path"))).join(counts, "spot", "left")
+    listed = listed.groupBy("file", F.col("problem").alias("failure")).agg(F.sum("num_rows").alias("rows"))
+    parquet = listed.select(F.lit("parquet").alias("kind"), "file", "rows", "failure")
+    name = F.regexp_replace("file", r"^(_p.)-.*$", "$1")
+    return csv.unionByName(parquet).select("kind", F.regexp_extract(name, "^[^.]*", 0).alias("name"), "rows", "failure").distinct()
+
+
+@query
+def batch_twice(spark, sf_dir):
+    """A second run over files of which some do not fit: what is on disk afterwards."""
+    group = F.concat(F.lit("g"), F.lpad((F.col("o_custkey") % 16).cast("string"), 2, "0"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", group.alias(workflows.SOURCE))
+    out = scratch_path(spark, "twice")
+    write_typed(orders, f"{out}/in", workflows.SOURCE)
+    batch_directory(spark, f"{out}/in", f"{out}/export", 4)
+    late = orders.filter(F.col(workflows.SOURCE) > "g09").withColumn("o_orderkey", F.col("o_orderkey").cast("string"))
+    write_typed(late, f"{out}/in", workflows.SOURCE, "append")
+    odd = orders.filter(F.col(workflows.SOURCE) < "g04").withColumn("o_orderkey", -F.col("o_orderkey"))
+    write_typed(odd, f"{out}/in", workflows.SOURCE, "append")
+    try:
+        batch_directory(spark, f"{out}/in", f"{out}/export", 4)
+        stopped = "no"
+    except BatchError as error:
+        stopped = str(error).split(": ")[1]
+    left = glob(spark, f"{out}/*staging*")
+    rows = spark.read.parquet(f"{out}/export").groupBy(BATCH_FOLDER).agg(F.count("*").alias("total_rows"), F.sum("o_orderkey").alias("key_sum"))
+    return rows.select(
+        F.col(BATCH_FOLDER).cast("bigint").alias(BATCH_FOLDER), "total_rows", "key_sum", F.lit(stopped).alias("stopped"), F.lit(len(left)).alias("left_behind")
+    )
+
+
 # -- sinks -----------------------------------------------------------------------------------------
 
 
@@ -489,7 +546,7 @@ def rules_to_schema(spark, sf_dir):
     path = scratch_path(spark, "typed")
     rules = parse_rules(ORDER_RULES)
     write_typed(order_gate(spark, sf_dir).valid(), path)
-    required = footers(list_parquet(spark, path)).select("required").first().required
+    required = required_columns(spark, path)
     typed = spark.read.parquet(path)
     counted = typed.agg(*[F.count(c).alias(c) for c in typed.columns])
     entries = [

@@ -6,16 +6,17 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from rulegate.functions.text import decode_path
 from rulegate.operators.numbering import global_rank
 from rulegate.operators.sinks import write_typed
 from rulegate.rules import quoted
-from rulegate.session import absolute, glob, job, materialize, small_side
-from rulegate.sources.parquet_files import footers, list_parquet, parquet_paths, spot
+from rulegate.session import Publication, absolute, glob, job, materialize, remove, small_side
+from rulegate.sources.inventory import spot
+from rulegate.sources.parquet_files import NO_PARQUET, Footers, list_parquet, parquet_paths, row_counts, scanned_name, schemas
 
 BATCH_FOLDER = "validation_batch"
 TASK_BYTES = 256 * 1024 * 1024  # input bytes that end up in one output part
 ROW_BYTES = 400
+RUNS_AT_ONCE = 200  # stretches of batches one scan picks out of the folder
 
 
 class BatchError(RuntimeError):
@@ -42,7 +43,7 @@ def assign_batches(files: DataFrame, batch_size: int) -> DataFrame:
 
 
 def schema_conflicts(schemas: DataFrame) -> DataFrame:
-    """batch_no, path of files whose schema differs from the first file of their batch.
+    """batch_no, file_rank, path of files whose schema differs from the first file of their batch.
 
     `schemas` has batch_no, file_rank, path, fingerprint.
     """
@@ -77,8 +78,10 @@ def batch_directory(
 ) -> BatchSummary:
     """Merge the Parquet files of a folder, `batch_size` files per batch.
 
-    Files of one batch must share a schema; a batch with a stray file is left out, the others are
-    written, and the first conflict is raised at the end. Rows written are checked against the footers read.
+    Files of one batch must share a schema; a batch with a stray or unreadable file is left out, the others are
+    written, and the first problem is raised at the end. Batches are written beside the export folder, their rows
+    are checked against the rows of the input files, and only then do they take its place (or, with `clear=False`,
+    join what is there). A run that fails before that leaves the export folder as it was.
     """
     if not input_dir.strip():
         raise ValueError("missing batch input directory")
@@ -90,62 +93,93 @@ def batch_directory(
     listed = list_parquet(spark, input_dir)
     assigned = materialize(assign_batches(listed.select("file").distinct(), size), "batches")
     totals = assigned.agg(F.count("*").alias("files"), F.max("batch_no").alias("batches")).first()
-
-    file_batches = listed.join(small_side(assigned, totals.files, ROW_BYTES), "file")
-    schemas = materialize(footers(listed).join(file_batches, "path"), "footers")
-    conflicts = materialize(schema_conflicts(schemas), "schema-conflicts")
-    bad_batches = [r.batch_no for r in conflicts.select("batch_no").distinct().limit(2).collect()]
-    sound = schemas
-    if bad_batches:
-        broken = conflicts.select("batch_no").distinct()
-        sound = schemas.join(small_side(broken, totals.batches, 16), "batch_no", "left_anti")
-
-    earlier = Window.partitionBy("batch_no").orderBy("file_rank", "path")
-    plan = materialize(
-        sound.withColumn(
-            "bytes_before",
-            F.coalesce(F.sum("length").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-        ),
-        "batch-plan",
+    files = listed.join(small_side(assigned, totals.files, ROW_BYTES), "file").join(schemas(listed), "path", "left")
+    torn = F.when(F.col("path").isNotNull() & F.col("fingerprint").isNull(), F.lit(NO_PARQUET))
+    files = materialize(files.withColumn("problem", F.coalesce("problem", torn)), "batch-files")
+    problems = materialize(batch_problems(files), "batch-problems")
+
+    with Publication(spark, keep=not clear) as publication:
+        plan = materialize(planned_files(spark, files, problems, parquet_paths(spark, input_dir)), "batch-plan")
+        expected = plan.agg(F.coalesce(F.sum("num_rows"), F.lit(0)).alias("n")).first().n
+        staged = publication.staged(output_dir) if expected else None
+        for fingerprint, runs in batch_runs(files, problems).items():
+            for start in range(0, len(runs), RUNS_AT_ONCE):
+                _write_runs(plan, files, fingerprint, runs[start : start + RUNS_AT_ONCE], parquet_paths(spark, input_dir), staged)
+        arrived = written_rows(spark, staged) if staged else 0
+        if arrived != expected:
+            raise BatchError(f"batch phase failed: {arrived} rows written, {expected} rows in the input files")
+    found = problems.orderBy("batch_no", "file_rank", "path").first()
+    if found is None and not expected and clear:
+        remove(spark, output_dir)  # no rows are the result
+    if found is not None:
+        raise BatchError(f"batch phase failed: write batch {found.batch_no}: {found.reason} {quoted(found.spot)}")
+    return BatchSummary(totals.files, totals.batches, size, expected, output_dir)
+
+
+def batch_problems(files: DataFrame) -> DataFrame:
+    """batch_no, file_rank, path, spot, reason of files their batch cannot be written with."""
+    columns = ["batch_no", "file_rank", "path", spot(F.col("path")).alias("spot")]
+    unreadable = files.where("problem IS NOT NULL").select(*columns, F.concat(F.col("problem"), F.lit(":")).alias("reason"))
+    stray = schema_conflicts(files.where("fingerprint IS NOT NULL"))
+    return unreadable.unionByName(stray.select(*columns, F.lit("schema mismatch for").alias("reason")))
+
+
+def batch_runs(files: DataFrame, problems: DataFrame) -> dict[str, list]:
+    """Per schema, the runs of consecutive sound batches that have it: first and last file name of each run.
+
+    A folder whose files are all alike has one run, so this is as long as there are breaks between batches.
+    """
+    broken = problems.select("batch_no").distinct()
+    sound = files.where("fingerprint IS NOT NULL").join(broken, "batch_no", "left_anti")
+    batches = sound.groupBy("batch_no").agg(
+        F.first("fingerprint").alias("fingerprint"), F.min("file").alias("first"), F.max("file").alias("last")
     )
-    shapes = [r.fingerprint for r in plan.select("fingerprint").distinct().collect()]  # one per schema
-    whole_folder = parquet_paths(spark, input_dir) if len(shapes) == 1 and not bad_batches else None
-    kept = 0 if clear else written_rows(spark, output_dir)
-    for n, shape in enumerate(sorted(shapes)):
-        part = plan.filter(F.col("fingerprint") == shape)
-        _write_shape(part, output_dir, clear and n == 0, whole_folder)
-    total_rows = plan.agg(F.coalesce(F.sum("num_rows"), F.lit(0)).alias("n")).first().n
-    arrived = written_rows(spark, output_dir) - kept if shapes else 0
-    if arrived != total_rows:
-        raise BatchError(f"batch phase failed: {arrived} rows written, {total_rows} rows in the input files")
-    if bad_batches:
-        worst = conflicts.orderBy("batch_no", "file_rank", "path").select("batch_no", spot(F.col("path")).alias("path"))
-        found = worst.first()
-        raise BatchError(
-            f"batch phase failed: write batch {found.batch_no}: schema mismatch for {quoted(found.path)}"
-        )
-    return BatchSummary(totals.files, totals.batches, size, total_rows, output_dir)
-
-
-def _write_shape(plan: DataFrame, output_dir: str, overwrite: bool, patterns: list[str] | None) -> None:
-    """Write all batches whose files share one schema; file by file unless a whole folder has it."""
+    inside = Window.partitionBy("fingerprint").orderBy("batch_no")
+    run = F.col("batch_no") - F.row_number().over(inside)
+    runs = batches.withColumn("run", run).groupBy("fingerprint", "run").agg(
+        F.min("first").alias("first"), F.max("last").alias("last")
+    )
+    found: dict[str, list] = {}
+    for r in runs.orderBy("fingerprint", "first").collect():
+        found.setdefault(r.fingerprint, []).append((r.first, r["last"]))
+    return found
+
+
+def planned_files(spark: SparkSession, files: DataFrame, problems: DataFrame, paths: list[str]) -> DataFrame:
+    """scanned, batch_no, rank, num_rows and bytes_before (in its batch) of the files of sound batches."""
+    if not paths:
+        return spark.createDataFrame([], "scanned string, batch_no bigint, rank bigint, num_rows bigint, bytes_before bigint, fingerprint string")
+    sound = files.where("fingerprint IS NOT NULL").join(problems.select("batch_no").distinct(), "batch_no", "left_anti")
+    counted = sound.withColumn("spot", spot(F.col("path"))).join(row_counts(spark, paths), "spot")
+    earlier = Window.partitionBy("batch_no").orderBy("file_rank", "path").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("length").over(earlier), F.lit(0)).alias("bytes_before")
+    return counted.select("scanned", "batch_no", F.col("file_rank").alias("rank"), "num_rows", before, "fingerprint")
+
+
+def _write_runs(plan: DataFrame, files: DataFrame, fingerprint: str, runs: list, paths: list[str], target: str | None) -> None:
+    """Write the batches of some runs of one schema: one scan of the folder, which opens no file outside the runs."""
+    same = F.col("fingerprint") == fingerprint
+    one = files.where(same).orderBy("path").select("path").first().path
+    part = plan.where(same)
+    number = part.count()
+    if not number:
+        return
     spark = plan.sparkSession
-    one = plan.select("path", "required").first()
-    schema = spark.read.parquet(one.path).schema
-    paths = patterns or [r.path for r in plan.select("path").collect()]
-    rows = spark.read.schema(schema).parquet(*paths).select(
-        *[_required(f.name, f.dataType, one.required) for f in schema.fields],
-        spot(decode_path(F.col("_metadata.file_path"))).alias("__spot"),
+    schema, required = spark.read.parquet(one).schema, Footers(spark).required(one)
+    name, inside = scanned_name(F.col("_metadata.file_path")), F.lit(False)
+    for first, last in runs:
+        inside = inside | ((name >= first) & (name <= last))
+    rows = spark.read.schema(schema).parquet(*paths).where(inside).select(
+        *[_required(f.name, f.dataType, required) for f in schema.fields],
+        F.col("_metadata.file_path").alias("__scanned"),
         F.col("_metadata.file_block_start").alias("__start"),
         F.col("_metadata.row_index").alias("__row"),
     )
-    spots = plan.select(
-        spot(F.col("path")).alias("__spot"), "batch_no", F.col("file_rank").alias("__rank"), "bytes_before"
-    )
-    placed = rows.join(small_side(spots, plan.count(), ROW_BYTES), "__spot")
-    part = F.floor((F.col("bytes_before") + F.col("__start")) / TASK_BYTES)
-    placed = placed.withColumn("__part", part).drop("__start", "bytes_before")
-    write_batches(placed, ["__rank", "__spot", "__row"], output_dir, "overwrite" if overwrite else "append")
+    spots = part.select(F.col("scanned").alias("__scanned"), "batch_no", F.col("rank").alias("__rank"), "bytes_before")
+    placed = rows.join(small_side(spots, number, ROW_BYTES), "__scanned")
+    piece = F.floor((F.col("bytes_before") + F.col("__start")) / TASK_BYTES)
+    placed = placed.withColumn("__part", piece).drop("__start", "bytes_before")
+    write_batches(placed, ["__rank", "__scanned", "__row"], target, "append")
 
 
 def _required(name: str, data_type, required: list[str]) -> Column:

@@ -80,33 +80,29 @@ def small_side(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
-def _hadoop_path(spark: SparkSession, path: str):
+def hadoop_path(spark: SparkSession, path: str):
     return spark._jvm.org.apache.hadoop.fs.Path(path)
 
 
+def file_system(spark: SparkSession, path):
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
 def absolute(spark: SparkSession, path: str) -> str:
     """Fully qualified form of a path, the way the file system spells it."""
-    p = _hadoop_path(spark, path)
-    fs = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    p = hadoop_path(spark, path)
+    fs = file_system(spark, p)
     return fs.makeQualified(p).toString().rstrip("/")
 
 
 def glob(spark: SparkSession, pattern: str) -> list[str]:
     """Names matching a glob, sorted; metadata only."""
-    p = _hadoop_path(spark, pattern)
-    fs = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    p = hadoop_path(spark, pattern)
+    fs = file_system(spark, p)
     found = fs.globStatus(p)
     return sorted(s.getPath().toString() for s in found) if found else []
 
 
-def statuses(spark: SparkSession, pattern: str, least_bytes: int = 0) -> list[tuple[str, bool]]:
-    """(path, is a folder) of what matches a glob and, for files, has at least so many bytes; metadata only."""
-    p = _hadoop_path(spark, pattern)
-    fs = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    found = fs.globStatus(p) or []
-    return sorted((s.getPath().toString(), s.isDirectory()) for s in found if s.isDirectory() or s.getLen() >= least_bytes)
-
-
 def escaped(path: str) -> str:
     """A path as a glob that only matches itself."""
     return "".join(f"\\{c}" if c in "{}[]*?\\" else c for c in path)
@@ -114,6 +110,77 @@ def escaped(path: str) -> str:
 
 def remove(spark: SparkSession, path: str) -> None:
     """Drop a previous output."""
-    p = _hadoop_path(spark, path)
-    fs = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    p = hadoop_path(spark, path)
+    fs = file_system(spark, p)
     fs.delete(p, True)
+
+
+def rename(spark: SparkSession, source: str, target: str) -> None:
+    """Move a file or folder to a name that is free."""
+    p, to = hadoop_path(spark, source), hadoop_path(spark, target)
+    fs = file_system(spark, p)
+    fs.mkdirs(to.getParent())
+    if fs.exists(to) or not fs.rename(p, to):
+        raise OSError(f"cannot move {source} to {target}")
+
+
+class Publication:
+    """Outputs that appear together: written to folders beside their targets, then moved.
+
+    `staged(target)` is where to write. Leaving the block well moves every output to its target: in place of what is
+    there, or with `keep` beside it. Leaving it with an error removes what was written, and the targets stay as they
+    were.
+    """
+
+    def __init__(self, spark: SparkSession, keep: bool = False):
+        self.spark, self.keep, self.places = spark, keep, {}
+
+    def staged(self, target: str) -> str:
+        target = target.rstrip("/")
+        if target not in self.places:
+            folder, _, name = target.rpartition("/")
+            self.places[target] = f"{folder}/{name}.staging-{uuid.uuid4().hex}"
+        return self.places[target]
+
+    def __enter__(self) -> Publication:
+        return self
+
+    def __exit__(self, kind, error, trace) -> None:
+        try:
+            if kind is None:
+                for target, staged in self.places.items():
+                    self._publish(target, staged)
+        finally:
+            for staged in self.places.values():
+                remove(self.spark, staged)
+
+    def _publish(self, target: str, staged: str) -> None:
+        if self.keep and exists(self.spark, target):
+            self._add(target, staged)
+            return
+        old = f"{staged}-old"
+        if exists(self.spark, target):
+            rename(self.spark, target, old)
+        if exists(self.spark, staged):
+            try:
+                rename(self.spark, staged, target)
+            except Exception:
+                if exists(self.spark, old):
+                    rename(self.spark, old, target)
+                raise
+        remove(self.spark, old)
+
+    def _add(self, target: str, staged: str) -> None:
+        """Move new parts beside old ones, folder by folder; part names never repeat."""
+        for path in glob(self.spark, f"{escaped(staged)}/*"):
+            name = path.rsplit("/", 1)[1]
+            place = f"{target}/{name}"
+            if not exists(self.spark, place):
+                rename(self.spark, path, place)
+            elif name != "_SUCCESS":
+                self._add(place, path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = hadoop_path(spark, path)
+    return file_system(spark, p).exists(p)

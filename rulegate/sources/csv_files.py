@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from rulegate.functions.text import decode_path, trim_cell
 from rulegate.operators.validate import header_message
 from rulegate.rules import Rules, strip
-from rulegate.session import escaped, glob, materialize, small_side, statuses
+from rulegate.session import glob, materialize, small_side
+from rulegate.sources.inventory import files_and_parts, spot
 
 CSV_GLOB = "*.[cC][sS][vV]"
 KEY_FOLDER = "key_file="  # folders written by the split job: one logical file each
@@ -27,8 +28,6 @@ ROW_BYTES = 400  # generous size of one blocks row (path text plus counters)
 
 FEW_FILES = 100
 
-HIDDEN = ("_", ".")  # Spark's readers pass over such names
-
 MALFORMED = r'[^,"]"|"[^,"]'
 
 
@@ -126,29 +125,19 @@ def read_csv_directory(spark: SparkSession, directory: str) -> CsvFiles:
         raise FileNotFoundError(f"no csv files found in directory: {directory}")
     # parts of split folders always hold a header; only plain files can be empty and need the listing
     plain = [p for p in paths if not p.endswith(f"{KEY_FOLDER}*")]
-    return CsvFiles(read_lines(spark, *paths), list_files(spark, *plain) if plain else None)
+    return CsvFiles(read_lines(spark, *paths), list_files(spark, plain[0]) if plain else None)
 
 
 def read_csv_file(spark: SparkSession, path: str) -> CsvFiles:
     return CsvFiles(read_lines(spark, path), list_files(spark, path))
 
 
-def list_files(spark: SparkSession, *patterns: str) -> DataFrame:
+def list_files(spark: SparkSession, pattern: str) -> DataFrame:
     """listed, hidden: every input file, also empty ones and those Spark passes over by their names.
 
     Folders of parts count by their parts that hold something; one without any is listed itself.
     """
-    rows = []
-    for pattern in patterns:
-        for path, folder in statuses(spark, pattern):
-            name = path.rsplit("/", 1)[1]
-            parts = [
-                part
-                for part, below in (statuses(spark, f"{escaped(path)}/*", 1) if folder else [])
-                if not below and not part.rsplit("/", 1)[1].startswith(HIDDEN)
-            ]
-            rows += [(part, False) for part in parts] or [(path, name.startswith(HIDDEN))]
-    return spark.createDataFrame(rows, "listed string, hidden boolean")
+    return files_and_parts(spark, pattern).select(F.col("path").alias("listed"), "hidden")
 
 
 @dataclass(frozen=True)
@@ -292,7 +281,6 @@ class CsvFiles:
         table = seen.select("path", "file", "header", "header_id", failure.alias("failure"))
         if self.listing is not None:
             # files without a single record only show up in the listing, whose paths are spelled plainly
-            spot = lambda c: F.regexp_replace(c, "^[a-z0-9]+:/+", "/")
             listed = self.listing.select(spot(F.col("listed")).alias("spot"), "hidden")
             known = table.select(spot(decode_path(F.col("path"))).alias("spot"))
             empty = listed.join(known, "spot", "left_anti").select(
@@ -388,6 +376,9 @@ class CsvFiles:
             if not failed.isEmpty():
                 records = records.join(small_side(failed, self.file_count, ROW_BYTES), "path", "left_anti")
         parsed = records.withColumn("cells", parsed_cells(F.col("record"), self.width)).drop("record")
+        if same is not None and rules.missing_headers(same):
+            # every readable file has this header, so none is sound: nothing to check, all in `failures`
+            return parsed.filter(F.lit(False)), {r.name: F.lit(None).cast("string") for r in rules.fields}
         if same is not None:
             return parsed, {strip(name): F.col(f"cells.c{i}") for i, name in enumerate(same)}
         names = [f"__at{i}" for i in range(len(rules.fields))]

@@ -1,28 +1,25 @@
-"""Parquet files of a folder: listing and footers, without reading rows."""
+"""Parquet files of a folder: inventory, schemas and row counts, without reading rows."""
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from itertools import islice
 
-import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rulegate.functions.text import decode_path
-from rulegate.session import glob, materialize
-
-# workers need not be able to import this package
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from rulegate.session import glob, hadoop_path, materialize, scratch_path
+from rulegate.sources.inventory import entries, files_and_parts, is_hidden, spot
 
 PARQUET_GLOB = "*.[pP][aA][rR][qQ][uU][eE][tT]"
 SOURCE_FOLDER = "source_file="  # folders written by the directory jobs: one logical file each
 SOURCES_TABLE = "_sources"  # per-file counts next to them; Spark skips the name when reading rows
+STRETCH = 10_000  # footers that become one part of the schema table
+AT_ONCE = 16  # footers the JVM reads side by side
 
-
-def spot(path: Column) -> Column:
-    """Path without scheme, the common spelling of listed and scanned files."""
-    return F.regexp_replace(path, "^[a-zA-Z0-9]+:/+", "/")
+UNREADABLE_NAME = "names starting with _ or . cannot be read"
+NO_PARQUET = "not a Parquet file"
 
 
 def logical_parquet_name(path: Column) -> Column:
@@ -37,68 +34,107 @@ def logical_parquet_name(path: Column) -> Column:
     )
 
 
+def scanned_name(path: Column) -> Column:
+    """Logical name of a file as `_metadata.file_path` spells it."""
+    return logical_parquet_name(decode_path(path))
+
+
 def parquet_paths(spark: SparkSession, directory: str) -> list[str]:
+    """Globs of what Spark can read of a folder."""
     folder = directory.rstrip("/")
     patterns = (f"{folder}/{PARQUET_GLOB}", f"{folder}/{SOURCE_FOLDER}*")
     return [p for p in patterns if glob(spark, p)]
 
 
 def list_parquet(spark: SparkSession, directory: str) -> DataFrame:
-    """path, length, file: every Parquet file of a folder, not recursive; files without rows included.
+    """path, length, file, problem: every Parquet file of a folder, not recursive, whatever its name or size.
 
-    A logical file is a `.parquet` file, a folder of that name or a `source_file=` folder. Logical
-    files known only from the `_sources` table (no accepted rows) have no path.
+    A logical file is a `.parquet` file, a folder of that name or a `source_file=` folder. Logical files known only
+    from the `_sources` table (no accepted rows) have no path. `problem` says why a file cannot be read.
     """
-    patterns = parquet_paths(spark, directory)
-    known = glob(spark, f"{directory.rstrip('/')}/{SOURCES_TABLE}")
-    if not patterns and not known:
-        raise FileNotFoundError(f"no parquet files found in directory: {directory}")
-    listed = None
-    if patterns:
-        files = spark.read.format("binaryFile").option("pathGlobFilter", PARQUET_GLOB).load(patterns)
-        listed = files.select("path", "length", logical_parquet_name(F.col("path")).alias("file"))
+    folder = directory.rstrip("/")
+    plain = files_and_parts(spark, f"{folder}/{PARQUET_GLOB}")
+    # parts of a folder are Parquet files by their names; a bare folder is listed itself
+    problem = F.when(F.col("hidden"), F.lit(UNREADABLE_NAME)).when(F.col("length") == 0, F.lit(NO_PARQUET))
+    plain = plain.where(F.lower("path").endswith(".parquet")).select("path", "length", problem.alias("problem"))
+    parts = entries(spark, f"{folder}/{SOURCE_FOLDER}*/{PARQUET_GLOB}").where("NOT folder").where(~is_hidden(F.col("path")))
+    parts = parts.select("path", "length", F.when(F.col("length") == 0, F.lit(NO_PARQUET)).alias("problem"))
+    listed = plain.unionByName(parts).select("path", "length", logical_parquet_name(F.col("path")).alias("file"), "problem")
+    known = glob(spark, f"{folder}/{SOURCES_TABLE}")
     if known:
         names = spark.read.parquet(known[0]).select(F.concat("file", F.lit(".parquet")).alias("file"))
-        if listed is not None:
-            names = names.join(listed.select("file").distinct(), "file", "left_anti")
-        rowless = names.select(
-            F.lit(None).cast("string").alias("path"), F.lit(0).cast("bigint").alias("length"), "file"
-        )
-        listed = rowless if listed is None else listed.unionByName(rowless)
-    return materialize(listed, "parquet-files")
-
-
-def _read_footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Schema text, non-nullable columns and row count of each file; reads footers only."""
-    import pyarrow.fs
-    import pyarrow.parquet
-
-    for batch in batches:
-        paths = batch.column("path").to_pylist()
-        schemas, required, rows = [], [], []
-        for path in paths:
-            if path.startswith("file:"):
-                system, plain = pyarrow.fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
-            else:
-                system, plain = pyarrow.fs.FileSystem.from_uri(path)
-            with system.open_input_file(plain) as handle:
-                footer = pyarrow.parquet.ParquetFile(handle)
-                schemas.append(str(footer.schema).split("\n", 1)[1])
-                rows.append(footer.metadata.num_rows)
-                required.append([f.name for f in footer.schema_arrow if not f.nullable])
-        required_names = pa.array(required, pa.list_(pa.string()))
-        yield pa.RecordBatch.from_pydict(
-            {
-                "path": pa.array(paths, pa.string()),
-                "fingerprint": pa.array(schemas, pa.string()),
-                "required": required_names,
-                "num_rows": pa.array(rows, pa.int64()),
-            }
-        )
-
-
-def footers(files: DataFrame) -> DataFrame:
-    """path, fingerprint, required, num_rows for the listed files."""
-    paths = files.filter("path IS NOT NULL").select("path")
-    schema = "path string, fingerprint string, required array<string>, num_rows bigint"
-    return paths.mapInArrow(_read_footers, schema)
+        names = names.join(listed.select("file").distinct(), "file", "left_anti")
+        none = F.lit(None).cast("string")
+        listed = listed.unionByName(names.select(none.alias("path"), F.lit(0).cast("bigint").alias("length"), "file", none.alias("problem")))
+    listed = materialize(listed, "parquet-files")
+    if not known and listed.isEmpty():
+        raise FileNotFoundError(f"no parquet files found in directory: {directory}")
+    return listed
+
+
+class Footers:
+    """Reads footers through the JVM's Parquet reader: whatever file system Spark reaches, it reaches."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, jvm = spark, spark._jvm
+        self.conf = spark._jsparkSession.sessionState().newHadoopConf()
+        self.files = jvm.org.apache.parquet.hadoop.util.HadoopInputFile
+        self.reader = jvm.org.apache.parquet.hadoop.ParquetFileReader
+
+    def schema(self, path: str):
+        footer = self.reader.open(self.files.fromPath(hadoop_path(self.spark, path), self.conf))
+        try:
+            return footer.getFileMetaData().getSchema()
+        finally:
+            footer.close()
+
+    def fingerprint(self, path: str) -> str | None:
+        """Text of a file's schema below its name; None when the file has no sound footer."""
+        try:
+            return self.schema(path).toString().split("\n", 1)[1]
+        except Exception as error:
+            if "is not a Parquet file" in str(error) or "expected magic" in str(error):
+                return None
+            raise
+
+    def required(self, path: str) -> list[str]:
+        """Columns a file declares as never NULL."""
+        return [f.getName() for f in self.schema(path).getFields() if f.getRepetition().toString() == "REQUIRED"]
+
+
+def stretches(rows: Iterator, size: int) -> Iterator[list]:
+    while part := list(islice(rows, size)):
+        yield part
+
+
+def schemas(listed: DataFrame) -> DataFrame:
+    """path, fingerprint (NULL: no Parquet file) of the readable files of a listing; a scratch table.
+
+    Footers are metadata like the listing and are read next to it, some at once; what the driver holds is one
+    stretch of paths.
+    """
+    spark = listed.sparkSession
+    footers, table, shape = Footers(spark), scratch_path(spark, "schemas"), "path string, fingerprint string"
+    spark.createDataFrame([], shape).write.parquet(table)
+    paths = listed.where("path IS NOT NULL AND problem IS NULL").select("path").toLocalIterator()
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        for part in stretches((r.path for r in paths), STRETCH):
+            found = list(zip(part, pool.map(footers.fingerprint, part)))
+            spark.createDataFrame(found, shape).coalesce(1).write.mode("append").parquet(table)
+    return spark.read.schema(shape).parquet(table)
+
+
+def row_counts(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """scanned (the path as scans spell it), spot, num_rows of every file of some globs that has rows.
+
+    The scan reads no column, so it ends at the footers. Files without a sound footer have no count.
+    """
+    scan = spark.read.schema("__none int").option("ignoreCorruptFiles", "true").parquet(*paths)
+    counted = scan.select(F.col("_metadata.file_path").alias("scanned")).groupBy("scanned").agg(F.count("*").alias("num_rows"))
+    return counted.withColumn("spot", spot(decode_path(F.col("scanned"))))
+
+
+def required_columns(spark: SparkSession, path: str) -> list[str]:
+    """Columns a table's files declare as never NULL, seen in one of them."""
+    one = spark.read.parquet(path).select("_metadata.file_path").first()
+    return Footers(spark).required(one.file_path)
