@@ -18,9 +18,13 @@ from rulegate.session import materialize
 MASK = "[SECRET]"
 
 
+def _row(docs: DataFrame):
+    """The whole row as one column, so that none of its columns can clash with an operator's."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
 def _rows(docs: DataFrame) -> DataFrame:
-    """The whole row beside its id and text, so that no column can clash with an operator's."""
-    return docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
+    return docs.select(_row(docs), "doc_id", "text")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +32,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, labels.where(~held_out(F.col("doc_id"), 5, 0)))
     if not model[0]:  # without a weight all documents score alike: nothing tells a toxic one, so all stay
         return docs
-    return toxicity.score(_rows(docs), model, keep=["row"]).where("predicted = 0").select("row.*")
+    scored = toxicity.score(docs.select(_row(docs)), model, text_col="row.text", keep=["row"])
+    return scored.where("predicted = 0").select("row.*")
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +42,8 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of texts with a five-word Jaccard similarity of 0.8 or more. The stage keeps its name,
-    but its threshold is out of reach of SimHash: see `near_copies`."""
+    """One row of each group of texts with a five-word Jaccard similarity of 0.8 or more. The SimHash index proposes
+    what it reaches and MinHash bands the rest, both are checked: see `near_copies`."""
     return near_copies.one_of_each(docs)
 
 
