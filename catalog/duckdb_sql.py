@@ -296,3 +296,17 @@ later AS (SELECT o_orderkey, g FROM rows UNION ALL SELECT -o_orderkey, g FROM ro
 SELECT CAST(g // 4 + 1 AS BIGINT) AS validation_batch, count(*) AS total_rows, CAST(sum(o_orderkey) AS BIGINT) AS key_sum,
   'write batch 3' AS stopped, 0 AS left_behind
 FROM later WHERE g < 8 GROUP BY 1"""
+SQL["only_failed_files"] = """
+SELECT left(o_orderpriority, 1) || '.csv' AS file, CASE WHEN left(o_orderpriority, 1) = '5' THEN 'read row 2: malformed quotes'
+    ELSE 'required schema field "cust" not found in CSV header' END AS failure,
+  CAST((SELECT count(DISTINCT left(o_orderpriority, 1)) FROM orders) AS BIGINT) AS files,
+  CAST((SELECT count(DISTINCT left(o_orderpriority, 1)) FROM orders) AS BIGINT) AS failed_files,
+  CAST(0 AS BIGINT) AS total_rows, CAST(0 AS BIGINT) AS valid_rows, CAST(0 AS BIGINT) AS invalid_rows
+FROM orders GROUP BY left(o_orderpriority, 1)"""
+SQL["dir_many_headers"] = """
+WITH rows AS (
+  SELECT 'f' || lpad(CAST(o_custkey % 50 AS VARCHAR), 2, '0') AS source_file, o_orderkey, o_orderstatus,
+    row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) + 1 AS number FROM orders)
+SELECT source_file, '__row_number,__errors,id,cust,"x, ' || source_file || '"' AS title, CAST(1 AS BIGINT) AS titles,
+  number, 'cust: invalid int: "not a number"' AS errors, o_orderkey AS id, 'not a number' AS cust, 'a, "b"' AS extra
+FROM rows WHERE o_orderstatus = 'P'"""

@@ -417,6 +417,49 @@ def empty_error_policy(spark, sf_dir):
     return lines.groupBy("source_file").agg(data.alias("error_rows"))
 
 
+@query
+def only_failed_files(spark, sf_dir):
+    """A folder in which no file is sound still ends with a report."""
+    orders = table(spark, sf_dir, "orders")
+    lines = orders.select(
+        F.left("o_orderpriority", F.lit(1)).alias("key_file"),
+        F.col("o_orderkey").alias("position"),
+        F.concat_ws(",", "o_orderkey", F.when(F.left("o_orderpriority", F.lit(1)) == "5", F.lit('a"b')).otherwise("o_custkey")).alias("value"),
+    )
+    folder = csv_lines(with_headers(lines, F.lit("id,customer")))
+    rules = parse_rules({"fields": [{"name": "id", "type": "int"}, {"name": "cust", "type": "int", "required": True}]})
+    out = scratch_path(spark, "failed")
+    try:
+        result = workflows.validate_directory(spark, folder, rules, f"{out}/ok", f"{out}/bad")
+    except workflows.DirectoryError as error:
+        result = error.result
+    document = workflows.result_frame(spark, result)
+    names = ["files", "failed_files", "total_rows", "valid_rows", "invalid_rows"]
+    summary = document.select(*[F.get_json_object("result", f"$.summary.{n}").cast("bigint").alias(n) for n in names])
+    failures = read_csv_directory(spark, folder).failures(rules).select("file", "failure")
+    return failures.join(F.broadcast(summary))
+
+
+@query
+def dir_many_headers(spark, sf_dir):
+    """Error files of a folder in which every file has a header of its own, read back."""
+    key = F.concat(F.lit("f"), F.lpad((F.col("o_custkey") % 50).cast("string"), 2, "0"))
+    cust = F.when(F.col("o_orderstatus") == "P", F.lit("not a number")).otherwise(F.col("o_custkey").cast("string"))
+    lines = table(spark, sf_dir, "orders").select(
+        key.alias("key_file"), F.col("o_orderkey").alias("position"), F.concat_ws(",", "o_orderkey", cust, F.lit('"a, ""b"""')).alias("value")
+    )
+    folder = csv_lines(with_headers(lines, F.concat(F.lit('id,cust,"x, '), F.col("key_file"), F.lit('"'))))
+    rules = parse_rules({"fields": [{"name": "id", "type": "int"}, {"name": "cust", "type": "int"}]})
+    out = scratch_path(spark, "headers")
+    workflows.validate_directory(spark, folder, rules, f"{out}/ok", f"{out}/bad", write_empty_error=True)
+    read = spark.read.schema("value string, source_file string").text(f"{out}/bad")
+    title = F.col("value").startswith("__row_number")
+    titles = read.filter(title).groupBy("source_file").agg(F.max("value").alias("title"), F.count_distinct("value").alias("titles"))
+    cells = F.from_csv("value", "number bigint, errors string, id bigint, cust string, extra string", {"escape": '"'}).alias("c")
+    rows = read.filter(~title).select("source_file", cells).select("source_file", "c.*")
+    return rows.join(titles, "source_file").select("source_file", "title", "titles", "number", "errors", "id", "cust", "extra")
+
+
 @query
 def batch_assign(spark, sf_dir):
     names = event_rows(spark, sf_dir).select(F.concat("key_file", F.lit(".parquet")).alias("file")).distinct()

@@ -28,12 +28,9 @@ def number_within(df: DataFrame, key: str, chunk: list[Column], order: list[str]
     return numbered.withColumn("__row_number", number.cast("bigint")).drop("__local", "__before", *names)
 
 
-def global_rank(df: DataFrame, by: list[str], out: str) -> DataFrame:
-    """Add `out`, the position of each row in the total order `by`, from 0.
-
-    The sorted rows go to scratch storage; a row's rank is its index in its part file plus the rows of
-    the part files before it.
-    """
+def _sorted_parts(df: DataFrame, by: list[str], weight: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows sorted into scratch files, with `__part` and `__index` in it, and `__before`: the weight of the parts
+    before each part."""
     spark = df.sparkSession
     path = scratch_path(spark, "ranked")
     df.orderBy(*by).write.parquet(path)
@@ -43,7 +40,29 @@ def global_rank(df: DataFrame, by: list[str], out: str) -> DataFrame:
     )
     # one row per part file, so this window is as small as the number of write tasks
     in_order = Window.orderBy(F.length("__part"), "__part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = placed.groupBy("__part").agg(F.count("*").alias("__n"))
-    offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(in_order), F.lit(0)).alias("__before"))
+    sizes = placed.groupBy("__part").agg(F.sum(weight).alias("__n"))
+    return placed, sizes.select("__part", F.coalesce(F.sum("__n").over(in_order), F.lit(0)).alias("__before"))
+
+
+def global_rank(df: DataFrame, by: list[str], out: str) -> DataFrame:
+    """Add `out`, the position of each row in the total order `by`, from 0.
+
+    The sorted rows go to scratch storage; a row's rank is its index in its part file plus the rows of
+    the part files before it.
+    """
+    placed, offsets = _sorted_parts(df, by, F.lit(1))
     joined = placed.join(F.broadcast(offsets), "__part")
     return joined.withColumn(out, F.col("__before") + F.col("__index")).drop("__part", "__index", "__before")
+
+
+def running_total(df: DataFrame, by: list[str], weight: str, out: str) -> DataFrame:
+    """Add `out`, the sum of `weight` over all rows before in the total order `by`.
+
+    Sums run inside one part file of the sorted rows, a part's share of all rows, and start from the sums of the
+    parts before it.
+    """
+    placed, offsets = _sorted_parts(df, by, F.col(weight))
+    within = Window.partitionBy("__part").orderBy("__index").rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum(weight).over(within), F.lit(0))
+    joined = placed.withColumn("__inside", inside).join(F.broadcast(offsets), "__part")
+    return joined.withColumn(out, F.col("__before") + F.col("__inside")).drop("__part", "__index", "__before", "__inside")

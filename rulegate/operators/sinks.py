@@ -54,3 +54,22 @@ def write_csv(
     tail = [F.col(partition)] if partition else []
     writer = df.select(*leading, *body, *tail).write.mode(mode).options(**CSV_OPTIONS)
     (writer.partitionBy(partition) if partition else writer).csv(path)
+
+
+def csv_cell(cell: Column) -> Column:
+    """A cell as CSV text: quoted when it holds a comma, a quote or a line break; blank for NULL."""
+    text = F.coalesce(cell, F.lit(""))
+    quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.when(text.rlike('[",\r\n]'), quoted).otherwise(text)
+
+
+def csv_line(leading: list[Column], cells: Column) -> Column:
+    """One CSV record: leading columns, then the cells of an array."""
+    first = [csv_cell(c.cast("string")) for c in leading]
+    return F.concat_ws(",", *first, F.transform(cells, csv_cell))
+
+
+def write_lines(lines: DataFrame, tasks: int, order: list[Column], path: str, partition: str) -> None:
+    """Write `value` lines in one job: rows with `task` go to that task, sorted by `partition` and `order`."""
+    placed = lines.repartitionById(tasks, "task").sortWithinPartitions(partition, *order)
+    placed.select("value", partition).write.partitionBy(partition).option("lineSep", "\n").text(path)

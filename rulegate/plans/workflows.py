@@ -6,7 +6,7 @@ import json
 import os.path
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from rulegate.functions.checks import not_null
 from rulegate.functions.text import decode_path
@@ -18,16 +18,19 @@ from rulegate.operators.batch import (
     write_batches,
 )
 from rulegate.operators.numbering import number_within
-from rulegate.operators.sinks import ERROR_COLUMNS, write_csv, write_typed
+from rulegate.operators.placement import placed_rows
+from rulegate.operators.sinks import ERROR_COLUMNS, csv_line, write_csv, write_lines, write_typed
 from rulegate.operators.split import (
     MISSING_KEYS_FILE,
+    key_stretches,
+    rows_of_stretches,
     rows_per_key_file,
     split_summary,
     with_key_file,
 )
-from rulegate.operators.validate import Validation, validate
+from rulegate.operators.validate import validate
 from rulegate.rules import Rules, load_rules, quoted, strip
-from rulegate.session import absolute, glob, job, materialize, pin, remove, small_side
+from rulegate.session import Publication, absolute, glob, job, materialize, pin, remove, small_side
 from rulegate.sources.csv_files import (
     ROW_BYTES,
     CsvFiles,
@@ -40,6 +43,7 @@ from rulegate.sources.csv_files import (
 from rulegate.sources.parquet_files import SOURCES_TABLE
 
 SOURCE = "source_file"
+STRETCH = ["path", "block"]  # one input split
 WORK_COLUMNS = ("key_file", "file_rank", "batch_no", "__row_number", "__part", "__ok")
 TASK_ROWS = 2_000_000  # rows of a batch that end up in one output part of the one-pass run
 
@@ -175,23 +179,31 @@ def split_csv(
 ) -> SplitSummary:
     """Write one `key_file=<key>` folder of CSV parts per key value.
 
-    Rows are range-partitioned on (key file, input order): a key of any size spreads over as many tasks
-    as it needs, and the parts of a key are in input order.
+    One pass counts what each input split holds of each key, the second one writes: rows go to the task their key
+    and split were given by plan, so a key of any size spreads over as many tasks as it needs, a smaller one has one
+    part, and the parts of a key are in input order. The folders appear when all are written.
     """
     files = read_csv_file(spark, input_csv)
     header = file_header(files)
     position = key_position(header, detect_key(header) if not key or not key.strip() else key)
     keyed = _keyed_records(files, position, missing_file or MISSING_KEYS_FILE)
-    per_file = materialize(rows_per_key_file(keyed), "key-files")
+    stretches = materialize(key_stretches(keyed, STRETCH, F.octet_length("record").cast("bigint")), "key-stretches")
+    with Publication(spark, keep=mode == "append") as publication:
+        _write_split(keyed, stretches, header, publication.staged(output_dir))
+    return SplitSummary(**split_summary(rows_of_stretches(stretches)).first().asDict())
+
+
+def _write_split(keyed: DataFrame, stretches: DataFrame, header: list[str], path: str) -> None:
+    sizes = stretches.select("key_file", *STRETCH, "bytes")
+    rows, _, tasks = placed_rows(keyed, sizes, "key_file", STRETCH, part_order())
     order = [F.col("key_file"), *part_order(), F.col("id")]
-    rows = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
-    write_csv(rows, output_dir, header, original_cells(len(header)), partition="key_file", mode=mode)
-    return SplitSummary(**split_summary(per_file).first().asDict())
+    ordered = rows.repartitionById(tasks, "task").sortWithinPartitions(*order)
+    write_csv(ordered, path, header, original_cells(len(header)), partition="key_file", mode="append")
 
 
 def _keyed_records(files: CsvFiles, position: int, missing_file: str) -> DataFrame:
-    """Parsed records with their key file: path, block, id, cells, has_key, key_file."""
-    records = files.records().withColumn("cells", parsed_cells(F.col("record"), files.width)).drop("record")
+    """Parsed records with their key file: path, block, id, record, cells, has_key, key_file."""
+    records = files.records().withColumn("cells", parsed_cells(F.col("record"), files.width))
     return with_key_file(records, F.col(f"cells.c{position}"), missing_file)
 
 
@@ -209,7 +221,7 @@ def validate_csv(
 ) -> ValidationResult:
     """Validate one CSV: `<base>.parquet` with the typed rows, `<base>_error.csv` with the others.
 
-    The first pass writes the typed rows and counts; the second one runs only when rows were rejected.
+    Rows are checked once into a scratch table that feeds both outputs; they appear together.
     """
     pin(spark)
     rules = as_rules(rules)
@@ -219,26 +231,27 @@ def validate_csv(
     failed = files.failures(rules).first()
     if failed is not None:
         raise FileError(f"processing failed: {failed.failure}")
-    table, cells = files.table(rules)
-    counted = Observation()
-    kept = ["path", "block", "id", "cells"]
-    gate = validate(table, rules, keep=kept, cells=cells, observation=counted)
+    staged = checked_rows(files, rules)
+    stats = Stats(*staged.agg(F.count("*"), F.count_if("__ok"), F.count_if(~F.col("__ok"))).first())
     parquet_path, error_path = output_paths(input_csv, success_dir, error_dir)
-    write_typed(gate.valid(), parquet_path)
-    stats = Stats(**counted.get)
-    _write_errors(files, gate, header, error_path, stats.invalid_rows, write_empty_error)
+    with Publication(spark) as publication:
+        write_typed(staged.filter("__ok").select(*_row_columns(rules)), publication.staged(parquet_path))
+        errors = publication.staged(error_path)
+        if stats.invalid_rows or write_empty_error:
+            numbered = files.with_row_numbers(rejected_rows(staged))
+            write_csv(numbered, errors, header, original_cells(len(header)), extra=ERROR_COLUMNS)
     return ValidationResult(input_csv, parquet_path, error_path, stats)
 
 
-def _write_errors(
-    files: CsvFiles, gate: Validation, header: list[str], path: str, invalid_rows: int, write_empty: bool
-) -> None:
-    if not invalid_rows and not write_empty:
-        remove(files.lines.sparkSession, path)
-        return
-    bad = gate.invalid("path", "block", "id", "cells")
-    numbered = files.with_row_numbers(bad if invalid_rows else bad.limit(0))
-    write_csv(numbered, path, header, original_cells(len(header)), extra=ERROR_COLUMNS)
+def checked_rows(files: CsvFiles, rules: Rules) -> DataFrame:
+    """All rows of the sound files, checked once: path, block, id, __ok, `row` or `__errors` and `cells`."""
+    table, cells = files.table(rules)
+    gate = validate(table, rules, keep=["path", "block", "id", "cells"], cells=cells)
+    return materialize(gate.staged("path", "block", "id", rejected_only=("cells",)), "checked", partition="__ok")
+
+
+def rejected_rows(staged: DataFrame) -> DataFrame:
+    return staged.filter("NOT __ok").drop("row", "__ok")
 
 
 @job
@@ -253,43 +266,27 @@ def validate_directory(
     """Validate all CSVs of a folder in one job; outputs are folders `source_file=<base>`.
 
     Files that cannot be read or lack a needed column are left out; the rest is written before
-    DirectoryError reports them. Per-file counts go to `_sources` next to the typed rows.
+    DirectoryError reports them. Per-file counts go to `_sources` next to the typed rows. Rows are checked once, and
+    all outputs appear together.
     """
     pin(spark)
     rules = as_rules(rules)
     check_names(rules, (SOURCE,))
     files = read_csv_directory(spark, input_dir)
-    table, cells = files.table(rules)
-    counted = Observation()
-    kept = ["path", "block", "id", "cells"]
-    gate = validate(table, rules, keep=kept, cells=cells, observation=counted)
-
-    def base(name: Column) -> Column:
-        return F.regexp_replace(name, r"\.[^.]*\z", "")
-
-    typed = gate.valid("path").withColumn(SOURCE, base(logical_name(decode_path(F.col("path"))))).drop("path")
-    write_typed(typed, success_dir, SOURCE)
-    rejected = gate.invalid(*kept)
-    if not counted.get["invalid_rows"]:
-        rejected = rejected.filter(F.lit(False))  # nothing to look for: no second pass
-    bad = materialize(files.with_row_numbers(rejected), "rejected")
-    failed = files.failures(rules).select("file").distinct()
-    per_file = materialize(
-        file_stats(files, gate, bad).join(failed, "file", "left_anti").withColumn("file", base(F.col("file"))),
-        "file-stats",
-    )
-    per_file.write.mode("overwrite").parquet(f"{success_dir.rstrip('/')}/{SOURCES_TABLE}")
-    bad = bad.withColumn(SOURCE, base(F.col("file")))
-    _write_directory_errors(files, bad, error_dir)
-    if write_empty_error:
-        headers = files.files.filter("header_id IS NOT NULL").groupBy(base(F.col("file")).alias(SOURCE)).agg(
-            F.first("header").alias("header")
-        )
-        clean = per_file.filter("invalid_rows = 0").withColumnRenamed("file", SOURCE).join(headers, SOURCE)
-        write_header_only(clean.select(SOURCE, "header"), error_dir)
-
-    found = directory_summary(per_file, failed).first()
-    summary = DirectorySummary(**found.asDict())
+    staged = checked_rows(files, rules)
+    bad = materialize(files.with_row_numbers(rejected_rows(staged)), "rejected")
+    failed = materialize(files.failures(rules).select("file").distinct(), "failed-files")
+    per_file = file_stats(files, bad).join(failed, "file", "left_anti").withColumn("file", base_of(F.col("file")))
+    per_file = materialize(per_file, "file-stats")
+    source = base_of(logical_name(decode_path(F.col("path")))).alias(SOURCE)
+    with Publication(spark) as publication:
+        typed = publication.staged(success_dir)
+        write_typed(staged.filter("__ok").select(*_row_columns(rules), source), typed, SOURCE)
+        per_file.write.mode("overwrite").parquet(f"{typed}/{SOURCES_TABLE}")
+        clean = per_file.filter("invalid_rows = 0").select(F.col("file").alias(SOURCE)) if write_empty_error else None
+        _write_directory_errors(files, bad.withColumn(SOURCE, base_of(F.col("file"))), clean, publication.staged(error_dir))
+
+    summary = DirectorySummary(**directory_summary(per_file, failed).first().asDict())
     result = DirectoryResult(input_dir, summary.files, summary, success_dir, error_dir)
     if summary.failed_files:
         raise DirectoryError(
@@ -298,7 +295,12 @@ def validate_directory(
     return result
 
 
-def file_stats(files: CsvFiles, gate: Validation, rejected: DataFrame) -> DataFrame:
+def base_of(name: Column) -> Column:
+    """A file's name without its extension."""
+    return F.regexp_replace(name, r"\.[^.]*\z", "")
+
+
+def file_stats(files: CsvFiles, rejected: DataFrame) -> DataFrame:
     """file, total, valid and invalid rows: totals come from the block counts, not from another scan."""
     totals = files.blocks.groupBy("file").agg(F.sum(F.col("n") - F.col("headers")).alias("total_rows"))
     wrong = rejected.groupBy("file").agg(F.count("*").alias("invalid_rows"))
@@ -310,34 +312,50 @@ def file_stats(files: CsvFiles, gate: Validation, rejected: DataFrame) -> DataFr
 
 def directory_summary(per_file: DataFrame, failed: DataFrame) -> DataFrame:
     """One row: files, failed_files and the row sums of the files that did not fail."""
-    zero = F.lit(0).cast("bigint")
-    sums = per_file.agg(
-        F.count("*").alias("__sound"),
-        *[F.coalesce(F.sum(c), zero).alias(c) for c in ("total_rows", "valid_rows", "invalid_rows")],
-    )
-    return sums.crossJoin(failed.agg(F.count("*").alias("failed_files"))).select(
-        (F.col("__sound") + F.col("failed_files")).alias("files"),
-        "failed_files",
-        "total_rows",
-        "valid_rows",
-        "invalid_rows",
+    zero, counts = F.lit(0).cast("bigint"), ("total_rows", "valid_rows", "invalid_rows")
+    sound = per_file.select(zero.alias("failed_files"), *counts)
+    every = sound.unionByName(failed.select(F.lit(1).cast("bigint").alias("failed_files"), *[zero.alias(c) for c in counts]))
+    return every.agg(
+        F.count("*").alias("files"),
+        *[F.coalesce(F.sum(c), zero).alias(c) for c in ("failed_files", *counts)],
     )
 
 
-def _write_directory_errors(files: CsvFiles, bad: DataFrame, error_dir: str) -> None:
-    """Error files per source, one write per distinct header (rejected rows come from scratch)."""
-    remove(files.lines.sparkSession, error_dir)
-    headers = materialize(
-        files.headers().filter("header_cells IS NOT NULL").select("path", "header_cells"), "headers"
+def _write_directory_errors(files: CsvFiles, bad: DataFrame, clean: DataFrame | None, path: str) -> None:
+    """Error files of all sources in one write, whatever their headers, each part with the header of its rows.
+
+    Lines are rendered here, so that a part is not bound to the columns of the others. A part is known by plan:
+    source and header (parts of one input file may differ in theirs) have tasks of their own, and each of those gets
+    the header line first. `clean` names sources without rejected rows that still get a header.
+    """
+    headers = files.headers().filter("header_cells IS NOT NULL").select("path", base_of(F.col("file")).alias(SOURCE), "header_cells")
+    per_source = Window.partitionBy(SOURCE).orderBy("header_cells")
+    headers = materialize(headers.withColumn("variant", F.dense_rank().over(per_source) - 1), "headers")
+    variants = (headers.agg(F.max("variant")).first()[0] or 0) + 1
+    key = F.concat_ws("\u0001", SOURCE, F.col("variant").cast("string")).alias("key")
+    shapes = headers.select("path", "header_cells", "variant")
+    rows = bad.join(small_side(shapes, files.file_count, ROW_BYTES), "path").withColumn("key", key)
+    cells = F.slice(F.array(*original_cells(files.width)), 1, F.size("header_cells"))
+    line = csv_line([F.col(c) for c in ERROR_COLUMNS], cells)
+    rows = rows.select("key", SOURCE, "variant", "path", "block", "id", line.alias("value"))
+    sizes = rows.groupBy("key", *STRETCH).agg(F.sum(F.octet_length("value").cast("bigint")).alias("bytes"))
+    placed, plan, tasks = placed_rows(rows, materialize(sizes, "error-stretches"), "key", STRETCH, part_order())
+
+    titles = headers.select(SOURCE, "variant", "header_cells", key).distinct()
+    parts = plan.select(F.col("key").alias("__key"), "task").distinct()
+    titles_of_parts = titles.join(parts, F.col("key") == F.col("__key"))
+    if clean is not None:
+        idle = titles.where("variant = 0").join(clean, SOURCE, "left_semi")
+        titles_of_parts = titles_of_parts.select(SOURCE, "variant", "header_cells", "task").unionByName(
+            idle.select(SOURCE, "variant", "header_cells", F.pmod(F.xxhash64(SOURCE), F.lit(tasks)).cast("int").alias("task"))
+        )
+    title = csv_line([F.lit(c) for c in ERROR_COLUMNS], F.col("header_cells")).alias("value")
+    place = (F.col("variant") * tasks + F.col("task")).cast("int").alias("task")
+    nothing = [F.lit(None).cast("string").alias("path"), *[F.lit(None).cast("bigint").alias(c) for c in ("block", "id")]]
+    lines = titles_of_parts.select(SOURCE, place, F.lit(0).alias("kind"), *nothing, title).unionByName(
+        placed.select(SOURCE, place, F.lit(1).alias("kind"), "path", "block", "id", "value")
     )
-    shapes = headers.select("header_cells").distinct().collect()  # one per different header
-    if len(shapes) > 1:
-        bad = bad.join(small_side(headers, files.file_count, ROW_BYTES), "path")
-    for shape in shapes:
-        header = list(shape.header_cells)
-        same = F.col("header_cells") == F.array(*[F.lit(h) for h in header])
-        rows = bad.filter(same) if len(shapes) > 1 else bad
-        write_csv(rows, error_dir, header, original_cells(len(header)), ERROR_COLUMNS, SOURCE, "append")
+    write_lines(lines, int(variants) * tasks, [F.col("kind"), *part_order(), F.col("id")], path, SOURCE)
 
 
 def write_header_only(sources: DataFrame, error_dir: str) -> None:
@@ -400,15 +418,14 @@ def auto(
     if len(header) == 1:
         # a lone blank cell is a blank line once it is split into its own file, and is skipped there
         listed = rows_per_key_file(keyed)
-        rows_in = keyed.filter(F.coalesce("cells.c0", F.lit("")) != "")
+        rows_in = keyed.drop("record").filter(F.coalesce("cells.c0", F.lit("")) != "")
     else:
-        listed, rows_in = rows_per_key_file(keyed), keyed
+        listed, rows_in = rows_per_key_file(keyed), keyed.drop("record")
     per_key = materialize(listed, "key-files")
     split = SplitSummary(**split_summary(per_key).first().asDict())
     if write_split:
-        order = [F.col("key_file"), *part_order(), F.col("id")]
-        spread = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
-        write_csv(spread, split_dir, header, original_cells(len(header)), partition="key_file")
+        stretches = materialize(key_stretches(keyed, STRETCH, F.octet_length("record").cast("bigint")), "key-stretches")
+        _write_split(keyed, stretches, header, split_dir)
 
     key_count = per_key.count()
     absent = rules.missing_headers(header)
