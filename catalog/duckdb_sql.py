@@ -310,3 +310,20 @@ WITH rows AS (
 SELECT source_file, '__row_number,__errors,id,cust,"x, ' || source_file || '"' AS title, CAST(1 AS BIGINT) AS titles,
   number, 'cust: invalid int: "not a number"' AS errors, o_orderkey AS id, 'not a number' AS cust, 'a, "b"' AS extra
 FROM rows WHERE o_orderstatus = 'P'"""
+ODD_FILES = """
+WITH rows AS (
+  SELECT 'f' || lpad(CAST(o_custkey % 20 AS VARCHAR), 2, '0') AS name, o_orderkey AS id,
+    row_number() OVER (PARTITION BY o_custkey % 20 ORDER BY o_orderkey) + 1 AS row_number,
+    CASE WHEN o_orderkey % 9 = 0 THEN 'cust: value is required' WHEN o_orderstatus = 'P' THEN 'cust: invalid int: "x"' END AS errors
+  FROM orders)"""
+SQL["stream_quarantine"] = f"{ODD_FILES} SELECT name, row_number, errors, id FROM rows WHERE errors IS NOT NULL AND name <= 'f16'"
+SQL["stream_totals"] = f"""{ODD_FILES}
+SELECT count(DISTINCT name) AS files, count(DISTINCT name) FILTER (name > 'f16') AS failed_files,
+  count(*) FILTER (name <= 'f16') AS total_rows, count(*) FILTER (name <= 'f16' AND errors IS NULL) AS valid_rows,
+  count(*) FILTER (name <= 'f16' AND errors IS NOT NULL) AS invalid_rows
+FROM rows"""
+SQL["rule_many_values"] = """
+WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'replaced ' || c_custkey ELSE c_name END AS value FROM customer),
+j AS (SELECT *, CASE WHEN c_custkey % 5 = 0 THEN c_custkey % 10 = 0 ELSE c_custkey % 7 <> 0 END AS known FROM c)
+SELECT c_custkey, CASE WHEN known THEN value END AS value, CASE WHEN NOT known THEN 'c_name: value "' || value || '" not in allowed_values' END AS errors
+FROM j"""

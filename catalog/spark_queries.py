@@ -663,3 +663,47 @@ def stream_gate(spark, sf_dir):
     folders = [f"{out}/{n}" for n in ("good", "quarantine", "failed", "checkpoint")]
     streaming.stream_gate(spark, csv_of(raw, "events", "event_id"), event_rules(), *folders).awaitTermination()
     return portable(spark.read.parquet(folders[0]).drop("epoch"))
+
+
+def stream_of_odd_files(spark: SparkSession, sf_dir: str) -> list[str]:
+    """A stream over files of orders, some of which fail or hold bad rows, a few files per micro-batch."""
+    key = F.concat(F.lit("f"), F.lpad((F.col("o_custkey") % 20).cast("string"), 2, "0"))
+    cust = F.when(F.col("o_orderkey") % 9 == 0, F.lit("none")).when(F.col("o_orderstatus") == "P", F.lit("x")).otherwise(F.col("o_custkey").cast("string"))
+    lines = table(spark, sf_dir, "orders").select(
+        key.alias("key_file"), F.col("o_orderkey").alias("position"), F.concat_ws(",", "o_orderkey", cust).alias("value")
+    )
+    header = F.when(F.col("key_file") > "f16", "id,customer").otherwise("id,cust")
+    source, out = csv_lines(with_headers(lines, header)), scratch_path(spark, "stream")
+    for n, place in enumerate(glob(spark, f"{source}/key_file=*")):
+        for part, path in enumerate(glob(spark, f"{place}/part-*")):  # one each: a key's lines are written by one task
+            rename(spark, path, f"{out}/in/{place.rsplit('=', 1)[1]}{'' if part == 0 else f'-{part}'}.csv")
+    rules = parse_rules({"fields": [{"name": "id", "type": "int"}, {"name": "cust", "type": "int", "required": True}]})
+    folders = [f"{out}/{n}" for n in ("good", "quarantine", "failed", "checkpoint")]
+    streaming.stream_gate(spark, f"{out}/in", rules, *folders, files_per_batch=7).awaitTermination()
+    return folders
+
+
+@query
+def stream_quarantine(spark, sf_dir):
+    rows = spark.read.parquet(stream_of_odd_files(spark, sf_dir)[1])
+    name = F.regexp_extract("file", r"([^/]*)\.csv$", 1)
+    return rows.select(name.alias("name"), F.col("__row_number").alias("row_number"), F.col("__errors").alias("errors"), F.col("cells")[0].cast("bigint").alias("id"))
+
+
+@query
+def stream_totals(spark, sf_dir):
+    good, _, failed, _ = stream_of_odd_files(spark, sf_dir)
+    return streaming.stream_summary(spark, good, failed)
+
+
+@query
+def rule_many_values(spark, sf_dir):
+    """As many replacements and allowed values as there are customers."""
+    names = [(r.c_custkey, r.c_name) for r in table(spark, sf_dir, "customer").select("c_custkey", "c_name").collect()]
+    rule = {
+        "name": "c_name",
+        "type": "string",
+        "inline_replace": {n: f"replaced {k}" for k, n in names if k % 5 == 0},
+        "allowed_values": [n for k, n in names if k % 7] + [f"replaced {k}" for k, _ in names if k % 10 == 0],
+    }
+    return one_rule(spark, sf_dir, rule, "customer")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rulegate.functions import numbers
 from rulegate.functions.layouts import readers
-from rulegate.functions.text import may_hold_other_space, is_missing, lower_text, quote_text, trim_cell
+from rulegate.functions.text import is_among, is_missing, looked_up, lower_text, may_hold_other_space, quote_text, trim_cell
 from rulegate.rules import COLUMN_TYPES, Rule, Rules
 
 def group_size(rules: Rules) -> int:
@@ -24,9 +24,9 @@ def group_size(rules: Rules) -> int:
 
     The code of one stretch has to stay below the method size the JVM compiles (8,000 bytes); beyond it
     rows are interpreted, several times slower. Every earlier group adds code for carrying its results,
-    so wide documents get smaller groups.
+    so wide documents get smaller groups. A lookup is about as much code as a rule.
     """
-    count = len(rules.fields)
+    count = len(rules.fields) + sum(bool(r.replace) + bool(r.allowed) for r in rules.fields)
     return 4 if count <= 20 else 3 if count <= 33 else 2
 
 
@@ -38,9 +38,7 @@ def raw_text(rule: Rule, cell: Column, other_space: Column) -> Column:
         raw = F.coalesce(F.when(other_space, trim_cell(cell)).otherwise(F.trim(cell)), F.lit(""))
     if not rule.replace:
         return raw
-    looked_up = lower_text(raw) if rule.lower else raw
-    entries = [F.lit(text) for pair in rule.replace.items() for text in pair]
-    return F.coalesce(F.try_element_at(F.create_map(*entries), looked_up), raw)
+    return F.coalesce(looked_up(lower_text(raw) if rule.lower else raw, rule.replace), raw)
 
 
 def present_text(rule: Rule, raw: Column) -> Column:
@@ -98,7 +96,7 @@ def conditions(rule: Rule, text: Column, value: Column, second: list[Column]) ->
             short = F.coalesce(F.octet_length(value) < rule.min_length, F.lit(False))
             found.append((short, f"min_length={rule.min_length} violated", None, ""))
         if rule.allowed:
-            known = F.coalesce(value.isin(list(rule.allowed)), F.lit(True))
+            known = F.coalesce(is_among(value, rule.allowed), F.lit(True))
             found.append((~known, "value ", value, " not in allowed_values"))
         return found
     unreadable = value.isNull() & text.isNotNull()

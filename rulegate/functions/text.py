@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import zlib
+from collections.abc import Iterable
+
 from pyspark.sql import Column, functions as F
 
 # Unicode white space, null-like words, and the named escapes of quoted text.
@@ -52,6 +56,32 @@ def is_missing(c: Column, trimmed: bool = False) -> Column:
     return (F.octet_length(text) <= LONGEST_MISSING_WORD) & text.rlike(MISSING)
 
 
+def _buckets(texts: Iterable[str]) -> list[list[str]]:
+    """Texts dealt by the low bits of their checksums, about one to a bucket."""
+    texts = list(texts)
+    table: list[list[str]] = [[] for _ in range(1 << max(0, len(texts) - 1).bit_length())]
+    for text in texts:
+        table[zlib.crc32(text.encode()) & (len(table) - 1)].append(text)
+    return table
+
+
+def _bucket(table: list, kind: str, text: Column) -> Column:
+    """The bucket of a text. The table is one literal, read from JSON once, when the plan is made."""
+    literal = F.from_json(F.lit(json.dumps(table)), f"array<{kind}>")
+    return F.get(literal, F.crc32(text).bitwiseAND(F.lit(len(table) - 1)).cast("int"))
+
+
+def is_among(text: Column, texts: Iterable[str]) -> Column:
+    """Whether a text is one of many: a hash lookup, as quick for thousands as for a few. NULL for NULL."""
+    return F.array_contains(_bucket(_buckets(texts), "array<string>", text), text)
+
+
+def looked_up(text: Column, entries: dict[str, str]) -> Column:
+    """What a text is mapped to, NULL when it has no entry; a hash lookup like `is_among`."""
+    table = [{text: entries[text] for text in bucket} for bucket in _buckets(entries)]
+    return F.try_element_at(_bucket(table, "map<string,string>", text), text)
+
+
 def quote_text(c: Column) -> Column:
     """Double-quoted rendering with backslash escapes, as used inside error messages."""
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rulegate.functions import checks
-from rulegate.functions.text import is_missing, lower_text, quote_text, snake_case, trim_cell
+from rulegate.functions.text import is_among, is_missing, looked_up, lower_text, quote_text, snake_case, trim_cell
 from rulegate.operators.validate import HeaderError, validate
 from rulegate.rules import parse_rules
 from tests.model import evaluate
@@ -189,6 +189,15 @@ def test_large_replacement_map(spark):
     assert one(spark, rule, texts) == expected
 
 
+@pytest.mark.parametrize("count", [1, 2, 7, 5_000])
+def test_lookups_at_any_size(spark, count):
+    texts = [f'v"{n}\\ é漢🙂' for n in range(count)]
+    rows = spark.createDataFrame([(t,) for t in [*texts[:50], "v", "", None, texts[-1], texts[-1].upper()]], "t string")
+    found = rows.select("t", is_among(F.col("t"), texts).alias("known"), looked_up(F.col("t"), {t: f"{t}!" for t in texts}).alias("to")).collect()
+    for t, known, to in found:
+        assert known == (None if t is None else t in texts) and to == (f"{t}!" if t in texts else None)
+
+
 def test_header_check(spark):
     frame = spark.createDataFrame([("1",)], "a string")
     rules = parse_rules({"fields": [{"name": "b", "type": "int", "default": 1}]})

@@ -120,7 +120,7 @@ def test_clashing_names_are_refused(spark, names):
 
 def test_micro_batch_counts_within_physical_files(spark, tmp_path):
     source = write(tmp_path, {f"in.csv/part-{p}.csv": "k,n\na,x\n" for p in range(2)}) + "/in.csv"
-    out = [str(tmp_path / name) for name in ("good", "quarantine", "failed")]
+    out = [str(tmp_path / name) for name in ("good", "quarantine", "failed", "counts")]
     gate_batch(read_lines(spark, source), RULES, *out)
     found = spark.read.parquet(out[1]).select("file", "__row_number").collect()
     assert [r["__row_number"] for r in found] == [2, 2] and len({r["file"] for r in found}) == 2

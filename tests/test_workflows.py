@@ -21,7 +21,7 @@ from rulegate.plans.workflows import (
     validate_directory,
 )
 from rulegate.rules import parse_rules
-from rulegate.streaming.gate import stream_gate
+from rulegate.streaming.gate import stream_gate, stream_summary
 from tests.test_checks import DOCUMENT, ERRORS, HEADER, ROWS
 from tests.test_csv_files import FILES, RULES, write
 
@@ -218,3 +218,16 @@ def test_stream_equals_directory(spark, tmp_path):
     rejected = {(r.file.rsplit("/", 1)[1], r["__row_number"]) for r in spark.read.parquet(outs[1]).collect()}
     assert rejected == {("a.csv", 3), ("b b+c%20.csv", 3), ("e.CSV", 3)}
     assert {r.file.rsplit("/", 1)[1] for r in spark.read.parquet(outs[2]).collect()} == {"c.csv", "g.csv", "i.csv", "j.csv"}
+    summary = stream_summary(spark, outs[0], outs[2]).first()
+    assert (summary.files, summary.failed_files, summary.total_rows, summary.valid_rows, summary.invalid_rows) == (9, 4, 165, 162, 3)
+
+
+def test_stream_goes_on_after_a_batch_of_failed_files(spark, tmp_path):
+    outs = [f"{tmp_path}/{n}" for n in ("good", "quarantine", "failed", "checkpoint")]
+    for step, files in enumerate(({"a.csv": "id,z\n1,2\n"}, {"b.csv": "id,q\n1,2\n3,x\n"}, {"c.csv": 'id,q\n1"2,3\n', "d.csv": "id,q\n4,5\n"})):
+        write(tmp_path / "in", files)
+        stream_gate(spark, f"{tmp_path}/in", RULES, *outs, files_per_batch=1).awaitTermination()
+        if not step:
+            assert [r.failure for r in spark.read.parquet(outs[2]).collect()] == ['required schema field "q" not found in CSV header']
+    assert tuple(stream_summary(spark, outs[0], outs[2]).first()) == (4, 2, 3, 2, 1)
+    assert spark.read.parquet(outs[0]).count() == 2
