@@ -61,6 +61,9 @@ KEY = (
     rf"|(?:{_GAP}(?:Proc-Type:\s*+\d,[A-Z]++|DEK-Info:\s*+[A-Z0-9-]++,[0-9A-Fa-f]++))*+"
     rf"(?:(?:{_GAP}[A-Za-z0-9+/=]{{16,}}+)++(?:[\r\n]++[A-Za-z0-9+/]{{1,15}}+={{0,2}}+(?![^\r\n]))?+)?+)"
 )
+SPANS = "array<struct<from:int,order:int,to:int,counts:boolean>>"
+STRETCH = 128  # matches that one running sum goes over
+
 MASK_RULES = [*RULES[:-1], SecretRule("private_key", KEY)]
 
 # ---- Boolean trigram queries ------------------------------------------------------------------
@@ -211,38 +214,42 @@ def candidates(index: DataFrame, queries: dict[str, tuple], trigrams: Sequence[s
     return merged.select(id_col, kinds.alias("kinds")).where(F.size("kinds") > 0)
 
 
+def stretches(items: Column) -> Column:
+    """A non-empty array cut into arrays of `STRETCH` items: what grows inside one stays small however long it is."""
+    last = F.floor((F.size(items) - 1) / STRETCH).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), last), lambda c: F.slice(items, c * STRETCH + 1, F.lit(STRETCH)))
+    return cut
+
+
 def rule_spans(text: Column, rule: SecretRule, order: int) -> Column:
-    """Spans of a rule in a text: what lies between the matches and the matches themselves give the offsets."""
-
-    def spans(found: Column) -> Column:
-        pieces = F.split(text, rule.pattern, -1)
-        lengths = F.transform(pieces, lambda p: F.length(p))
-
-        def place(between: Column) -> Column:
-            step = lambda a, m: F.struct(
-                (a["at"] + F.get(between, a["k"]) + F.length(m)).alias("at"),
-                (a["k"] + 1).alias("k"),
-                F.concat(
-                    a["spans"],
-                    F.array(
-                        F.struct(
-                            (a["at"] + F.get(between, a["k"])).alias("from"),
-                            F.lit(order).alias("order"),
-                            (a["at"] + F.get(between, a["k"]) + F.length(m)).alias("to"),
-                            (F.length(F.regexp_extract(m, rule.pattern, rule.group)) >= rule.least).alias("counts"),
-                        )
-                    ),
-                ).alias("spans"),
-            )
-            start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("k"), F.array().cast("array<struct<from:int,order:int,to:int,counts:boolean>>").alias("spans"))
-            return F.filter(F.aggregate(found, start, step, lambda a: a["spans"]), lambda s: s["counts"])
-
-        return let(lengths, place)
-
-    empty = F.array().cast("array<struct<from:int,order:int,to:int,counts:boolean>>")
+    """Spans of a rule in a text: what lies between the matches and the matches themselves give the offsets.
+
+    Offsets are running sums: over stretches of matches first, then inside each stretch."""
+    empty = F.array().cast(SPANS)
+
+    def step(a: Column, m: Column) -> Column:
+        start = a["at"] + m["gap"]
+        span = F.struct(start.alias("from"), F.lit(order).alias("order"), (start + m["own"]).alias("to"), m["counts"].alias("counts"))
+        return F.struct((start + m["own"]).alias("at"), F.concat(a["spans"], F.array(span)).alias("spans"))
+
+    def inside(part: Column, at: Column) -> Column:
+        return F.aggregate(part, F.struct(at.alias("at"), empty.alias("spans")), step, lambda a: a["spans"])
+
+    def spans(parts: Column) -> Column:
+        sums = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda n, m: n + m["gap"] + m["own"]))
+        before = lambda sums, k: F.aggregate(F.slice(sums, F.lit(1), k), F.lit(0), lambda n, x: n + x)
+        found = let(sums, lambda sums: F.transform(parts, lambda p, k: inside(p, before(sums, k))))
+        return F.filter(F.flatten(found), lambda s: s["counts"])
+
+    def matches(found: Column) -> Column:
+        gaps = F.transform(F.split(text, rule.pattern, -1), lambda p: F.length(p))
+        counts = lambda m: F.length(F.regexp_extract(m, rule.pattern, rule.group)) >= rule.least
+        item = lambda gaps: lambda m, k: F.struct(F.get(gaps, k).alias("gap"), F.length(m).alias("own"), counts(m).alias("counts"))
+        return let(gaps, lambda gaps: F.transform(found, item(gaps)))
+
     return let(
         F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)),
-        lambda found: F.when(F.size(found) == 0, empty).otherwise(spans(found)),
+        lambda found: F.when(F.size(found) == 0, empty).otherwise(let(matches(found), lambda m: let(stretches(m), spans))),
     )
 
 
@@ -271,7 +278,7 @@ def scan(docs: DataFrame, rules: Sequence[SecretRule] = RULES, text_col: str = "
     else:
         joined = docs.withColumn("kinds", F.array().cast("array<string>"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    empty = F.array().cast("array<struct<from:int,order:int,to:int,counts:boolean>>")
+    empty = F.array().cast(SPANS)
     parts = []
     for order, rule in enumerate(rules):
         can = F.lit(True)
@@ -292,17 +299,34 @@ def span_text(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with every span (sorted by start; overlapping ones as one) replaced by `mark`."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def step(a: Column, s: Column) -> Column:
-        inside = s["from"] < a["at"]
-        return F.struct(
-            F.when(inside, a["out"])
-            .otherwise(F.concat(a["out"], F.substring(text, a["at"] + 1, s["from"] - a["at"]), F.lit(mark)))
-            .alias("out"),
-            F.greatest(a["at"], s["to"]).alias("at"),
-        )
+    """The text with every span (sorted by start; overlapping ones as one) replaced by `mark`.
+
+    The text is cut at stretches of spans, and each piece is rebuilt from its own parts, joined once."""
+
+    def furthest(part: Column) -> Column:
+        return F.array_max(F.transform(part, lambda s: s["to"]))
+
+    def piece(part: Column, start: Column, stop: Column) -> Column:
+        def rebuilt(own: Column) -> Column:
+            def step(a: Column, s: Column) -> Column:
+                gap = F.substring(own, a["at"] - start + 1, s["from"] - a["at"])
+                more = F.when(s["from"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.array(gap, F.lit(mark))))
+                return F.struct(more.alias("out"), F.greatest(a["at"], s["to"]).alias("at"))
+
+            zero = F.struct(F.array().cast("array<string>").alias("out"), start.alias("at"))
+            return F.array_join(F.aggregate(part, zero, step, lambda a: a["out"]), "")
+
+        return let(F.substring(text, start + 1, stop - start), rebuilt)
+
+    def whole(parts: Column) -> Column:
+        reach = F.transform(parts, furthest)
+
+        def joined(reach: Column) -> Column:
+            until = lambda k: F.coalesce(F.array_max(F.slice(reach, F.lit(1), k)), F.lit(0))
+            pieces = F.transform(parts, lambda p, k: piece(p, until(k), until(k + 1)))
+            end = F.array_max(reach)
+            return F.concat(F.array_join(pieces, ""), F.substring(text, end + 1, F.length(text) - end))
+
+        return let(reach, joined)
 
-    clean = F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text) - a["at"])))
-    return F.when(F.size(spans) == 0, text).otherwise(clean)
+    return F.when(F.size(spans) == 0, text).otherwise(let(stretches(spans), whole))
