@@ -24,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rulegate.llm.common import by_value
+from rulegate.session import materialize, small_side
 
 by_value(__name__)
 
 LEAST = 1_000
 CHUNK = 256 * 1024
 BATCH_BYTES = 4 * 1024 * 1024
+KEEPER_BYTES = 128  # a generous size of a row that says which page keeps a payload
 
 ARCHIVE = "archive int, record long, chunk long, chunks long, data binary"
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target string, intact boolean"
@@ -42,7 +44,9 @@ NO_ID = "none"
 def plan(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = LEAST) -> DataFrame:
     """(page_id, url, payload, digest, size, refers_to): which page each payload is stored by.
 
-    The payload's digest and size stand for it; the largest id per digest is one aggregated row, joined back."""
+    The payload's digest and size stand for it. The largest id of each payload that several pages have is a written
+    table of its own, as small as there are such payloads; while it is small by count it is broadcast, so that no
+    payload moves."""
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), payload.alias("payload"))
     rows = rows.select("*", F.sha1(F.col("payload").cast("binary")).alias("digest"), F.octet_length("payload").cast("long").alias("size"))
@@ -50,7 +54,8 @@ def plan(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payloa
     keeper = (
         rows.where(large).groupBy("digest", "size").agg(F.max("page_id").alias("keeper"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     )
-    joined = rows.join(keeper, ["digest", "size"], "left")
+    keeper = materialize(keeper, "warc-keepers")
+    joined = rows.join(small_side(keeper, keeper.count(), KEEPER_BYTES), ["digest", "size"], "left")
     refers = F.when(F.col("keeper").isNotNull() & ~F.col("keeper").eqNullSafe(F.col("page_id")), F.col("keeper"))
     return joined.select("page_id", "url", "payload", "digest", "size", refers.alias("refers_to"))
 
