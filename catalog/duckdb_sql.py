@@ -20,62 +20,62 @@ def to_float(c: str) -> str:
     return f"CASE WHEN regexp_matches({c}, {FLOAT}) AND NOT isinf({cast}) THEN {cast} END"
 
 
-# amount: default 0 for missing; status and priority lower-cased; created_at in epoch microseconds
+# price: default 0 for missing; state and priority lower-cased; placed_at in epoch microseconds
 ORDERS = f"""
 raw AS ({raw_orders(DUCKDB)}),
 trimmed AS (
-  SELECT *, trim(record_id) AS rid,
-    lower(CASE WHEN lower(status) = 'pend' THEN 'pending' ELSE status END) AS st,
-    CASE WHEN lower(trim(amount)) IN {MISSING} THEN '0' ELSE trim(amount) END AS am,
-    lower(created_at) IN {MISSING} AS no_created, lower(event_date) IN {MISSING} AS no_date
+  SELECT *, trim(order_code) AS rid,
+    lower(CASE WHEN lower(state) = 'pend' THEN 'pending' ELSE state END) AS st,
+    CASE WHEN lower(trim(price)) IN {MISSING} THEN '0' ELSE trim(price) END AS am,
+    lower(placed_at) IN {MISSING} AS no_created, lower(order_day) IN {MISSING} AS no_date
   FROM raw),
 parsed AS (
   SELECT *,
-    CASE WHEN regexp_matches(event_date, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}( [0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}})?$')
-         THEN TRY_CAST(left(event_date, 10) AS DATE) END AS d,
+    CASE WHEN regexp_matches(order_day, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}( [0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}})?$')
+         THEN TRY_CAST(left(order_day, 10) AS DATE) END AS d,
     CASE WHEN no_created THEN NULL
-         WHEN created_at LIKE '%+05:30'
-         THEN epoch_us(TRY_CAST(replace(left(created_at, 19), 'T', ' ') AS TIMESTAMP)) - 19800000000
-         WHEN created_at LIKE '% 24:%' THEN NULL
-         ELSE epoch_us(TRY_CAST(created_at AS TIMESTAMP)) END AS created_us,
-    {to_float("quantity")} AS q, {to_float("am")} AS a
+         WHEN placed_at LIKE '%+05:30'
+         THEN epoch_us(TRY_CAST(replace(left(placed_at, 19), 'T', ' ') AS TIMESTAMP)) - 19800000000
+         WHEN placed_at LIKE '% 24:%' THEN NULL
+         ELSE epoch_us(TRY_CAST(placed_at AS TIMESTAMP)) END AS created_us,
+    {to_float("customer_no")} AS q, {to_float("am")} AS a
   FROM trimmed),
 messages AS (
   SELECT *,
-    CASE WHEN lower(rid) IN {MISSING} THEN 'value is required' END AS e_record,
-    CASE WHEN no_date THEN 'value is required' WHEN d IS NULL THEN concat('invalid date: ', {quoted("event_date")}) END AS e_date,
-    CASE WHEN NOT no_created AND created_us IS NULL THEN concat('invalid datetime: ', {quoted("created_at")}) END AS e_created,
+    CASE WHEN lower(rid) IN {MISSING} THEN 'value is required' END AS e_code,
+    CASE WHEN no_date THEN 'value is required' WHEN d IS NULL THEN concat('invalid date: ', {quoted("order_day")}) END AS e_day,
+    CASE WHEN NOT no_created AND created_us IS NULL THEN concat('invalid datetime: ', {quoted("placed_at")}) END AS e_placed,
     CASE WHEN st IN {MISSING} THEN 'value is required'
-         WHEN st NOT IN ('o', 'pending') THEN concat('value ', {quoted("st")}, ' not in allowed_values') END AS e_status,
-    CASE WHEN q IS NULL THEN concat('invalid int: ', {quoted("quantity")})
-         WHEN q <> floor(q) THEN concat('invalid int (fractional): ', {quoted("quantity")})
-         WHEN q = 0 THEN 'must be non-zero' END AS e_quantity,
-    CASE WHEN a IS NULL THEN concat('invalid float: ', {quoted("am")}) END AS e_amount
+         WHEN st NOT IN ('o', 'pending') THEN concat('value ', {quoted("st")}, ' not in allowed_values') END AS e_state,
+    CASE WHEN q IS NULL THEN concat('invalid int: ', {quoted("customer_no")})
+         WHEN q <> floor(q) THEN concat('invalid int (fractional): ', {quoted("customer_no")})
+         WHEN q = 0 THEN 'must be non-zero' END AS e_customer,
+    CASE WHEN a IS NULL THEN concat('invalid float: ', {quoted("am")}) END AS e_price
   FROM parsed),
 checked AS (
-  SELECT *, concat_ws(' | ', 'record_id: ' || e_record, 'event_date: ' || e_date, 'created_at: ' || e_created,
-    'status: ' || e_status, 'quantity: ' || e_quantity, 'amount: ' || e_amount) AS errors
+  SELECT *, concat_ws(' | ', 'order_code: ' || e_code, 'customer_no: ' || e_customer, 'state: ' || e_state, 'price: ' || e_price,
+    'order_day: ' || e_day, 'placed_at: ' || e_placed) AS errors
   FROM messages)"""
 
 ORDERS_TYPED = """
-SELECT o_orderkey, rid AS record_id, 'orders' AS origin, CAST(d AS VARCHAR) AS event_date, created_us AS created_at,
-  st AS status, CAST(q AS BIGINT) AS quantity, a AS amount, lower(priority) AS order_priority
+SELECT o_orderkey, rid AS order_code, 'orders' AS origin, CAST(d AS VARCHAR) AS order_day, created_us AS placed_at,
+  st AS state, CAST(q AS BIGINT) AS customer_no, a AS price, lower(priority) AS order_priority
 FROM checked WHERE errors = ''"""
 
 SQL["validate_orders_valid"] = f"WITH {ORDERS} {ORDERS_TYPED}"
 SQL["parquet_roundtrip"] = SQL["validate_orders_valid"]
 SQL["validate_orders_invalid"] = f"""WITH {ORDERS}
-SELECT o_orderkey, record_id, event_date, created_at, status, quantity, amount, priority, errors AS __errors
+SELECT o_orderkey, order_code, order_day, placed_at, state, customer_no, price, priority, errors AS __errors
 FROM checked WHERE errors <> ''"""
 SQL["row_errors"] = f"WITH {ORDERS} SELECT o_orderkey, errors AS __errors FROM checked WHERE errors <> ''"
 
 ORDER_MESSAGES = {
-    "record_id": "e_record",
-    "event_date": "e_date",
-    "created_at": "e_created",
-    "status": "e_status",
-    "quantity": "e_quantity",
-    "amount": "e_amount",
+    "order_code": "e_code",
+    "order_day": "e_day",
+    "placed_at": "e_placed",
+    "state": "e_state",
+    "customer_no": "e_customer",
+    "price": "e_price",
 }
 _each = " UNION ALL ".join(
     f"SELECT '{f}' AS field, {e} AS msg FROM checked WHERE {e} IS NOT NULL" for f, e in ORDER_MESSAGES.items()
@@ -85,14 +85,14 @@ SQL["rules_to_schema"] = f"WITH {ORDERS}, typed AS ({ORDERS_TYPED}) " + " UNION
     f"SELECT CAST({i} AS INTEGER) AS position, '{n}' AS name, '{t}' AS type, {r} AS required, count({n}) AS non_null FROM typed"
     for i, (n, t, r) in enumerate(
         [
-            ("record_id", "string", True),
-            ("origin", "string", True),
-            ("event_date", "date", True),
-            ("created_at", "timestamp", False),
-            ("status", "string", True),
-            ("quantity", "bigint", True),
-            ("amount", "double", False),
+            ("order_code", "string", True),
+            ("customer_no", "bigint", True),
+            ("state", "string", True),
+            ("price", "double", False),
+            ("order_day", "date", True),
+            ("placed_at", "timestamp", False),
             ("order_priority", "string", False),
+            ("origin", "string", True),
         ]
     )
 )
@@ -124,17 +124,17 @@ def missing(c: str) -> str:
 
 
 SQL["rule_missing"] = f"{RAW_ORDERS} SELECT o_orderkey, " + ", ".join(
-    f"{missing(c)} AS {c}_missing" for c in ("record_id", "event_date", "created_at", "status", "amount")
+    f"{missing(c)} AS {c}_missing" for c in ("order_code", "order_day", "placed_at", "state", "price")
 ) + " FROM raw"
-SQL["rule_required"] = one_rule("status", f"CASE WHEN {missing('status')} THEN 'status: value is required' END")
+SQL["rule_required"] = one_rule("state", f"CASE WHEN {missing('state')} THEN 'state: value is required' END")
 SQL["rule_exclude_if_missing"] = one_rule(
-    "status", f"CASE WHEN {missing('status')} THEN 'status: missing value excluded by rule' END"
+    "state", f"CASE WHEN {missing('state')} THEN 'state: missing value excluded by rule' END"
 )
 SQL["rule_default"] = one_rule(
-    f"CASE WHEN {missing('record_id')} THEN 1000000 ELSE TRY_CAST(record_id AS BIGINT) END", "CAST(NULL AS VARCHAR)"
+    f"CASE WHEN {missing('order_code')} THEN 1000000 ELSE TRY_CAST(order_code AS BIGINT) END", "CAST(NULL AS VARCHAR)"
 )
 SQL["rule_optional_null"] = one_rule(
-    f"CASE WHEN {missing('event_date')} THEN NULL ELSE event_date END", "CAST(NULL AS VARCHAR)"
+    f"CASE WHEN {missing('order_day')} THEN NULL ELSE order_day END", "CAST(NULL AS VARCHAR)"
 )
 SQL["rule_override"] = one_rule("CAST(2.5 AS DOUBLE)", "CAST(NULL AS VARCHAR)")
 SQL["rule_trim"] = """
@@ -149,7 +149,7 @@ SQL["rule_lower"] = one_rule(
     "documents",
 )
 SQL["rule_inline_replace"] = one_rule(
-    f"""CASE WHEN status = 'Pend' THEN 'open' WHEN status = 'F' OR {missing('status')} THEN 'gone' ELSE status END""",
+    f"""CASE WHEN state = 'Pend' THEN 'open' WHEN state = 'F' OR {missing('state')} THEN 'gone' ELSE state END""",
     "CAST(NULL AS VARCHAR)",
 )
 SQL["rule_min_length"] = """
@@ -164,24 +164,24 @@ SQL["rule_allowed_values"] = one_rule(
     "customer",
 )
 
-QUANTITY = to_float("quantity")
-INT_ERRORS = f"""CASE WHEN {QUANTITY} IS NULL THEN concat('quantity: invalid int: ', {quoted("quantity")})
-  WHEN {QUANTITY} <> floor({QUANTITY}) THEN concat('quantity: invalid int (fractional): ', {quoted("quantity")})"""
+QUANTITY = to_float("customer_no")
+INT_ERRORS = f"""CASE WHEN {QUANTITY} IS NULL THEN concat('customer_no: invalid int: ', {quoted("customer_no")})
+  WHEN {QUANTITY} <> floor({QUANTITY}) THEN concat('customer_no: invalid int (fractional): ', {quoted("customer_no")})"""
 SQL["rule_non_zero"] = one_rule(
-    f"TRY_CAST({QUANTITY} AS BIGINT)", INT_ERRORS + f" WHEN {QUANTITY} = 0 THEN 'quantity: must be non-zero' END"
+    f"TRY_CAST({QUANTITY} AS BIGINT)", INT_ERRORS + f" WHEN {QUANTITY} = 0 THEN 'customer_no: must be non-zero' END"
 )
 SQL["cast_int"] = one_rule(f"TRY_CAST({QUANTITY} AS BIGINT)", INT_ERRORS + " END")
 SQL["cast_float"] = one_rule(
-    to_float("trim(amount)"),
-    f"""CASE WHEN NOT {missing("amount")} AND {to_float("trim(amount)")} IS NULL
-        THEN concat('amount: invalid float: ', {quoted("trim(amount)")}) END""",
+    to_float("trim(price)"),
+    f"""CASE WHEN NOT {missing("price")} AND {to_float("trim(price)")} IS NULL
+        THEN concat('price: invalid float: ', {quoted("trim(price)")}) END""",
 )
 SQL["cast_date"] = f"""WITH {ORDERS}
 SELECT o_orderkey, CASE WHEN NOT no_date THEN CAST(d AS VARCHAR) END AS value,
-  CASE WHEN NOT no_date AND d IS NULL THEN concat('event_date: invalid date: ', {quoted("event_date")}) END AS errors
+  CASE WHEN NOT no_date AND d IS NULL THEN concat('order_day: invalid date: ', {quoted("order_day")}) END AS errors
 FROM checked"""
 SQL["cast_datetime"] = f"""WITH {ORDERS}
-SELECT o_orderkey, created_us AS value, 'created_at: ' || e_created AS errors FROM checked"""
+SELECT o_orderkey, created_us AS value, 'placed_at: ' || e_placed AS errors FROM checked"""
 SQL["snake_case_names"] = r"""
 SELECT p_partkey, regexp_replace(regexp_replace(lower(trim(concat(p_name, ' - ', p_type, ' - ', p_brand, '/x.Y'))),
   '[ \-/.]', '_', 'g'), '_+', '_', 'g') AS column_name

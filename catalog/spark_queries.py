@@ -111,29 +111,29 @@ def row_errors(spark, sf_dir):
 @query
 def rule_missing(spark, sf_dir):
     raw = derived(spark, sf_dir, raw_orders, "orders")
-    names = ["record_id", "event_date", "created_at", "status", "amount"]
+    names = ["order_code", "order_day", "placed_at", "state", "price"]
     return raw.select("o_orderkey", *[is_missing(F.col(n)).alias(f"{n}_missing") for n in names])
 
 
 @query
 def rule_required(spark, sf_dir):
-    return one_rule(spark, sf_dir, {"name": "status", "type": "string", "required": True})
+    return one_rule(spark, sf_dir, {"name": "state", "type": "string", "required": True})
 
 
 @query
 def rule_exclude_if_missing(spark, sf_dir):
-    rule = {"name": "status", "type": "string", "exclude_if_missing": True, "default": "never used"}
+    rule = {"name": "state", "type": "string", "exclude_if_missing": True, "default": "never used"}
     return one_rule(spark, sf_dir, rule)
 
 
 @query
 def rule_default(spark, sf_dir):
-    return one_rule(spark, sf_dir, {"name": "record_id", "type": "int", "required": True, "default": 1000000.0})
+    return one_rule(spark, sf_dir, {"name": "order_code", "type": "int", "required": True, "default": 1000000.0})
 
 
 @query
 def rule_optional_null(spark, sf_dir):
-    return one_rule(spark, sf_dir, {"name": "event_date", "type": "string"})
+    return one_rule(spark, sf_dir, {"name": "order_day", "type": "string"})
 
 
 @query
@@ -156,7 +156,7 @@ def rule_lower(spark, sf_dir):
 
 @query
 def rule_inline_replace(spark, sf_dir):
-    rule = {"name": "status", "type": "string", "inline_replace": {"Pend": "open", "F": " N/A "}, "default": "gone"}
+    rule = {"name": "state", "type": "string", "inline_replace": {"Pend": "open", "F": " N/A "}, "default": "gone"}
     return one_rule(spark, sf_dir, rule)
 
 
@@ -176,27 +176,27 @@ def rule_allowed_values(spark, sf_dir):
 
 @query
 def rule_non_zero(spark, sf_dir):
-    return one_rule(spark, sf_dir, {"name": "quantity", "type": "int", "non_zero": True})
+    return one_rule(spark, sf_dir, {"name": "customer_no", "type": "int", "non_zero": True})
 
 
 @query
 def cast_float(spark, sf_dir):
-    return one_rule(spark, sf_dir, {"name": "amount", "type": "float"})
+    return one_rule(spark, sf_dir, {"name": "price", "type": "float"})
 
 
 @query
 def cast_int(spark, sf_dir):
-    return one_rule(spark, sf_dir, {"name": "quantity", "type": "int"})
+    return one_rule(spark, sf_dir, {"name": "customer_no", "type": "int"})
 
 
 @query
 def cast_date(spark, sf_dir):
-    return portable(one_rule(spark, sf_dir, {"name": "event_date", "type": "date"}))
+    return portable(one_rule(spark, sf_dir, {"name": "order_day", "type": "date"}))
 
 
 @query
 def cast_datetime(spark, sf_dir):
-    return portable(one_rule(spark, sf_dir, {"name": "created_at", "type": "datetime"}))
+    return portable(one_rule(spark, sf_dir, {"name": "placed_at", "type": "datetime"}))
 
 
 @query

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from dataclasses import dataclass, field
 from decimal import Decimal
@@ -114,10 +115,7 @@ def quoted(text: str) -> str:
 
 
 def snake_name(name: str) -> str:
-    text = strip(lower(name)).translate(str.maketrans(" -/.", "____"))
-    while "__" in text:
-        text = text.replace("__", "_")
-    return text
+    return re.sub("[ /._-]+", "_", strip(lower(name)))
 
 
 def literal_text(value: Any) -> str:
