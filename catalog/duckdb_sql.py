@@ -327,3 +327,5 @@ WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'replaced ' || c_c
 j AS (SELECT *, CASE WHEN c_custkey % 5 = 0 THEN c_custkey % 10 = 0 ELSE c_custkey % 7 <> 0 END AS known FROM c)
 SELECT c_custkey, CASE WHEN known THEN value END AS value, CASE WHEN NOT known THEN 'c_name: value "' || value || '" not in allowed_values' END AS errors
 FROM j"""
+SQL["scan_multiline"] = """
+SELECT doc_id, row_number() OVER (ORDER BY doc_id) + 1 AS row_number, md5(coalesce(text, '')) AS text_md5 FROM documents"""

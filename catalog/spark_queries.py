@@ -255,6 +255,19 @@ def scan_csv_roundtrip(spark, sf_dir):
     return rows.select(*[F.coalesce(cells[c], F.lit("")).alias(c) for c in raw.columns])
 
 
+@query
+def scan_multiline(spark, sf_dir):
+    """Whole texts as cells: quoted, with line breaks and quotes inside, numbered by record and not by line."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string"), "text")
+    files = read_csv_file(spark, csv_of(docs, "documents", "doc_id"))
+    rows, cells = files.table(parse_rules({"fields": [{"name": c, "type": "string"} for c in docs.columns]}))
+    return files.with_row_numbers(rows).select(
+        cells["doc_id"].cast("bigint").alias("doc_id"),
+        F.col("__row_number").alias("row_number"),
+        F.md5(F.coalesce(cells["text"], F.lit(""))).alias("text_md5"),
+    )
+
+
 @query
 def row_ordinals(spark, sf_dir):
     keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string"))

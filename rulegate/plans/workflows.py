@@ -6,6 +6,7 @@ import json
 import os.path
 from dataclasses import asdict, dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from rulegate.functions.checks import not_null
@@ -29,7 +30,7 @@ from rulegate.operators.split import (
     with_key_file,
 )
 from rulegate.operators.validate import validate
-from rulegate.rules import Rules, load_rules, quoted, strip
+from rulegate.rules import RuleError, Rules, load_rules, quoted, read_rules, strip
 from rulegate.session import Publication, absolute, glob, job, materialize, pin, remove, small_side
 from rulegate.sources.csv_files import (
     ROW_BYTES,
@@ -116,8 +117,17 @@ def result_frame(spark: SparkSession, result) -> DataFrame:
     return spark.createDataFrame([(json.dumps(asdict(result)),)], "result string")
 
 
-def as_rules(rules: Rules | str) -> Rules:
-    return load_rules(rules) if isinstance(rules, str) else rules
+def as_rules(spark: SparkSession, rules: Rules | str) -> Rules:
+    """Rules, or the path of a rule document: on this machine, or wherever Spark reads from."""
+    if not isinstance(rules, str):
+        return rules
+    if os.path.exists(rules):
+        return load_rules(rules)
+    try:
+        document = spark.read.text(rules, wholetext=True).first()
+    except AnalysisException as problem:
+        raise RuleError(f"failed loading schema: {problem}") from problem
+    return read_rules(document.value if document else "")
 
 
 def check_names(rules: Rules, reserved: tuple[str, ...] = ()) -> None:
@@ -224,7 +234,7 @@ def validate_csv(
     Rows are checked once into a scratch table that feeds both outputs; they appear together.
     """
     pin(spark)
-    rules = as_rules(rules)
+    rules = as_rules(spark, rules)
     check_names(rules)
     files = read_csv_file(spark, input_csv)
     header = file_header(files)
@@ -270,7 +280,7 @@ def validate_directory(
     all outputs appear together.
     """
     pin(spark)
-    rules = as_rules(rules)
+    rules = as_rules(spark, rules)
     check_names(rules, (SOURCE,))
     files = read_csv_directory(spark, input_dir)
     staged = checked_rows(files, rules)
@@ -334,7 +344,7 @@ def _write_directory_errors(files: CsvFiles, bad: DataFrame, clean: DataFrame |
     variants = (headers.agg(F.max("variant")).first()[0] or 0) + 1
     key = F.concat_ws("\u0001", SOURCE, F.col("variant").cast("string")).alias("key")
     shapes = headers.select("path", "header_cells", "variant")
-    rows = bad.join(small_side(shapes, files.file_count, ROW_BYTES), "path").withColumn("key", key)
+    rows = bad.join(files.per_split(shapes), STRETCH).withColumn("key", key)
     cells = F.slice(F.array(*original_cells(files.width)), 1, F.size("header_cells"))
     line = csv_line([F.col(c) for c in ERROR_COLUMNS], cells)
     rows = rows.select("key", SOURCE, "variant", "path", "block", "id", line.alias("value"))
@@ -395,7 +405,7 @@ def auto(
     """
     pin(spark)
     schema_path = rules if isinstance(rules, str) else ""
-    rules = as_rules(rules)
+    rules = as_rules(spark, rules)
     check_names(rules, (SOURCE, BATCH_FOLDER, *WORK_COLUMNS))
     home = os.path.dirname(input_csv.rstrip("/"))
     split_dir = split_dir or f"{home}/split"

@@ -240,9 +240,18 @@ def load_rules(path: str) -> Rules:
     """Read a rule document from a JSON file on the driver."""
     try:
         with open(path, encoding="utf-8") as handle:
-            document = json.load(handle)
+            text = handle.read()
     except (OSError, ValueError) as problem:
         raise RuleError(f"failed loading schema: {problem}") from problem
+    return read_rules(text)
+
+
+def read_rules(text: str) -> Rules:
+    """The rules of a JSON document."""
+    try:
+        document = json.loads(text)
+    except ValueError as problem:
+        raise RuleError(f"failed loading schema: {problem}") from problem
     try:
         return parse_rules(document)
     except RuleError as problem:

@@ -23,6 +23,7 @@ from rulegate.sources.inventory import files_and_parts, spot
 
 CSV_GLOB = "*.[cC][sS][vV]"
 KEY_FOLDER = "key_file="  # folders written by the split job: one logical file each
+SPLIT = ["path", "block"]
 GLUED_RANGE = 100_000  # records of a file with multi-line cells that count as one split
 ROW_BYTES = 400  # generous size of one blocks row (path text plus counters)
 
@@ -206,6 +207,14 @@ class CsvFiles:
         paths = self.line_blocks.filter("odd_lines > 0").select("path").distinct()
         return small_side(paths, self.split_count, ROW_BYTES)
 
+    def per_split(self, facts: DataFrame) -> DataFrame:
+        """Facts about files (by path) as facts about their splits (path, block): rows that look them up meet by
+        split, so one very large file is no hot key."""
+        splits = self.line_blocks.select("path", "block")
+        if self.has_glued:
+            splits = splits.unionByName(self.blocks.select("path", "block")).distinct()
+        return small_side(splits.join(facts, "path"), self.split_count, ROW_BYTES)
+
     @cached_property
     def quoted_lines(self) -> DataFrame:
         """Lines of those files with their record number and quoting state."""
@@ -350,7 +359,7 @@ class CsvFiles:
         first_ids = self.files.filter("header_id IS NOT NULL").select("path", F.col("header_id").alias("id"))
         if not self.has_glued:
             return self._without(self.numbered, first_ids)
-        plain = self.numbered.join(self.glued_paths(), "path", "left_anti")
+        plain = self.numbered.join(self.per_split(self.glued_paths()), SPLIT, "left_anti")
         plain_firsts = first_ids.join(self.glued_paths(), "path", "left_anti")
         glued = self.glued.filter("id > 0").select("path", glued_range(F.col("id")).alias("block"), "record", "id")
         return self._without(plain, plain_firsts).unionByName(glued)
@@ -374,7 +383,7 @@ class CsvFiles:
             positions = materialize(self.positions(rules), "csv-positions")
             failed = positions.filter("failure IS NOT NULL").select("path")
             if not failed.isEmpty():
-                records = records.join(small_side(failed, self.file_count, ROW_BYTES), "path", "left_anti")
+                records = records.join(self.per_split(failed), SPLIT, "left_anti")
         parsed = records.withColumn("cells", parsed_cells(F.col("record"), self.width)).drop("record")
         if same is not None and rules.missing_headers(same):
             # every readable file has this header, so none is sound: nothing to check, all in `failures`
@@ -383,7 +392,7 @@ class CsvFiles:
             return parsed, {strip(name): F.col(f"cells.c{i}") for i, name in enumerate(same)}
         names = [f"__at{i}" for i in range(len(rules.fields))]
         spots = positions.filter("failure IS NULL").select("path", *names)
-        located_rows = parsed.join(small_side(spots, self.file_count, ROW_BYTES), "path")
+        located_rows = parsed.join(self.per_split(spots), SPLIT)
         every = F.array(*[F.col(f"cells.c{i}") for i in range(self.width)])
         return located_rows, {
             r.name: F.get(every, F.col(f"__at{i}")) for i, r in enumerate(rules.fields)

@@ -37,7 +37,7 @@ def stream_gate(
     nothing is written or counted twice. `stream_summary` adds the counts up.
     """
     pin(spark)
-    checked_rules = as_rules(rules)
+    checked_rules = as_rules(spark, rules)
     lines = (
         spark.readStream.option("lineSep", "\n")
         .option("pathGlobFilter", CSV_GLOB)

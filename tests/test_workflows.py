@@ -3,6 +3,7 @@
 import csv
 import glob
 import json
+import re
 
 import pyarrow.parquet as pq
 import pytest
@@ -20,7 +21,8 @@ from rulegate.plans.workflows import (
     validate_csv,
     validate_directory,
 )
-from rulegate.rules import parse_rules
+from rulegate.rules import RuleError, parse_rules
+from rulegate.sources.csv_files import read_csv_directory
 from rulegate.streaming.gate import stream_gate, stream_summary
 from tests.test_checks import DOCUMENT, ERRORS, HEADER, ROWS
 from tests.test_csv_files import FILES, RULES, write
@@ -56,6 +58,38 @@ def test_validate_file(spark, tmp_path):
     assert types["due"] == "date32[day]" and types["scanned"] == "timestamp[us, tz=UTC]"
 
 
+def test_rules_from_where_spark_reads(spark, tmp_path):
+    source = write(tmp_path, {"in.csv": "id,q\n1,2\n"}) + "/in.csv"
+    (tmp_path / "rules.json").write_text(json.dumps({"fields": [{"name": "id", "type": "int"}]}, indent=1))
+    out = f"{tmp_path}/ok", f"{tmp_path}/bad"
+    assert validate_csv(spark, source, f"file://{tmp_path}/rules.json", *out).stats.valid_rows == 1
+    (tmp_path / "torn.json").write_text("{")
+    for name in ("torn.json", "none.json"):
+        with pytest.raises(RuleError, match="failed loading schema"):
+            validate_csv(spark, source, f"file://{tmp_path}/{name}", *out)
+
+
+def test_one_large_file_is_no_hot_key(spark, tmp_path, monkeypatch):
+    """Files with different headers, too many to broadcast: rows find their header by split, not by file."""
+    monkeypatch.setattr("rulegate.session.BROADCAST_BYTES", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        large = "id,q\n" + "".join(f"{n},{n}\n" for n in range(3_000))
+        folder = write(tmp_path / "in", {"a.csv": large, "b.csv": "q,id\n5,6\n", "c.csv": "id,z\n1,1\n", "d.csv": 'id,q\n7,"8"\n9,"x\ny"\n'})
+        files = read_csv_directory(spark, folder)
+        rows, cells = files.table(RULES)
+        found = rows.select(cells["id"].alias("id"), cells["q"].alias("q"))
+        plan = found._sc._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+        assert sorted(map(tuple, found.collect()))[:2] == [("0", "0"), ("1", "1")] and found.count() == 3_003
+    finally:
+        for key in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.files.maxPartitionBytes"):
+            spark.conf.unset(key)
+    moves = re.findall(r"Exchange\s*\nInput \[\d+\]: \[([^\n]*)\]\nArguments: hashpartitioning\(([^)]*)\)", plan)
+    rows_moved = [keys for columns, keys in moves if re.search(r"\b(record|cells)#", columns)]
+    assert rows_moved and all("path#" in keys and "block#" in keys for keys in rows_moved)
+
+
 def test_empty_error_policy(spark, tmp_path):
     folder = write(tmp_path, {"x.csv": "id,q\n1,2\n", "y.csv": "id,q\n1,z\n"})
     ok, bad = f"{tmp_path}/ok", f"{tmp_path}/bad"
