@@ -354,9 +354,10 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     read = materialize(_read(keyed, window, gram), "repeat-anchors")
 
     repeated = read.select(F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    repeated = repeated.select(F.col("anchor").alias("__anchor"))
+    # a table of its own, so that the join on anchors can part a very common one
+    repeated = materialize(repeated.select(F.col("anchor").alias("__anchor")), "repeat-common")
     distinct = read.where(f"n_words >= {window}").groupBy("key").agg(F.count("*").alias("copies"), F.first("anchors").alias("anchors"))
-    distinct = materialize(distinct, "repeat-texts")
+    distinct = materialize(distinct.withColumn("anchors", F.array_distinct("anchors")), "repeat-texts")
     met = distinct.select("key", "copies", F.explode("anchors").alias("anchor")).join(repeated, F.col("anchor") == F.col("__anchor"), "left_semi")
     wanted = met.groupBy(F.col("key").alias("__key")).agg(F.first("copies").alias("copies"), F.collect_set("anchor").alias("anchors"))
     # one row per text, so that copies fold before they move
