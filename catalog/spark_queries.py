@@ -541,7 +541,7 @@ def folder_inventory(spark, sf_dir):
     rows = read.blocks.groupBy("file").agg(F.sum(F.col("n") - F.col("headers")).alias("rows"))
     csv = read.files.join(rows, "file", "left").select(F.lit("csv").alias("kind"), "file", "rows", "failure")
     folder = odd_folder(spark, orders, ".parquet", "p3")
-    counts = row_counts(spark, parquet_paths(spark, folder))
+    counts = row_counts(spark.read.schema("o_orderkey bigint").parquet(*parquet_paths(spark, folder)))
     listed = list_parquet(spark, folder).withColumn("spot", spot(F.col("path"))).join(counts, "spot", "left")
     listed = listed.groupBy("file", F.col("problem").alias("failure")).agg(F.sum("num_rows").alias("rows"))
     parquet = listed.select(F.lit("parquet").alias("kind"), "file", "rows", "failure")

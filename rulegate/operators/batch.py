@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from rulegate.operators.numbering import global_rank
 from rulegate.operators.sinks import write_typed
 from rulegate.rules import quoted
-from rulegate.session import Publication, absolute, glob, job, materialize, remove, small_side
+from rulegate.session import Publication, absolute, glob, job, materialize, small_side
 from rulegate.sources.inventory import spot
 from rulegate.sources.parquet_files import NO_PARQUET, Footers, list_parquet, parquet_paths, row_counts, scanned_name, schemas
 
@@ -98,19 +98,18 @@ def batch_directory(
     files = materialize(files.withColumn("problem", F.coalesce("problem", torn)), "batch-files")
     problems = materialize(batch_problems(files), "batch-problems")
 
+    paths = parquet_paths(spark, input_dir)
     with Publication(spark, keep=not clear) as publication:
-        plan = materialize(planned_files(spark, files, problems, parquet_paths(spark, input_dir)), "batch-plan")
-        expected = plan.agg(F.coalesce(F.sum("num_rows"), F.lit(0)).alias("n")).first().n
-        staged = publication.staged(output_dir) if expected else None
+        staged, expected = publication.staged(output_dir), 0
         for fingerprint, runs in batch_runs(files, problems).items():
             for start in range(0, len(runs), RUNS_AT_ONCE):
-                _write_runs(plan, files, fingerprint, runs[start : start + RUNS_AT_ONCE], parquet_paths(spark, input_dir), staged)
-        arrived = written_rows(spark, staged) if staged else 0
+                expected += _write_runs(files, fingerprint, runs[start : start + RUNS_AT_ONCE], paths, staged)
+        arrived = written_rows(spark, staged)
         if arrived != expected:
             raise BatchError(f"batch phase failed: {arrived} rows written, {expected} rows in the input files")
+        if not expected and (not clear or not problems.isEmpty()):
+            publication.withdraw(output_dir)  # nothing to add, or nothing sound to put in place of what is there
     found = problems.orderBy("batch_no", "file_rank", "path").first()
-    if found is None and not expected and clear:
-        remove(spark, output_dir)  # no rows are the result
     if found is not None:
         raise BatchError(f"batch phase failed: write batch {found.batch_no}: {found.reason} {quoted(found.spot)}")
     return BatchSummary(totals.files, totals.batches, size, expected, output_dir)
@@ -145,41 +144,42 @@ def batch_runs(files: DataFrame, problems: DataFrame) -> dict[str, list]:
     return found
 
 
-def planned_files(spark: SparkSession, files: DataFrame, problems: DataFrame, paths: list[str]) -> DataFrame:
-    """scanned, batch_no, rank, num_rows and bytes_before (in its batch) of the files of sound batches."""
-    if not paths:
-        return spark.createDataFrame([], "scanned string, batch_no bigint, rank bigint, num_rows bigint, bytes_before bigint, fingerprint string")
-    sound = files.where("fingerprint IS NOT NULL").join(problems.select("batch_no").distinct(), "batch_no", "left_anti")
-    counted = sound.withColumn("spot", spot(F.col("path"))).join(row_counts(spark, paths), "spot")
+def _write_runs(files: DataFrame, fingerprint: str, runs: list, paths: list[str], target: str) -> int:
+    """Write the batches of some runs of one schema and return the rows their files say they have.
+
+    One scan of the folder serves the counts, which end at the footers, and the rows; it opens no file outside the
+    runs.
+    """
+    spark = files.sparkSession
+    name = scanned_name(F.col("_metadata.file_path"))
+    picked, inside = F.lit(False), F.lit(False)
+    for first, last in runs:
+        picked = picked | F.col("file").between(first, last)
+        inside = inside | name.between(first, last)
+    part = files.where(F.col("fingerprint") == fingerprint).where(picked)
+    one = part.orderBy("path").select("path").first().path
+    schema, required = spark.read.parquet(one).schema, Footers(spark).required(one)
+    scan = spark.read.schema(schema).parquet(*paths).where(inside)
     earlier = Window.partitionBy("batch_no").orderBy("file_rank", "path").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("length").over(earlier), F.lit(0)).alias("bytes_before")
-    return counted.select("scanned", "batch_no", F.col("file_rank").alias("rank"), "num_rows", before, "fingerprint")
-
-
-def _write_runs(plan: DataFrame, files: DataFrame, fingerprint: str, runs: list, paths: list[str], target: str | None) -> None:
-    """Write the batches of some runs of one schema: one scan of the folder, which opens no file outside the runs."""
-    same = F.col("fingerprint") == fingerprint
-    one = files.where(same).orderBy("path").select("path").first().path
-    part = plan.where(same)
-    number = part.count()
+    counted = part.withColumn("spot", spot(F.col("path"))).join(row_counts(scan), "spot")
+    plan = materialize(
+        counted.select(F.col("scanned").alias("__scanned"), "batch_no", F.col("file_rank").alias("__rank"), "num_rows", before), "batch-plan"
+    )
+    number, expected = plan.agg(F.count("*"), F.coalesce(F.sum("num_rows"), F.lit(0))).first()
     if not number:
-        return
-    spark = plan.sparkSession
-    schema, required = spark.read.parquet(one).schema, Footers(spark).required(one)
-    name, inside = scanned_name(F.col("_metadata.file_path")), F.lit(False)
-    for first, last in runs:
-        inside = inside | ((name >= first) & (name <= last))
-    rows = spark.read.schema(schema).parquet(*paths).where(inside).select(
+        return 0
+    rows = scan.select(
         *[_required(f.name, f.dataType, required) for f in schema.fields],
         F.col("_metadata.file_path").alias("__scanned"),
         F.col("_metadata.file_block_start").alias("__start"),
         F.col("_metadata.row_index").alias("__row"),
     )
-    spots = part.select(F.col("scanned").alias("__scanned"), "batch_no", F.col("rank").alias("__rank"), "bytes_before")
-    placed = rows.join(small_side(spots, number, ROW_BYTES), "__scanned")
+    placed = rows.join(small_side(plan.drop("num_rows"), number, ROW_BYTES), "__scanned")
     piece = F.floor((F.col("bytes_before") + F.col("__start")) / TASK_BYTES)
     placed = placed.withColumn("__part", piece).drop("__start", "bytes_before")
     write_batches(placed, ["__rank", "__scanned", "__row"], target, "append")
+    return expected
 
 
 def _required(name: str, data_type, required: list[str]) -> Column:

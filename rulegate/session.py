@@ -142,6 +142,10 @@ class Publication:
             self.places[target] = f"{folder}/{name}.staging-{uuid.uuid4().hex}"
         return self.places[target]
 
+    def withdraw(self, target: str) -> None:
+        """Leave a target as it is."""
+        remove(self.spark, self.places.pop(target.rstrip("/")))
+
     def __enter__(self) -> Publication:
         return self
 

@@ -9,14 +9,14 @@ from itertools import islice
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rulegate.functions.text import decode_path
-from rulegate.session import glob, hadoop_path, materialize, scratch_path
+from rulegate.session import glob, materialize, scratch_path
 from rulegate.sources.inventory import entries, files_and_parts, is_hidden, spot
 
 PARQUET_GLOB = "*.[pP][aA][rR][qQ][uU][eE][tT]"
 SOURCE_FOLDER = "source_file="  # folders written by the directory jobs: one logical file each
 SOURCES_TABLE = "_sources"  # per-file counts next to them; Spark skips the name when reading rows
 STRETCH = 10_000  # footers that become one part of the schema table
-AT_ONCE = 16  # footers the JVM reads side by side
+AT_ONCE = 4  # footers read side by side
 
 UNREADABLE_NAME = "names starting with _ or . cannot be read"
 NO_PARQUET = "not a Parquet file"
@@ -76,17 +76,14 @@ class Footers:
     """Reads footers through the JVM's Parquet reader: whatever file system Spark reaches, it reaches."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, jvm = spark, spark._jvm
+        jvm = spark._jvm
+        self.path = jvm.org.apache.hadoop.fs.Path
         self.conf = spark._jsparkSession.sessionState().newHadoopConf()
-        self.files = jvm.org.apache.parquet.hadoop.util.HadoopInputFile
-        self.reader = jvm.org.apache.parquet.hadoop.ParquetFileReader
+        self.read = jvm.org.apache.parquet.hadoop.ParquetFileReader.readFooter
+        self.schema_only = jvm.org.apache.parquet.format.converter.ParquetMetadataConverter.SKIP_ROW_GROUPS
 
     def schema(self, path: str):
-        footer = self.reader.open(self.files.fromPath(hadoop_path(self.spark, path), self.conf))
-        try:
-            return footer.getFileMetaData().getSchema()
-        finally:
-            footer.close()
+        return self.read(self.conf, self.path(path), self.schema_only).getFileMetaData().getSchema()
 
     def fingerprint(self, path: str) -> str | None:
         """Text of a file's schema below its name; None when the file has no sound footer."""
@@ -124,12 +121,11 @@ def schemas(listed: DataFrame) -> DataFrame:
     return spark.read.schema(shape).parquet(table)
 
 
-def row_counts(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """scanned (the path as scans spell it), spot, num_rows of every file of some globs that has rows.
+def row_counts(scan: DataFrame) -> DataFrame:
+    """scanned (the path as scans spell it), spot, num_rows of every file with rows of a scan.
 
-    The scan reads no column, so it ends at the footers. Files without a sound footer have no count.
+    No column is read, so the scan ends at the footers.
     """
-    scan = spark.read.schema("__none int").option("ignoreCorruptFiles", "true").parquet(*paths)
     counted = scan.select(F.col("_metadata.file_path").alias("scanned")).groupBy("scanned").agg(F.count("*").alias("num_rows"))
     return counted.withColumn("spot", spot(decode_path(F.col("scanned"))))
 
