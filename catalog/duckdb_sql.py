@@ -329,3 +329,22 @@ SELECT c_custkey, CASE WHEN known THEN value END AS value, CASE WHEN NOT known T
 FROM j"""
 SQL["scan_multiline"] = """
 SELECT doc_id, row_number() OVER (ORDER BY doc_id) + 1 AS row_number, md5(coalesce(text, '')) AS text_md5 FROM documents"""
+SQL["rule_predicate"] = f"""WITH {ORDERS},
+judged AS (
+  SELECT *, CASE WHEN e_customer IS NULL THEN q END AS customer, CASE WHEN e_price IS NULL THEN a END AS amount,
+    CASE WHEN e_day IS NULL THEN d END AS day
+  FROM checked),
+refused AS (
+  SELECT *,
+    coalesce(e_customer, CASE WHEN q % 10 = 3 OR q <= 0 THEN 'check failed: customer_no % 10 <> 3 AND customer_no > 0' END) AS f_customer,
+    coalesce(e_state, CASE WHEN st <> 'o' AND amount >= 20000000 THEN 'check failed: state = ''o'' OR price < 20000000' END) AS f_state,
+    coalesce(e_day, CASE WHEN epoch_us(CAST(day AS TIMESTAMP)) > created_us - created_us % 86400000000
+      THEN 'check failed: order_day <= to_date(placed_at)' END) AS f_day,
+    coalesce(e_placed, CASE WHEN placed_at LIKE '%+05:30' AND dayofweek(day) = 0
+      THEN 'check failed: cell_text.placed_at NOT LIKE ''%+05:30'' OR dayofweek(order_day) <> 1' END) AS f_placed
+  FROM judged),
+listed AS (
+  SELECT *, concat_ws(' | ', 'order_code: ' || e_code, 'customer_no: ' || f_customer, 'state: ' || f_state,
+    'price: ' || e_price, 'order_day: ' || f_day, 'placed_at: ' || f_placed) AS listing
+  FROM refused)
+SELECT o_orderkey, CASE WHEN listing = '' THEN CAST(q AS BIGINT) END AS customer_no, nullif(listing, '') AS errors FROM listed"""

@@ -720,3 +720,19 @@ def rule_many_values(spark, sf_dir):
         "allowed_values": [n for k, n in names if k % 7] + [f"replaced {k}" for k, _ in names if k % 10 == 0],
     }
     return one_rule(spark, sf_dir, rule, "customer")
+
+
+@query
+def rule_predicate(spark, sf_dir):
+    """Rows judged across columns: predicates over typed values and over the texts behind them."""
+    added = {
+        "customer_no": "customer_no % 10 <> 3 AND customer_no > 0",
+        "state": "state = 'o' OR price < 20000000",
+        "order_day": "order_day <= to_date(placed_at)",
+        "placed_at": "cell_text.placed_at NOT LIKE '%+05:30' OR dayofweek(order_day) <> 1",
+    }
+    fields = [{**f, "check": added[f["name"]]} if f["name"] in added else f for f in ORDER_RULES["fields"]]
+    gate = validate(derived(spark, sf_dir, raw_orders, "orders"), parse_rules({"fields": fields}), keep=["o_orderkey"])
+    accepted = gate.valid("o_orderkey").select("o_orderkey", "customer_no", F.lit(None).cast("string").alias("errors"))
+    rejected = gate.invalid("o_orderkey").select("o_orderkey", F.lit(None).cast("bigint").alias("customer_no"), F.col("__errors").alias("errors"))
+    return accepted.unionByName(rejected)

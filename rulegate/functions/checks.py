@@ -12,12 +12,17 @@ import datetime
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rulegate.functions import numbers
 from rulegate.functions.layouts import readers
 from rulegate.functions.text import is_among, is_missing, looked_up, lower_text, may_hold_other_space, quote_text, trim_cell
-from rulegate.rules import COLUMN_TYPES, Rule, Rules
+from rulegate.rules import COLUMN_TYPES, Rule, RuleError, Rules, quoted
+
+CELL_TEXT = "cell_text"  # what predicates call the texts behind the typed values
+ROW = "__row"
+
 
 def group_size(rules: Rules) -> int:
     """Rules checked per stretch of generated code.
@@ -123,16 +128,19 @@ def is_wrong(rule: Rule, text: Column, value: Column) -> Column:
     return F.lit(False) if verdict is None else verdict
 
 
-def first_error(rule: Rule, text: Column, value: Column, second: list[Column]) -> Column:
-    """Parts of the first broken condition's message, NULL when the cell is fine."""
+def first_error(rule: Rule, text: Column, value: Column, second: list[Column], refused: Column | None = None) -> Column:
+    """Parts of the first broken condition's message, NULL when the cell is fine.
+
+    `refused` tells whether the rule's predicate is false; it speaks last.
+    """
     chain = F.when(F.lit(False), _parts(rule, "", None, ""))
-    for condition, start, quoted, end in conditions(rule, text, value, second):
-        chain = chain.when(condition, _parts(rule, start, quoted, end))
-    return chain
+    for condition, start, shown, end in conditions(rule, text, value, second):
+        chain = chain.when(condition, _parts(rule, start, shown, end))
+    return chain if refused is None else chain.when(refused, _parts(rule, f"check failed: {rule.check}", None, ""))
 
 
-def _parts(rule: Rule, start: str, quoted: Column | None, end: str) -> Column:
-    text = F.lit(None).cast("string") if quoted is None else quoted
+def _parts(rule: Rule, start: str, shown: Column | None, end: str) -> Column:
+    text = F.lit(None).cast("string") if shown is None else shown
     return F.struct(
         F.lit(rule.name).alias("field"), F.lit(start).alias("start"), text.alias("text"), F.lit(end).alias("end")
     )
@@ -150,7 +158,7 @@ def why(rules: Rules, i: int, part: str) -> Column:
 
 def with_checks(df: DataFrame, rules: Rules, cells: dict[str, Column], keep: list[str]) -> DataFrame:
     """`keep` columns of `df`, the verdict `__ok`, and per group of rules `__got` (typed values) and
-    `__why` (what messages need), read through `value` and `why`.
+    `__why` (what messages need), read through `value` and `why`; with predicates `__refused` as well.
 
     `cells` maps trimmed header names to columns of `df`; rules without an entry see a blank cell.
     """
@@ -167,15 +175,74 @@ def with_checks(df: DataFrame, rules: Rules, cells: dict[str, Column], keep: lis
     size = group_size(rules)
     for position, start in enumerate(range(0, len(numbered), size)):
         if start:
-            # a counter between the groups makes Spark generate code for each group by itself
-            frame = frame.observe(f"rulegate-group-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"))
+            frame = _stretch_end(frame)
         waiting = ["__cells", "__other_space"] if start + size < len(numbered) else []
         group = numbered[start : start + size]
         frame = _check_group(frame, position, group, set(sources), [*keep, *done], waiting)
         done += [f"__got{position}", f"__why{position}"]
+    if any(r.check for r in rules.fields):
+        frame = _with_predicates(_stretch_end(frame), rules, [*keep, *done])
     return frame
 
 
+def _stretch_end(frame: DataFrame) -> DataFrame:
+    """A counter between two steps makes Spark generate code for each of them by itself."""
+    return frame.observe(f"rulegate-group-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"))
+
+
+def predicate_scope(rules: Rules, values: list[Column], texts: list[Column]) -> list[Column]:
+    """The columns a predicate may name: typed values by output name, and their texts in `cell_text`.
+
+    A text is the cell after trimming, replacement and default, before its cast; NULL when missing.
+    """
+    names = [r.output for r in rules.fields]
+    shown = F.struct(*[t.alias(n) for t, n in zip(texts, names)]).alias(CELL_TEXT)
+    return [*[v.alias(n) for v, n in zip(values, names)], shown]
+
+
+def check_predicates(spark: SparkSession, rules: Rules) -> None:
+    """Raise RuleError for a predicate Spark cannot use on rows; analysis only, no job.
+
+    It has to parse, name only columns of its scope, be a boolean of one row (no aggregate, window, generator or
+    subquery) and give the same answer every time.
+    """
+    with_check = [r for r in rules.fields if r.check]
+    taken = [r.output for r in rules.fields if r.output.lower() in (CELL_TEXT, ROW)]
+    if with_check and taken:
+        raise RuleError(f"output name {quoted(taken[0])} is reserved where rules have a check")
+    if not with_check:
+        return
+    unknown = [F.lit(None).cast(COLUMN_TYPES[r.type]) for r in rules.fields]
+    texts = [F.lit(None).cast("string") for _ in rules.fields]
+    scope = spark.range(0).select(*predicate_scope(rules, unknown, texts))
+    for rule in with_check:
+        try:
+            plan = scope.filter(F.expr(rule.check))._jdf.queryExecution().analyzed()
+        except AnalysisException as problem:
+            reason = str(problem).strip().partition("\n")[0].partition(" SQLSTATE")[0]
+            raise RuleError(f"field {quoted(rule.name)} has an unusable check: {reason}") from None
+        for wrong, reason in (
+            (not plan.deterministic(), "it is not deterministic"),
+            (not plan.subqueriesAll().isEmpty(), "it holds a subquery"),
+        ):
+            if wrong:
+                raise RuleError(f"field {quoted(rule.name)} has an unusable check: {reason}")
+
+
+def _with_predicates(frame: DataFrame, rules: Rules, carried: list[str]) -> DataFrame:
+    """Add `__refused`, one boolean per predicate (an unknown answer passes), and update `__ok`.
+
+    Everything else travels in one struct meanwhile, so a predicate sees nothing but its scope.
+    """
+    numbered = range(len(rules.fields))
+    scope = predicate_scope(rules, [value(rules, i) for i in numbered], [why(rules, i, "text") for i in numbered])
+    scoped = frame.select(F.struct(*carried, "__ok").alias(ROW), *scope)
+    refused = {i: ~F.coalesce(F.expr(r.check), F.lit(True)) for i, r in enumerate(rules.fields) if r.check}
+    judged = scoped.select(f"{ROW}.*", F.struct(*[c.alias(f"check{i}") for i, c in refused.items()]).alias("__refused"))
+    passes = [~F.col("__refused")[f"check{i}"] for i in refused]
+    return judged.withColumn("__ok", reduce(lambda a, b: a & b, [F.col("__ok"), *passes]))
+
+
 def _check_group(
     frame: DataFrame,
     position: int,
@@ -244,7 +311,11 @@ def first_errors(rules: Rules) -> Column:
     """Array with one entry per rule, NULL where it is fine, from the columns `with_checks` leaves."""
     entries = [
         first_error(
-            r, why(rules, i, "text"), value(rules, i), [why(rules, i, "real")] if r.type == "int" else []
+            r,
+            why(rules, i, "text"),
+            value(rules, i),
+            [why(rules, i, "real")] if r.type == "int" else [],
+            F.col("__refused")[f"check{i}"] if r.check else None,
         )
         for i, r in enumerate(rules.fields)
     ]

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation, functions as F
 from rulegate.functions import checks
 from rulegate.rules import RuleError, Rules, quoted, strip
 
+
 class HeaderError(ValueError):
     """A column the rules need is not in the input."""
 
@@ -29,7 +30,7 @@ class Validation:
     def invalid(self, *keep: str) -> DataFrame:
         """Kept columns (all by default) and `__errors` of the rejected rows."""
         errors = checks.rendered_errors(self.rules).alias("__errors")
-        return self.checked.filter("NOT __ok").select(*(keep or self.keep), errors)
+        return self.checked.filter("NOT __ok").select(*(keep or map(verbatim, self.keep)), errors)
 
     def staged(self, *keep: str, rejected_only: tuple[str, ...] = ()) -> DataFrame:
         """Both sides in one frame, for a scratch table that feeds several outputs.
@@ -72,7 +73,12 @@ def counts() -> list[Column]:
 
 def header_cells(df: DataFrame) -> dict[str, Column]:
     """Trimmed column names of a frame; the last of several equal names wins."""
-    return {strip(name): F.col(f"`{name.replace('`', '``')}`") for name in df.columns}
+    return {strip(name): F.col(verbatim(name)) for name in df.columns}
+
+
+def verbatim(name: str) -> str:
+    """A column name as Spark takes it literally, dots and backticks included."""
+    return f"`{name.replace('`', '``')}`"
 
 
 def validate(
@@ -85,17 +91,19 @@ def validate(
     """Check every row of a frame of text columns against the rules.
 
     `keep` names columns that travel along (all by default). `cells` overrides how source columns are
-    found. A needed column that is absent raises HeaderError before any job runs. `observation` receives
-    total_rows, valid_rows and invalid_rows from the first action over the result.
+    found. A predicate that cannot be used (RuleError) or a needed column that is absent (HeaderError) is
+    reported before any job runs. `observation` receives total_rows, valid_rows and invalid_rows from the first
+    action over the result.
     """
     if not rules.fields:
         raise RuleError("schema.fields cannot be empty")
+    checks.check_predicates(df.sparkSession, rules)
     found = header_cells(df) if cells is None else cells
     absent = rules.missing_headers(list(found))
     if absent:
         raise HeaderError(header_message(absent[0]))
     kept = list(df.columns) if keep is None else list(keep)
-    checked = checks.with_checks(df, rules, found, [f"`{k}`" for k in kept])
+    checked = checks.with_checks(df, rules, found, [verbatim(k) for k in kept])
     # The counters make Spark keep row filters above the checks, so each check runs once per row.
     watch = observation or f"rulegate-{uuid.uuid4().hex}"
     return Validation(rules, checked.observe(watch, *counts()), tuple(kept))

@@ -9,7 +9,7 @@ from dataclasses import asdict, dataclass
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from rulegate.functions.checks import not_null
+from rulegate.functions.checks import check_predicates, not_null
 from rulegate.functions.text import decode_path
 from rulegate.operators.batch import (
     BATCH_FOLDER,
@@ -118,13 +118,18 @@ def result_frame(spark: SparkSession, result) -> DataFrame:
 
 
 def as_rules(spark: SparkSession, rules: Rules | str) -> Rules:
-    """Rules, or the path of a rule document: on this machine, or wherever Spark reads from."""
-    if not isinstance(rules, str):
-        return rules
-    if os.path.exists(rules):
-        return load_rules(rules)
+    """Rules whose predicates Spark can use, from rules or the path of a rule document."""
+    found = rules if isinstance(rules, Rules) else _rules_at(spark, rules)
+    check_predicates(spark, found)
+    return found
+
+
+def _rules_at(spark: SparkSession, path: str) -> Rules:
+    """A rule document on this machine, or wherever Spark reads from."""
+    if os.path.exists(path):
+        return load_rules(path)
     try:
-        document = spark.read.text(rules, wholetext=True).first()
+        document = spark.read.text(path, wholetext=True).first()
     except AnalysisException as problem:
         raise RuleError(f"failed loading schema: {problem}") from problem
     return read_rules(document.value if document else "")

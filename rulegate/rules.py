@@ -47,6 +47,7 @@ PROPERTY_TYPES: dict[str, type | None] = {
     "non_zero": bool,
     "date_formats": list,
     "datetime_formats": list,
+    "check": str,
 }
 
 
@@ -69,6 +70,7 @@ class Rule:
     override: str | None = None
     non_zero: bool = False
     layouts: tuple[str, ...] = ()
+    check: str | None = None  # Spark SQL predicate over the typed row
 
     @property
     def needs_header(self) -> bool:
@@ -211,6 +213,7 @@ def _rule(properties: Any) -> Rule:
         override=None if p["override"] is None else literal_text(p["override"]),
         non_zero=bool(p["non_zero"]),
         layouts=tuple(layouts),
+        check=strip(p["check"] or "") or None,
     )
 
 

@@ -27,8 +27,6 @@ SPLIT = ["path", "block"]
 GLUED_RANGE = 100_000  # records of a file with multi-line cells that count as one split
 ROW_BYTES = 400  # generous size of one blocks row (path text plus counters)
 
-FEW_FILES = 100
-
 MALFORMED = r'[^,"]"|"[^,"]'
 
 
@@ -186,15 +184,11 @@ class CsvFiles:
         of_file = Window.partitionBy("path").orderBy("block")
         first = self.line_blocks.withColumn("at", F.row_number().over(of_file)).filter("at = 1")
         ids = first.select(F.col("first_id").alias("id"))
-        lines = self.numbered.select("path", "id", "record")
-        wanted = [r.id for r in ids.limit(FEW_FILES + 1).collect()]
-        if len(wanted) > FEW_FILES:
-            small = small_side(ids, self.split_count, 16)
-            found = lines.join(small, "id", "left_semi").select("path", "record")
-            return materialize(found, "csv-first-lines")
-        # a limited collect stops reading once all are found; the first split comes first
-        rows = lines.filter(F.col("id").isin(wanted)).select("path", "record").limit(len(wanted)).collect()
-        return self.lines.sparkSession.createDataFrame(rows, "path string, record string")
+        # the first text of a file is in its first split unless that is blank: later splits are not even read
+        last = first.agg(F.max("block")).first()[0]
+        lines = self.numbered.filter(F.col("block") <= F.lit(last)).select("path", "id", "record")
+        found = lines.join(small_side(ids, self.split_count, 16), "id", "left_semi")
+        return materialize(found.select("path", "record"), "csv-first-lines")
 
     # -- files whose quoted cells span lines ----------------------------------------------------
 
@@ -366,9 +360,6 @@ class CsvFiles:
 
     def _without(self, lines: DataFrame, first_ids: DataFrame) -> DataFrame:
         """Drop the header lines; ids are unique over all splits, so comparing numbers is enough."""
-        if self.file_count <= FEW_FILES:
-            ids = [r.id for r in first_ids.select("id").collect()]
-            return lines.filter(~F.col("id").isin(ids)) if ids else lines
         return lines.join(small_side(first_ids.select("id"), self.file_count, 16), "id", "left_anti")
 
     def table(self, rules: Rules) -> tuple[DataFrame, dict[str, Column]]:

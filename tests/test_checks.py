@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from rulegate.functions import checks
 from rulegate.functions.text import is_among, is_missing, looked_up, lower_text, quote_text, snake_case, trim_cell
 from rulegate.operators.validate import HeaderError, validate
-from rulegate.rules import parse_rules
+from rulegate.plans.workflows import validate_directory
+from rulegate.rules import RuleError, parse_rules
 from tests.model import evaluate
 
 # Parcels as a scanner at a gate reports them; `scanner` is not in the file
@@ -274,3 +275,100 @@ def test_generated_code_stays_compilable(spark):
     text = frame._sc._jvm.PythonSQLUtils.explainString(frame._jdf.queryExecution(), "codegen")
     sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text)]
     assert sizes and max(sizes) < 8000, sizes
+
+
+# -- predicates ------------------------------------------------------------------------------------
+
+SHIPMENTS = {
+    "fields": [
+        {"name": "no", "type": "int", "required": True, "check": "no BETWEEN 1 AND 99"},
+        {"name": "sent", "type": "date", "check": "sent <= due"},
+        {"name": "due", "type": "date"},
+        {"name": "net", "type": "float", "check": "net <= gross AND cell_text.net NOT LIKE '%e%'"},
+        {"name": "gross", "type": "float"},
+        {"name": "un stable", "parquet_name": "un.stable", "type": "string", "check": "`un.stable` <> 'no' OR gross > 1"},
+    ]
+}
+
+
+def test_predicates_judge_the_typed_row(spark):
+    rows = [
+        ("1", "2024-01-02", "2024-01-03", "1", "2", "yes"),
+        ("100", "2024-01-04", "2024-01-03", "3", "2", "no"),  # several fail, in rule order
+        ("x", "2024-01-04", "soon", "1e0", "0.5", "no"),  # a message of the cell comes before the predicate's
+        ("5", None, "2024-01-03", "1", None, None),  # unknown answers pass
+        ("0", "", "", "", "", ""),
+    ]
+    frame = text_frame(spark, ["no", "sent", "due", "net", "gross", "un stable"], [list(r) for r in rows])
+    frame = frame.withColumn("a.b", F.monotonically_increasing_id()).withColumn("net kept", F.lit("k"))
+    gate = validate(frame, parse_rules(SHIPMENTS), keep=["a.b", "net kept", "no"])
+    assert [r.no for r in gate.valid("net kept").orderBy("no").collect()] == [1, 5]
+    assert gate.valid().schema == parse_rules(SHIPMENTS).schema
+    found = {r["no"]: r["__errors"] for r in gate.invalid("no").collect()}
+    assert found == {
+        "100": "no: check failed: no BETWEEN 1 AND 99 | sent: check failed: sent <= due | "
+        "net: check failed: net <= gross AND cell_text.net NOT LIKE '%e%'",
+        "x": 'no: invalid int: "x" | due: invalid date: "soon" | '
+        "net: check failed: net <= gross AND cell_text.net NOT LIKE '%e%' | un stable: check failed: `un.stable` <> 'no' OR gross > 1",
+        "0": "no: check failed: no BETWEEN 1 AND 99",
+    }
+    assert gate.stats().first().asDict() == {"total_rows": 5, "valid_rows": 2, "invalid_rows": 3}
+    assert gate.error_profile().where("field = 'no'").agg(F.sum("n")).first()[0] == 3
+    staged = gate.staged("no")
+    assert staged.where("__ok").count() == 2 and staged.where("__errors IS NOT NULL").count() == 3
+    assert validate(frame.limit(0), parse_rules(SHIPMENTS)).invalid().count() == 0
+
+
+def test_predicates_over_many_groups_of_rules(spark):
+    names = [f"f{i}" for i in range(30)]
+    document = [{"name": n, "type": "int", "check": f"{n} >= f{max(i - 1, 0)}"} for i, n in enumerate(names)]
+    rows = [[str(i) for i in range(30)], [str(50 if i in (4, 20) else i) for i in range(30)]]
+    gate = validate(text_frame(spark, names, rows), parse_rules({"fields": document}), keep=[])
+    assert gate.valid().count() == 1
+    assert gate.invalid().first()[0] == "f5: check failed: f5 >= f4 | f21: check failed: f21 >= f20"
+
+
+@pytest.mark.parametrize(
+    "check, reason",
+    [
+        ("a >", "PARSE_SYNTAX_ERROR"),
+        ("b = 1", "UNRESOLVED_COLUMN"),
+        ("__ok", "UNRESOLVED_COLUMN"),
+        ("a + 1", "DATATYPE_MISMATCH"),
+        ("a = date'2024-01-01'", "DATATYPE_MISMATCH"),
+        ("sum(a) > 1", "INVALID_WHERE_CONDITION|MISSING_GROUP_BY|aggregate"),
+        ("row_number() OVER (ORDER BY a) = 1", "INVALID_WHERE_CONDITION|window"),
+        ("explode(array(true))", "GENERATOR|generator"),
+        ("rand() < 0.5", "it is not deterministic"),
+        ("a IN (SELECT 1)", "it holds a subquery"),
+    ],
+)
+def test_unusable_predicates_end_before_any_job(spark, check, reason):
+    rules = parse_rules({"fields": [{"name": "a", "type": "int", "check": check}]})
+    with pytest.raises(RuleError, match=f'field "a" has an unusable check: .*({reason})'):
+        validate(text_frame(spark, ["a"], [["1"]]), rules)
+
+
+def test_names_reserved_by_predicates(spark):
+    for name in ("cell_text", "__ROW"):
+        rules = parse_rules({"fields": [{"name": "a", "parquet_name": name, "type": "int", "check": "true"}]})
+        with pytest.raises(RuleError, match="is reserved"):
+            checks.check_predicates(spark, rules)
+    with pytest.raises(RuleError, match='property "check" has the wrong JSON type'):
+        parse_rules({"fields": [{"name": "a", "type": "int", "check": ["x"]}]})
+    assert parse_rules({"fields": [{"name": "a", "type": "int", "check": "  "}]}).fields[0].check is None
+
+
+def test_job_with_an_unusable_predicate_writes_nothing(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("a\n1\n-1\n")
+    document = tmp_path / "rules.json"
+    document.write_text('{"fields": [{"name": "a", "type": "int", "check": "nowhere > 1"}]}')
+    places = [str(tmp_path / "good"), str(tmp_path / "bad")]
+    with pytest.raises(RuleError, match="unusable check"):
+        validate_directory(spark, str(tmp_path / "in"), str(document), *places)
+    assert not (tmp_path / "good").exists() and not (tmp_path / "bad").exists()
+    document.write_text('{"fields": [{"name": "a", "type": "int", "check": "a > 0"}]}')
+    validate_directory(spark, str(tmp_path / "in"), str(document), *places)
+    assert [r.a for r in spark.read.parquet(f"{places[0]}/source_file=a").collect()] == [1]
+    assert "a: check failed: a > 0" in "".join(p.read_text() for p in (tmp_path / "bad").rglob("part-*"))
