@@ -524,6 +524,35 @@ def test_odd_vectors(spark):
     assert neighbours.search(rows.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("count", [1, 64, 65, 5_000])
+def test_boxes_found_by_descent(count):
+    rng = np.random.default_rng(3)
+    low = np.sort(rng.standard_normal((count, neighbours.DIMENSIONS)), axis=0)
+    boxes = neighbours.Boxes(low, low + rng.random(low.shape))
+    points = rng.standard_normal((40, neighbours.DIMENSIONS))
+    reach = np.concatenate([rng.random(38) * 4, [0.0, np.inf]])
+    row, box, far = boxes.within(points, reach)
+    plain = neighbours.box_distance(points, low, boxes.levels[0][1])
+    assert list(zip(row, box)) == list(zip(*np.nonzero(plain <= reach[:, None])))
+    assert far == pytest.approx(plain[row, box])
+
+
+def test_block_search_against_brute_force():
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((700, 12))
+    v[100:400] = v[7]  # more copies than a leaf holds
+    ids = rng.permutation(700)
+    ids[5] = ids[6]  # rows that share an id are candidates of their own
+    points = v @ neighbours.directions(12)
+    norm = np.sqrt(np.square(v).sum(axis=1).max())
+    found, score = neighbours.Block(ids, v, points).search(ids, v, points, np.full(700, np.inf), 20, 1e12, norm)
+    for q in range(700):
+        every = np.einsum("nd,nd->n", np.repeat(v[q : q + 1], 700, axis=0), v)
+        every[ids == ids[q]] = -np.inf
+        best = np.lexsort((ids, -every))[:20]
+        assert found[q].tolist() == ids[best].tolist() and score[q].tolist() == every[best].tolist()
+
+
 def test_chi_square():
     assert neighbours.chi_square(15.507313055865453, 8) == pytest.approx(0.95)  # fixed value: a table's 95 % point
     assert neighbours.quantile(0.95, 8) == pytest.approx(15.507313055865453)
