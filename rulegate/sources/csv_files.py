@@ -26,6 +26,7 @@ KEY_FOLDER = "key_file="  # folders written by the split job: one logical file e
 SPLIT = ["path", "block"]
 GLUED_RANGE = 100_000  # records of a file with multi-line cells that count as one split
 ROW_BYTES = 400  # generous size of one blocks row (path text plus counters)
+FEW_FILES = 100  # header lines of up to so many files are dropped by a list of ids instead of a join
 
 MALFORMED = r'[^,"]"|"[^,"]'
 
@@ -360,6 +361,9 @@ class CsvFiles:
 
     def _without(self, lines: DataFrame, first_ids: DataFrame) -> DataFrame:
         """Drop the header lines; ids are unique over all splits, so comparing numbers is enough."""
+        if self.file_count <= FEW_FILES:
+            ids = [r.id for r in first_ids.select("id").collect()]
+            return lines.filter(~F.col("id").isin(ids)) if ids else lines
         return lines.join(small_side(first_ids.select("id"), self.file_count, 16), "id", "left_anti")
 
     def table(self, rules: Rules) -> tuple[DataFrame, dict[str, Column]]:
