@@ -348,3 +348,10 @@ listed AS (
     'price: ' || e_price, 'order_day: ' || f_day, 'placed_at: ' || f_placed) AS listing
   FROM refused)
 SELECT o_orderkey, CASE WHEN listing = '' THEN CAST(q AS BIGINT) END AS customer_no, nullif(listing, '') AS errors FROM listed"""
+SQL["detect_key_files"] = """
+WITH f AS (SELECT DISTINCT left(o_orderpriority, 1) || '-' || o_orderstatus AS name FROM orders)
+SELECT name || '.csv' AS file,
+  CASE WHEN name LIKE '2%' THEN 'key, of "' || name || '"' WHEN name NOT LIKE '1%' AND name NOT LIKE '3%' THEN 'key ' || name END AS split_key,
+  CASE WHEN name LIKE '1%' THEN 'failed detecting split primary key: first header column is blank'
+       WHEN name LIKE '3%' THEN 'read header: malformed quotes' END AS failure
+FROM f"""

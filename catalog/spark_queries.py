@@ -358,6 +358,24 @@ def detect_key(spark, sf_dir):
     )
 
 
+@query
+def detect_key_files(spark, sf_dir):
+    """Split keys of a folder in which every file has a header of its own, some without a usable first cell."""
+    orders = table(spark, sf_dir, "orders")
+    first = F.substring("o_orderpriority", 1, 1)
+    lines = orders.select(
+        F.concat_ws("-", first, "o_orderstatus").alias("key_file"), F.col("o_orderkey").alias("position"), F.concat_ws(",", "o_orderkey", "o_custkey").alias("value")
+    )
+    header = (
+        F.when(F.col("key_file").startswith("1"), " ,id")
+        .when(F.col("key_file").startswith("2"), F.concat(F.lit('" key, of ""'), F.col("key_file"), F.lit('"" ",id')))
+        .when(F.col("key_file").startswith("3"), 'ba"d,id')
+        .otherwise(F.concat(F.lit("\u2003key "), F.col("key_file"), F.lit(" ,id")))
+    )
+    found = workflows.split_keys(read_csv_directory(spark, csv_lines(with_headers(lines, header))))
+    return found.select("file", "split_key", "failure")
+
+
 # -- split -----------------------------------------------------------------------------------------
 
 

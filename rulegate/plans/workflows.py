@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from rulegate.functions.checks import check_predicates, not_null
-from rulegate.functions.text import decode_path
+from rulegate.functions.text import decode_path, trim_cell
 from rulegate.operators.batch import (
     BATCH_FOLDER,
     BatchSummary,
@@ -160,14 +160,28 @@ def file_header(files: CsvFiles) -> list[str]:
     return header
 
 
+BLANK_KEY = "failed detecting split primary key: first header column is blank"
+
+
 def detect_key(header: list[str]) -> str:
     """The first header column is the split key."""
     key = strip(header[0])
     if not key:
-        raise FileError("failed detecting split primary key: first header column is blank")
+        raise FileError(BLANK_KEY)
     return key
 
 
+def split_keys(files: CsvFiles) -> DataFrame:
+    """The same for every file of a folder: path, file, split_key (NULL where there is none), failure."""
+    key = trim_cell(F.get("header_cells", F.lit(0)))
+    return files.headers().select(
+        "path",
+        "file",
+        F.nullif(key, F.lit("")).alias("split_key"),
+        F.coalesce("failure", F.when(key == "", F.lit(BLANK_KEY))).alias("failure"),
+    )
+
+
 def key_position(header: list[str], key: str) -> int:
     """Position of the split key: the first of equal names."""
     names = [strip(h) for h in header]
