@@ -21,6 +21,7 @@ from rulegate.operators.numbering import number_within
 from rulegate.operators.sinks import CSV_OPTIONS, ERROR_COLUMNS, write_typed
 from rulegate.operators.split import rows_per_key_file, split_summary, with_key_file
 from rulegate.operators.validate import Validation, validate
+from rulegate.operators.value_tables import ValueTables
 from rulegate.plans import workflows
 from rulegate.rules import Rules, parse_rules
 from rulegate.session import file_system, glob, hadoop_path, pin, rename, scratch_path
@@ -58,12 +59,14 @@ def portable(df: DataFrame) -> DataFrame:
     return df.select(*columns)
 
 
-def one_rule(spark: SparkSession, sf_dir: str, rule: dict, source: str = "orders") -> DataFrame:
+def one_rule(
+    spark: SparkSession, sf_dir: str, rule: dict, source: str = "orders", tables: dict[str, ValueTables] | None = None
+) -> DataFrame:
     """Key, typed value and errors for every row of a table under a single rule."""
     raw = derived(spark, sf_dir, raw_orders, "orders") if source == "orders" else table(spark, sf_dir, source)
     key = {"orders": "o_orderkey", "documents": "doc_id", "customer": "c_custkey"}[source]
-    rules = parse_rules({"fields": [rule]})
-    checked = validate(raw, rules, keep=[key]).checked
+    gate = validate(raw, parse_rules({"fields": [rule]}), keep=[key], tables=tables)
+    checked, rules = gate.checked, gate.rules
     return checked.select(
         key,
         F.when(F.col("__ok"), checks.value(rules, 0)).alias("value"),
@@ -729,15 +732,14 @@ def stream_totals(spark, sf_dir):
 
 @query
 def rule_many_values(spark, sf_dir):
-    """As many replacements and allowed values as there are customers."""
-    names = [(r.c_custkey, r.c_name) for r in table(spark, sf_dir, "customer").select("c_custkey", "c_name").collect()]
-    rule = {
-        "name": "c_name",
-        "type": "string",
-        "inline_replace": {n: f"replaced {k}" for k, n in names if k % 5 == 0},
-        "allowed_values": [n for k, n in names if k % 7] + [f"replaced {k}" for k, _ in names if k % 10 == 0],
-    }
-    return one_rule(spark, sf_dir, rule, "customer")
+    """As many replacements and allowed values as there are customers, so they come as tables."""
+    key = F.col("c_custkey")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    replaced = customers.where(key % 5 == 0).groupBy("c_name").agg(F.concat(F.lit("replaced "), F.max(key)))
+    allowed = customers.where(key % 7 != 0).select("c_name")
+    allowed = allowed.unionByName(customers.where(key % 10 == 0).select(F.concat(F.lit("replaced "), key).alias("c_name")))
+    rule = {"name": "c_name", "type": "string"}
+    return one_rule(spark, sf_dir, rule, "customer", {"c_name": ValueTables(replaced, allowed)})
 
 
 @query

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from rulegate.functions import checks
+from rulegate.operators.value_tables import ValueTables, look_up
 from rulegate.rules import RuleError, Rules, quoted, strip
 
 
@@ -87,13 +88,15 @@ def validate(
     keep: list[str] | None = None,
     cells: dict[str, Column] | None = None,
     observation: Observation | None = None,
+    tables: dict[str, ValueTables] | None = None,
 ) -> Validation:
     """Check every row of a frame of text columns against the rules.
 
     `keep` names columns that travel along (all by default). `cells` overrides how source columns are
     found. A predicate that cannot be used (RuleError) or a needed column that is absent (HeaderError) is
     reported before any job runs. `observation` receives total_rows, valid_rows and invalid_rows from the first
-    action over the result.
+    action over the result. `tables` has value sets by rule name that are too large for a rule document; the result's
+    `rules` are those to read its columns by.
     """
     if not rules.fields:
         raise RuleError("schema.fields cannot be empty")
@@ -103,6 +106,8 @@ def validate(
     if absent:
         raise HeaderError(header_message(absent[0]))
     kept = list(df.columns) if keep is None else list(keep)
+    if tables:
+        df, rules, found = look_up(df, rules, found, tables)
     checked = checks.with_checks(df, rules, found, [verbatim(k) for k in kept])
     # The counters make Spark keep row filters above the checks, so each check runs once per row.
     watch = observation or f"rulegate-{uuid.uuid4().hex}"

@@ -71,6 +71,7 @@ class Rule:
     non_zero: bool = False
     layouts: tuple[str, ...] = ()
     check: str | None = None  # Spark SQL predicate over the typed row
+    listed: bool = False  # allowed values lie in a table, rows were told whether they are in it
 
     @property
     def needs_header(self) -> bool:
