@@ -6,15 +6,17 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from rulegate.operators.numbering import global_rank
+from rulegate.operators.numbering import global_rank, running_total
+from rulegate.operators.placement import task_size
 from rulegate.operators.sinks import write_typed
 from rulegate.rules import quoted
-from rulegate.session import Publication, absolute, glob, job, materialize, small_side
+from rulegate.session import Publication, absolute, dealt, job, matches, materialize, small_side
 from rulegate.sources.inventory import spot
 from rulegate.sources.parquet_files import NO_PARQUET, Footers, list_parquet, parquet_paths, row_counts, scanned_name, schemas
 
 BATCH_FOLDER = "validation_batch"
-TASK_BYTES = 256 * 1024 * 1024  # input bytes that end up in one output part
+ROW_OVERHEAD = 64  # memory of a row in a sort besides its columns
+SPREAD = 4  # generous: how much larger a file's rows are in memory than compressed
 ROW_BYTES = 400
 RUNS_AT_ONCE = 200  # stretches of batches one scan picks out of the folder
 
@@ -53,21 +55,21 @@ def schema_conflicts(schemas: DataFrame) -> DataFrame:
     return joined.filter("fingerprint <> expected").select("batch_no", "file_rank", "path")
 
 
-def write_batches(rows: DataFrame, order: list[str], path: str, mode: str = "overwrite") -> None:
+def write_batches(rows: DataFrame, order: list[str], path: str, mode: str = "overwrite", tasks: int | None = None) -> None:
     """Write rows with `batch_no`, one folder per batch, sorted by `order`.
 
-    The column `__part` spreads a large batch over several tasks and files; a small batch has one part.
+    The column `__part` spreads a large batch over several tasks and files; a small batch has one part. With `tasks`
+    it is the task itself, one of so many.
     """
     placed = rows.withColumnRenamed("batch_no", BATCH_FOLDER)
-    sorted_rows = placed.repartition(BATCH_FOLDER, "__part").sortWithinPartitions(
-        BATCH_FOLDER, "__part", *order
-    )
+    rows_of_tasks = placed.repartitionById(tasks, "__part") if tasks else dealt(placed, BATCH_FOLDER, "__part")
+    sorted_rows = rows_of_tasks.sortWithinPartitions(BATCH_FOLDER, "__part", *order)
     write_typed(sorted_rows.drop("__part", *order), path, BATCH_FOLDER, mode)
 
 
 def written_rows(spark: SparkSession, path: str) -> int:
     """Rows of an export folder, counted from its footers by Spark; 0 when there is none."""
-    if not glob(spark, f"{path.rstrip('/')}/{BATCH_FOLDER}=*"):
+    if not matches(spark, f"{path.rstrip('/')}/{BATCH_FOLDER}=*"):
         return 0
     return spark.read.schema(f"{BATCH_FOLDER} string").parquet(path).count()
 
@@ -148,7 +150,8 @@ def _write_runs(files: DataFrame, fingerprint: str, runs: list, paths: list[str]
     """Write the batches of some runs of one schema and return the rows their files say they have.
 
     One scan of the folder serves the counts, which end at the footers, and the rows; it opens no file outside the
-    runs.
+    runs. Rows are dealt to tasks by the memory a sort of them takes, as rows and sizes of their files tell: compressed
+    bytes alone say little about it.
     """
     spark = files.sparkSession
     name = scanned_name(F.col("_metadata.file_path"))
@@ -160,28 +163,47 @@ def _write_runs(files: DataFrame, fingerprint: str, runs: list, paths: list[str]
     one = part.orderBy("path").select("path").first().path
     schema, required = spark.read.parquet(one).schema, Footers(spark).required(one)
     scan = spark.read.schema(schema).parquet(*paths).where(inside)
-    earlier = Window.partitionBy("batch_no").orderBy("file_rank", "path").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("length").over(earlier), F.lit(0)).alias("bytes_before")
     counted = part.withColumn("spot", spot(F.col("path"))).join(row_counts(scan), "spot")
-    plan = materialize(
-        counted.select(F.col("scanned").alias("__scanned"), "batch_no", F.col("file_rank").alias("__rank"), "num_rows", before), "batch-plan"
-    )
-    number, expected = plan.agg(F.count("*"), F.coalesce(F.sum("num_rows"), F.lit(0))).first()
+    counted = counted.select(F.col("scanned").alias("__scanned"), "batch_no", "file_rank", "path", "length", "num_rows")
+    counted = materialize(counted.withColumn("memory", sort_memory(len(schema.fields))), "batch-counts")
+    number, expected, memory = counted.agg(F.count("*"), F.coalesce(F.sum("num_rows"), F.lit(0)), F.sum("memory")).first()
     if not number:
         return 0
+    size = task_size(memory, spark.sparkContext.defaultParallelism)
+    plan = materialize(batch_plan(counted), "batch-plan")
     rows = scan.select(
         *[_required(f.name, f.dataType, required) for f in schema.fields],
         F.col("_metadata.file_path").alias("__scanned"),
-        F.col("_metadata.file_block_start").alias("__start"),
         F.col("_metadata.row_index").alias("__row"),
     )
-    placed = rows.join(small_side(plan.drop("num_rows"), number, ROW_BYTES), "__scanned")
-    piece = F.floor((F.col("bytes_before") + F.col("__start")) / TASK_BYTES)
-    placed = placed.withColumn("__part", piece).drop("__start", "bytes_before")
-    write_batches(placed, ["__rank", "__scanned", "__row"], target, "append")
+    placed = rows.join(small_side(plan, number, ROW_BYTES), "__scanned")
+    inside = F.col("__memory_before") + F.col("__row") * F.col("__row_memory")
+    offset = F.col("__batch_start") + F.when(F.col("__batch_memory") > size, inside).otherwise(0)
+    placed = placed.withColumn("__part", F.floor(offset / size).cast("int")).withColumn("__position", F.col("__rows_before") + F.col("__row"))
+    used = ["__scanned", "__row", "__memory_before", "__row_memory", "__rows_before", "__batch_start", "__batch_memory"]
+    write_batches(placed.drop(*used), ["__position"], target, "append", -(-memory // size))
     return expected
 
 
+def sort_memory(columns: int) -> Column:
+    """Bytes that sorting the rows of a file takes, a guess on the safe side."""
+    return F.col("num_rows") * (ROW_OVERHEAD + 8 * columns) + F.col("length") * SPREAD
+
+
+def batch_plan(counted: DataFrame) -> DataFrame:
+    """Per file its batch, the rows and memory of the batch's files before it, and the batch's place among all batches."""
+    totals = counted.groupBy("batch_no").agg(F.sum("memory").alias("__batch_memory"))
+    totals = running_total(totals, ["batch_no"], "__batch_memory", "__batch_start")
+    earlier = Window.partitionBy("batch_no").orderBy("file_rank", "path").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counted.select(
+        "__scanned",
+        "batch_no",
+        *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"__{name}_before") for c, name in (("num_rows", "rows"), ("memory", "memory"))],
+        (F.col("memory") / F.col("num_rows")).alias("__row_memory"),
+    )
+    return placed.join(totals, "batch_no")
+
+
 def _required(name: str, data_type, required: list[str]) -> Column:
     """Keep a column non-nullable when the files declare it so (it holds no NULL then)."""
     column = F.col(f"`{name}`")

@@ -15,6 +15,10 @@ PINNED = {
     "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
 }
 
+# Spark lists many folders with up to this many tasks, each of which unpacks the whole Hadoop configuration first.
+LISTING_TASKS = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+LISTING_DEFAULT = "10000"
+
 # A side of a join is broadcast only when its measured size stays under this many bytes.
 BROADCAST_BYTES = 64 * 1024 * 1024
 
@@ -23,10 +27,13 @@ _job_folder: ContextVar[str | None] = ContextVar("job_folder", default=None)
 
 
 def pin(spark: SparkSession) -> SparkSession:
-    """Set the two session options the typed output depends on."""
+    """Set the two session options the typed output depends on, and list folders with tasks for all cores and no more
+    unless the session says otherwise."""
     for key, value in PINNED.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    if spark.conf.get(LISTING_TASKS, LISTING_DEFAULT) == LISTING_DEFAULT:
+        spark.conf.set(LISTING_TASKS, str(4 * spark.sparkContext.defaultParallelism))
     return spark
 
 
@@ -57,7 +64,7 @@ def job(run):
     def wrapped(spark: SparkSession, *args, **kwargs):
         if _job_folder.get():
             return run(spark, *args, **kwargs)
-        folder = scratch_path(spark, "job")
+        folder = scratch_path(pin(spark), "job")
         token = _job_folder.set(folder)
         try:
             return run(spark, *args, **kwargs)
@@ -80,6 +87,14 @@ def small_side(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """Rows dealt by columns to tasks for all cores, for outputs of many files: those cost time by the file, while
+    adaptive execution would merge tasks by their bytes. A number given here it leaves alone."""
+    spark = df.sparkSession
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(usual, 2 * spark.sparkContext.defaultParallelism), *by)
+
+
 def hadoop_path(spark: SparkSession, path: str):
     return spark._jvm.org.apache.hadoop.fs.Path(path)
 
@@ -103,6 +118,12 @@ def glob(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(s.getPath().toString() for s in found) if found else []
 
 
+def matches(spark: SparkSession, pattern: str) -> bool:
+    """Whether anything matches a glob; no names are taken over."""
+    p = hadoop_path(spark, pattern)
+    return bool(len(file_system(spark, p).globStatus(p) or []))
+
+
 def escaped(path: str) -> str:
     """A path as a glob that only matches itself."""
     return "".join(f"\\{c}" if c in "{}[]*?\\" else c for c in path)
