@@ -24,7 +24,7 @@ from rulegate.operators.validate import Validation, validate
 from rulegate.operators.value_tables import ValueTables
 from rulegate.plans import workflows
 from rulegate.rules import Rules, parse_rules
-from rulegate.session import file_system, glob, hadoop_path, pin, rename, scratch_path
+from rulegate.session import dealt, file_system, glob, hadoop_path, pin, rename, scratch_path
 from rulegate.sources.csv_files import read_csv_directory, read_csv_file
 from rulegate.sources.inventory import spot
 from rulegate.sources.parquet_files import SOURCES_TABLE, list_parquet, parquet_paths, required_columns, row_counts, schemas
@@ -504,7 +504,7 @@ def event_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_path(spark, "batches")
     gate = event_gate(spark, sf_dir)
     typed = gate.valid("key_file").withColumnRenamed("key_file", workflows.SOURCE)
-    write_typed(typed.repartition(workflows.SOURCE), f"{out}/ok", workflows.SOURCE)
+    write_typed(dealt(typed, workflows.SOURCE), f"{out}/ok", workflows.SOURCE)
     gate.stats("key_file").withColumnRenamed("key_file", "file").write.parquet(f"{out}/ok/{SOURCES_TABLE}")
     batch_directory(spark, f"{out}/ok", f"{out}/export", BATCH_SIZE)
     return spark.read.parquet(f"{out}/export").withColumn(BATCH_FOLDER, F.col(BATCH_FOLDER).cast("bigint"))

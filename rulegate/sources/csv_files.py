@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from rulegate.functions.text import decode_path, trim_cell
 from rulegate.operators.validate import header_message
 from rulegate.rules import Rules, strip
-from rulegate.session import glob, materialize, small_side
+from rulegate.session import matches, materialize, small_side
 from rulegate.sources.inventory import files_and_parts, spot
 
 CSV_GLOB = "*.[cC][sS][vV]"
@@ -97,7 +97,7 @@ def csv_paths(spark: SparkSession, directory: str) -> list[str]:
     return [
         pattern
         for pattern in (f"{folder}/{CSV_GLOB}", f"{folder}/{KEY_FOLDER}*")
-        if glob(spark, pattern)
+        if matches(spark, pattern)
     ]
 
 

@@ -1,19 +1,24 @@
 """What lies in a folder: one row per entry, whatever its name or size.
 
 Spark's file sources pass over names that start with _ or . and over empty files, so a job that has to account
-for every file asks the file system itself. Its answer is taken over a stretch at a time as one text, which is
-split into rows by Spark; neither a list of all files nor a call per file exists in Python.
+for every file asks the file system itself. Its answer, the paths, is taken over a stretch at a time as one text,
+which is split into rows by Spark. Files Spark reads have their sizes from a scan that opens none of them; only what
+is left, folders and the files it passes over, is asked for one by one. How a file system prints whole entries is of
+no use: a local one starts a process per entry to learn its permissions.
 """
 
 from __future__ import annotations
 
+from itertools import islice
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rulegate.session import file_system, hadoop_path, scratch_path
 
 HIDDEN = ("_", ".")  # Spark's readers pass over such names
 STRETCH = 20_000  # entries taken over at once
-ENTRY = r"(?s)path=(.*); isDirectory=(true|false)(?:; length=([0-9]+))?"  # how the file system prints an entry
+SCHEMA = "path string, folder boolean, length bigint"
+FEW = 64  # entries asked for one by one, instead of by a scan
 BETWEEN = "\u0000"
 
 
@@ -37,28 +42,42 @@ def spot(path: Column) -> Column:
 def entries(spark: SparkSession, *patterns: str) -> DataFrame:
     """path, folder, length (NULL for folders) of everything that matches one of the globs; a scratch table."""
     table = scratch_path(spark, "inventory")
-    schema = "path string, folder boolean, length bigint"
-    _parsed(spark, "").where("path IS NOT NULL").write.parquet(table)
+    spark.createDataFrame([], SCHEMA).write.parquet(table)
     for pattern in patterns:
         path = hadoop_path(spark, pattern)
-        found = file_system(spark, path).globStatus(path)
-        listed = spark._jvm.scala.Predef.genericWrapArray(found) if found else None
-        for start in range(0, len(found) if found else 0, STRETCH):
-            text = listed.slice(start, start + STRETCH).mkString(BETWEEN)
-            _parsed(spark, text).write.mode("append").parquet(table)
-    return spark.read.schema(schema).parquet(table)
-
-
-def _parsed(spark: SparkSession, text: str) -> DataFrame:
-    lines = spark.createDataFrame([(text,)], "text string").select(F.explode(F.split("text", BETWEEN)).alias("entry"))
-    part = lambda k: F.regexp_extract("entry", ENTRY, k)
-    known = F.when(F.col("entry").rlike(ENTRY), part(1))
-    unknown = F.when(F.col("entry") != "", F.raise_error(F.concat(F.lit("cannot read the listing entry "), F.col("entry"))).cast("string"))
-    return lines.select(
-        F.coalesce(known, unknown).alias("path"),
-        (part(2) == "true").alias("folder"),
-        F.nullif(part(3), F.lit("")).cast("bigint").alias("length"),
-    )
+        fs = file_system(spark, path)
+        found = fs.globStatus(path)
+        number = len(found) if found else 0
+        if number > FEW:
+            _scanned(spark, fs, pattern, found, number, table)
+        elif number:
+            _asked(spark, fs, [s.getPath().toString() for s in found], table)
+    return spark.read.schema(SCHEMA).parquet(table)
+
+
+def _asked(spark: SparkSession, fs, paths: list[str], table: str) -> None:
+    """Entries of some paths, one by one."""
+    states = [(p, fs.getFileStatus(hadoop_path(spark, p))) for p in paths]
+    rows = [(p, s.isDirectory(), None if s.isDirectory() else s.getLen()) for p, s in states]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(table)
+
+
+def _scanned(spark: SparkSession, fs, pattern: str, found, number: int, table: str) -> None:
+    """Entries of many paths: sizes by a scan, the rest one by one, a stretch at a time."""
+    names = scratch_path(spark, "names")
+    listed = spark._jvm.scala.Predef.genericWrapArray(spark._jvm.org.apache.hadoop.fs.FileUtil.stat2Paths(found))
+    for start in range(0, number, STRETCH):
+        text = listed.slice(start, start + STRETCH).mkString(BETWEEN)
+        lines = spark.createDataFrame([(text,)], "text string").select(F.explode(F.split("text", BETWEEN)).alias("path"))
+        lines.write.mode("append").parquet(names)
+    paths = spark.read.schema("path string").parquet(names)
+    sizes = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(pattern).select("path", F.lit(False).alias("folder"), "length")
+    known = paths.join(sizes, "path")
+    known.write.mode("append").parquet(table)
+    seen = spark.read.schema(SCHEMA).parquet(table).select("path")
+    rest = (r.path for r in paths.join(seen, "path", "left_anti").toLocalIterator())
+    while part := list(islice(rest, STRETCH)):
+        _asked(spark, fs, part, table)
 
 
 def files_and_parts(spark: SparkSession, pattern: str) -> DataFrame:

@@ -3,24 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
 from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rulegate.functions.text import decode_path
-from rulegate.session import glob, materialize, scratch_path
-from rulegate.sources.inventory import entries, files_and_parts, is_hidden, spot
+from rulegate.session import glob, matches, materialize, scratch_path
+from rulegate.sources.inventory import BETWEEN, entries, files_and_parts, is_hidden, spot
 
 PARQUET_GLOB = "*.[pP][aA][rR][qQ][uU][eE][tT]"
 SOURCE_FOLDER = "source_file="  # folders written by the directory jobs: one logical file each
 SOURCES_TABLE = "_sources"  # per-file counts next to them; Spark skips the name when reading rows
 STRETCH = 10_000  # footers that become one part of the schema table
-AT_ONCE = 4  # footers read side by side
+AT_ONCE = 16  # footers read side by side
+TOGETHER = 500  # footers taken over as one text
 
 UNREADABLE_NAME = "names starting with _ or . cannot be read"
 NO_PARQUET = "not a Parquet file"
 
+SCHEMA_START = "ParquetMetaData{FileMetaData{schema: "  # how the Parquet reader prints a footer
+SCHEMA_END = "}\n, metadata: {"
+
 
 def logical_parquet_name(path: Column) -> Column:
     parent = F.substring_index(F.substring_index(path, "/", -2), "/", 1)
@@ -43,7 +46,7 @@ def parquet_paths(spark: SparkSession, directory: str) -> list[str]:
     """Globs of what Spark can read of a folder."""
     folder = directory.rstrip("/")
     patterns = (f"{folder}/{PARQUET_GLOB}", f"{folder}/{SOURCE_FOLDER}*")
-    return [p for p in patterns if glob(spark, p)]
+    return [p for p in patterns if matches(spark, p)]
 
 
 def list_parquet(spark: SparkSession, directory: str) -> DataFrame:
@@ -76,7 +79,7 @@ class Footers:
     """Reads footers through the JVM's Parquet reader: whatever file system Spark reaches, it reaches."""
 
     def __init__(self, spark: SparkSession):
-        jvm = spark._jvm
+        self.jvm = jvm = spark._jvm
         self.path = jvm.org.apache.hadoop.fs.Path
         self.conf = spark._jsparkSession.sessionState().newHadoopConf()
         self.read = jvm.org.apache.parquet.hadoop.ParquetFileReader.readFooter
@@ -94,6 +97,36 @@ class Footers:
                 return None
             raise
 
+    def fingerprints(self, paths: list[str]) -> list[str | None]:
+        """The same for some paths: read side by side and taken over as one text, not call by call."""
+        try:
+            text = self._all(paths)
+        except Exception:  # a file without a sound footer among them
+            return [self.fingerprint(p) for p in paths]
+        starts, found = [], -1
+        for path in paths:
+            found = text.find(f"Footer{{{path}, {SCHEMA_START}", found + 1)
+            starts.append(found)
+        if min(starts) < 0:
+            return [self.fingerprint(p) for p in paths]
+        parts = [text[a:b] for a, b in zip(starts, [*starts[1:], len(text)])]
+        return [self._within(part) or self.fingerprint(path) for part, path in zip(parts, paths)]
+
+    def _all(self, paths: list[str]) -> str:
+        jvm, conf = self.jvm, self.jvm.org.apache.hadoop.conf.Configuration(self.conf)
+        conf.setInt("parquet.metadata.read.parallelism", AT_ONCE)
+        strings = jvm.org.apache.hadoop.util.StringUtils
+        places = strings.stringToPath(strings.getStrings(BETWEEN.join(paths), BETWEEN))
+        found = places[0].getFileSystem(conf).listStatus(places)
+        listed = jvm.scala.jdk.javaapi.CollectionConverters.asJava(jvm.scala.Predef.genericWrapArray(found).toSeq())
+        return jvm.org.apache.parquet.hadoop.ParquetFileReader.readAllFootersInParallel(conf, listed, True).toString()
+
+    @staticmethod
+    def _within(part: str) -> str | None:
+        """The schema below its name in the text of one footer; None where names in it look like its end."""
+        schema, *rest = part.partition(SCHEMA_START)[2].split(SCHEMA_END)
+        return schema.split("\n", 1)[1] + "}\n" if len(rest) == 1 and "\n" in schema else None
+
     def required(self, path: str) -> list[str]:
         """Columns a file declares as never NULL."""
         return [f.getName() for f in self.schema(path).getFields() if f.getRepetition().toString() == "REQUIRED"]
@@ -114,10 +147,9 @@ def schemas(listed: DataFrame) -> DataFrame:
     footers, table, shape = Footers(spark), scratch_path(spark, "schemas"), "path string, fingerprint string"
     spark.createDataFrame([], shape).write.parquet(table)
     paths = listed.where("path IS NOT NULL AND problem IS NULL").select("path").toLocalIterator()
-    with ThreadPoolExecutor(AT_ONCE) as pool:
-        for part in stretches((r.path for r in paths), STRETCH):
-            found = list(zip(part, pool.map(footers.fingerprint, part)))
-            spark.createDataFrame(found, shape).coalesce(1).write.mode("append").parquet(table)
+    for part in stretches((r.path for r in paths), STRETCH):
+        found = [f for some in stretches(iter(part), TOGETHER) for f in footers.fingerprints(some)]
+        spark.createDataFrame(list(zip(part, found)), shape).coalesce(1).write.mode("append").parquet(table)
     return spark.read.schema(shape).parquet(table)
 
 

@@ -8,7 +8,7 @@ from rulegate.operators import batch
 from rulegate.operators.batch import BatchError, batch_directory, batch_runs
 from rulegate.session import Publication
 from rulegate.sources.inventory import entries, files_and_parts
-from rulegate.sources.parquet_files import list_parquet, schemas
+from rulegate.sources.parquet_files import Footers, list_parquet, schemas
 
 
 def files_in(folder):
@@ -125,3 +125,32 @@ def test_empty_files_only(spark, tmp_path):
     done = batch_directory(spark, str(folder), f"{tmp_path}/out", 2)
     assert (done.input_files, done.batches, done.total_rows) == (1, 1, 0)
     assert not (tmp_path / "out").exists()
+
+
+def test_entries_of_many_files(spark, tmp_path, monkeypatch):
+    """Many entries are not printed one by one: sizes come from a scan, what Spark passes over from the file system."""
+    monkeypatch.setattr("rulegate.sources.inventory.FEW", 0)
+    test_entries(spark, tmp_path, monkeypatch)
+
+
+def test_footers_are_taken_over_together(spark, tmp_path, monkeypatch):
+    put(spark, tmp_path, "a.parquet", 3)
+    put(spark, tmp_path, "b.parquet", 3, "string")
+    spark.range(2).selectExpr("id AS `x}, metadata: {y`", "id AS c").write.parquet(f"{tmp_path}/c.parquet")
+    listed = list_parquet(spark, str(tmp_path))
+    footers = Footers(spark)
+    one_by_one = {r.path: footers.fingerprint(r.path) for r in listed.collect()}
+    monkeypatch.setattr(Footers, "fingerprint", lambda self, path: pytest.fail(f"{path} was read by itself"))
+    assert {r.path: r.fingerprint for r in schemas(listed).collect()} == one_by_one
+
+
+def test_a_large_batch_is_cut_by_the_memory_of_its_rows(spark, tmp_path, monkeypatch):
+    """Rows that compress to nothing still take memory to sort."""
+    monkeypatch.setattr("rulegate.operators.placement.TASK_BYTES", 2_000_000)
+    spark.range(100_000).selectExpr("shiftright(id, 10) AS id").coalesce(1).write.parquet(f"{tmp_path}/in/a.parquet")
+    put(spark, tmp_path / "in", "b.parquet", 5)
+    batch_directory(spark, f"{tmp_path}/in", f"{tmp_path}/out", 2)
+    parts = sorted(f for f in files_in(tmp_path / "out") if f.endswith(".parquet"))
+    found = [[r.id for r in spark.read.parquet(f"{tmp_path}/out/{p}").collect()] for p in parts]
+    assert len(parts) >= 4 and max(map(len, found)) < 40_000
+    assert [i for part in found for i in part] == [i >> 10 for i in range(100_000)] + list(range(5))
