@@ -23,6 +23,7 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator, Sequence
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x20
 ENDINGS = ["s", "t", "re", "ve", "m", "ll", "d"]
 
 # Memory bounds of a task; reaching one empties a memo or ends a run of texts and changes no result
-MEMO_BYTES = 24 << 20
+MEMO_BYTES = 64 << 20
 WORD_COST = 180  # bytes an entry of the memo takes beside its characters
 PAIRS_KEPT = 150_000
 CHARS_AT_ONCE = 400_000
@@ -321,7 +322,7 @@ def id_lists(flat: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
 def decoder(vocabulary: dict):
     """Function from ids to text; unknown ids hold no bytes."""
     table = {i: t for t, i in vocabulary["ids"].items()} | {i: t.encode() for t, i in vocabulary["added"].items()}
-    return lambda ids: b"".join([table.get(i, b"") for i in ids]).decode("utf-8", "replace")
+    return lambda ids: b"".join(map(table.get, ids, repeat(b""))).decode("utf-8", "replace")
 
 
 def _encoded(docs: DataFrame, vocabulary: str, text_col: str, keep: Sequence[str], out: str, decoded: str | None) -> DataFrame:

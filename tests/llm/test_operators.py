@@ -158,6 +158,16 @@ def test_tokens_do_not_depend_on_the_memory_bounds(vocabulary, monkeypatch):
         assert found == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_words_of_a_task_are_learned_once(vocabulary, monkeypatch):
+    learned = []
+    plain = bpe.Codec.learn
+    monkeypatch.setattr(bpe.Codec, "learn", lambda codec, words: (learned.append(len(words)), plain(codec, words)))
+    texts = [" ".join(f"w{n}" for n in range(k, k + 10_000)) for k in range(0, 160_000, 10_000)]
+    for _ in bpe.Codec(bpe.load_vocabulary(vocabulary)).encode(texts + texts):
+        pass
+    assert sum(learned) < 170_000
+
+
 def test_packing(spark, odd_docs, no_docs, vocabulary, sf_dir):
     library = pytest.importorskip("tokenizers").Tokenizer.from_file(vocabulary)
     docs = odd_docs.select("doc_id", "text").where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
