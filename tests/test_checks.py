@@ -277,6 +277,27 @@ def test_generated_code_stays_compilable(spark):
     assert sizes and max(sizes) < 8000, sizes
 
 
+def test_groups_are_cut_by_code(spark):
+    """Datetimes are several times the code of a text: with four rules in a group their code was not compiled."""
+    import re
+
+    from catalog.inputs import EVENT_RULES
+
+    moments = {"fields": [{"name": f"at{n}", "type": "datetime", "required": n % 2 == 0} for n in range(8)]}
+    for document in (EVENT_RULES, moments):
+        rules = parse_rules(document)
+        starts = checks.group_starts(rules)
+        assert starts[0] == 0 and list(starts) == sorted(set(starts)) and len(starts) > len(rules.fields) // 4
+        names = [r.name for r in rules.fields]
+        cells = F.struct(*[F.col("id").cast("string").alias(f"c{i}") for i in range(len(names))])
+        source = spark.range(1).select(F.col("id").cast("string").alias("key_file"), cells.alias("cells"))
+        at = {name: F.col(f"cells.c{i}") for i, name in enumerate(names)}
+        frame = validate(source, rules, keep=["key_file", "cells"], cells=at).staged("key_file", rejected_only=("cells",))
+        text = frame._sc._jvm.PythonSQLUtils.explainString(frame._jdf.queryExecution(), "codegen")
+        sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+        assert sizes and max(sizes) < 8000, sizes
+
+
 # -- predicates ------------------------------------------------------------------------------------
 
 SHIPMENTS = {

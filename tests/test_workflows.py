@@ -229,6 +229,51 @@ def test_hot_key_numbering(spark):
     assert seen["hot"] == 1001
 
 
+def test_numbering_with_known_counts(spark):
+    """Known counts give the same numbers, and the rows are read once instead of twice."""
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 50).cast("string")).alias("k"))
+    rows = rows.withColumn("stretch", F.floor(F.col("id") / 100))
+    counts = rows.groupBy("k", "stretch").agg(F.count("*").alias("n")).localCheckpoint()
+    plain = number_within(rows, "k", [F.col("stretch")], ["id"], first=2)
+    known = number_within(rows, "k", [F.col("stretch")], ["id"], first=2, counts=counts)
+    assert known.columns == plain.columns and known.exceptAll(plain).isEmpty() and known.count() == 3000
+    text = known._sc._jvm.PythonSQLUtils.explainString(known._jdf.queryExecution(), "simple")
+    assert text.count("Range (0, 3000") == 1
+
+
+def test_auto_numbers_over_parts_and_splits(spark, tmp_path):
+    """Rows of a key are numbered in input order over parts and their splits, and no path is shuffled with them."""
+    names = ["part-99999.csv", "part-100000.csv", "part-100001.csv"]
+    keys, parts = [f"k{n % 7}" if n % 3 else "hot" for n in range(900)], {}
+    for p, name in enumerate(names):
+        lines = [f"{keys[n]},{n}" if n % 2 else f"{keys[n]},x{n}" for n in range(300 * p, 300 * p + 300)]
+        parts[name] = "key,id\n" + "\n".join(lines) + "\n"
+    write(tmp_path / "main.csv", parts)
+    rules = parse_rules({"fields": [{"name": "id", "type": "int", "required": True}]})
+    split_bytes, shuffled = spark.conf.get("spark.sql.files.maxPartitionBytes"), []
+
+    def spied(df, key, chunk, order, first=1, counts=None):
+        shuffled.extend(df.columns)
+        return number_within(df, key, chunk, order, first, counts)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr("rulegate.plans.workflows.number_within", spied)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        try:
+            result = auto(spark, f"{tmp_path}/main.csv", rules, batch_size=2)
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split_bytes)
+    assert "path" not in shuffled and "split_start" in shuffled
+    expected, seen = [], {}
+    for n, key in enumerate(keys):
+        seen[key] = seen.get(key, 1) + 1
+        if n % 2 == 0:
+            expected.append([key, str(seen[key]), f"x{n}"])
+    body = [[r[0], r[1], r[-1]] for r in read_parts(f"{tmp_path}/errors")["errors"] if r[0] != "source_file"]
+    assert sorted(body) == sorted(expected)
+    assert (result.validation.summary.total_rows, result.batch_summary.total_rows) == (900, 450)
+
+
 def test_global_rank(spark):
     ranked = global_rank(spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v")), ["v"], "r")
     assert all(r.v == r.r for r in ranked.collect())
