@@ -5,20 +5,23 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StructType
 
 from rulegate.operators.numbering import global_rank, running_total
 from rulegate.operators.placement import task_size
 from rulegate.operators.sinks import write_typed
 from rulegate.rules import quoted
-from rulegate.session import Publication, absolute, dealt, job, matches, materialize, small_side
-from rulegate.sources.inventory import spot
-from rulegate.sources.parquet_files import NO_PARQUET, Footers, list_parquet, parquet_paths, row_counts, scanned_name, schemas
+from rulegate.session import Publication, absolute, dealt, escaped, job, materialize, small_side
+from rulegate.sources.inventory import matching, spot
+from rulegate.sources.parquet_files import NO_PARQUET, Footers, list_parquet, row_counts, schemas
 
 BATCH_FOLDER = "validation_batch"
 ROW_OVERHEAD = 64  # memory of a row in a sort besides its columns
 SPREAD = 4  # generous: how much larger a file's rows are in memory than compressed
 ROW_BYTES = 400
 RUNS_AT_ONCE = 200  # stretches of batches one scan picks out of the folder
+FILES_AT_ONCE = 20_000  # files one scan reads: the driver holds about two kilobytes for each
+SMALL_FILE = 1024 * 1024  # opening such a file costs more than keeping its rows
 
 
 class BatchError(RuntimeError):
@@ -68,10 +71,10 @@ def write_batches(rows: DataFrame, order: list[str], path: str, mode: str = "ove
 
 
 def written_rows(spark: SparkSession, path: str) -> int:
-    """Rows of an export folder, counted from its footers by Spark; 0 when there is none."""
-    if not matches(spark, f"{path.rstrip('/')}/{BATCH_FOLDER}=*"):
-        return 0
-    return spark.read.schema(f"{BATCH_FOLDER} string").parquet(path).count()
+    """Rows of an export folder, counted from its footers by Spark, a stretch of folders at a time."""
+    scan = spark.read.schema(f"{BATCH_FOLDER} string").option("basePath", path)
+    folders = matching(spark, f"{escaped(path.rstrip('/'))}/{BATCH_FOLDER}=*")
+    return sum(scan.parquet(*[escaped(p) for p in some]).count() for some in folders)
 
 
 @job
@@ -100,12 +103,11 @@ def batch_directory(
     files = materialize(files.withColumn("problem", F.coalesce("problem", torn)), "batch-files")
     problems = materialize(batch_problems(files), "batch-problems")
 
-    paths = parquet_paths(spark, input_dir)
     with Publication(spark, keep=not clear) as publication:
         staged, expected = publication.staged(output_dir), 0
         for fingerprint, runs in batch_runs(files, problems).items():
             for start in range(0, len(runs), RUNS_AT_ONCE):
-                expected += _write_runs(files, fingerprint, runs[start : start + RUNS_AT_ONCE], paths, staged)
+                expected += _write_runs(files, fingerprint, runs[start : start + RUNS_AT_ONCE], staged)
         arrived = written_rows(spark, staged)
         if arrived != expected:
             raise BatchError(f"batch phase failed: {arrived} rows written, {expected} rows in the input files")
@@ -146,24 +148,51 @@ def batch_runs(files: DataFrame, problems: DataFrame) -> dict[str, list]:
     return found
 
 
-def _write_runs(files: DataFrame, fingerprint: str, runs: list, paths: list[str], target: str) -> int:
-    """Write the batches of some runs of one schema and return the rows their files say they have.
-
-    One scan of the folder serves the counts, which end at the footers, and the rows; it opens no file outside the
-    runs. Rows are dealt to tasks by the memory a sort of them takes, as rows and sizes of their files tell: compressed
-    bytes alone say little about it.
-    """
-    spark = files.sparkSession
-    name = scanned_name(F.col("_metadata.file_path"))
-    picked, inside = F.lit(False), F.lit(False)
+def _write_runs(files: DataFrame, fingerprint: str, runs: list, target: str) -> int:
+    """Write the batches of some runs of one schema and return the rows their files say they have."""
+    picked = F.lit(False)
     for first, last in runs:
         picked = picked | F.col("file").between(first, last)
-        inside = inside | name.between(first, last)
     part = files.where(F.col("fingerprint") == fingerprint).where(picked)
-    one = part.orderBy("path").select("path").first().path
-    schema, required = spark.read.parquet(one).schema, Footers(spark).required(one)
-    scan = spark.read.schema(schema).parquet(*paths).where(inside)
-    counted = part.withColumn("spot", spot(F.col("path"))).join(row_counts(scan), "spot")
+    spark, one = files.sparkSession, part.orderBy("path").select("path").first().path
+    schema, required = spark.read.parquet(escaped(one)).schema, Footers(spark).required(one)
+    if part.count() <= FILES_AT_ONCE:
+        return _write_piece(part, schema, required, target)
+    cut = materialize(pieces(part, FILES_AT_ONCE), "batch-pieces")
+    last = cut.agg(F.max("piece")).first()[0]
+    return sum(_write_piece(cut.where(F.col("piece") == n), schema, required, target) for n in range(last + 1))
+
+
+def pieces(files: DataFrame, size: int) -> DataFrame:
+    """Add `piece` (from 0): whole batches, in order, of about `size` files together."""
+    counts = files.groupBy("batch_no").agg(F.count("*").alias("__files"))
+    placed = running_total(counts, ["batch_no"], "__files", "__files_before")
+    return files.join(placed.select("batch_no", F.floor(F.col("__files_before") / size).cast("int").alias("piece")), "batch_no")
+
+
+def _write_piece(part: DataFrame, schema: StructType, required: list[str], target: str) -> int:
+    """Write the batches of some files of one schema.
+
+    One scan that opens no other file serves the counts, which end at the footers, and the rows; the rows of small files
+    are kept, so that those are opened once. Rows are dealt to tasks by the memory a sort of them takes, as rows
+    and sizes of their files tell: compressed bytes alone say little about it.
+    """
+    spark = part.sparkSession
+    listed = part.select("path", "length").collect()
+    if not listed:
+        return 0
+    scan = spark.read.schema(schema).parquet(*[escaped(r.path) for r in listed])
+    rows = scan.select(
+        *[F.col(f"`{f.name}`") for f in schema.fields],
+        F.col("_metadata.file_path").alias("__scanned"),
+        F.col("_metadata.row_index").alias("__row"),
+    )
+    if sum(r.length for r in listed) < SMALL_FILE * len(listed):
+        rows = materialize(rows, "batch-rows")
+        counts = row_counts(rows, F.col("__scanned"))
+    else:
+        counts = row_counts(scan)
+    counted = part.withColumn("spot", spot(F.col("path"))).join(counts, "spot")
     counted = counted.select(F.col("scanned").alias("__scanned"), "batch_no", "file_rank", "path", "length", "num_rows")
     counted = materialize(counted.withColumn("memory", sort_memory(len(schema.fields))), "batch-counts")
     number, expected, memory = counted.agg(F.count("*"), F.coalesce(F.sum("num_rows"), F.lit(0)), F.sum("memory")).first()
@@ -171,11 +200,7 @@ def _write_runs(files: DataFrame, fingerprint: str, runs: list, paths: list[str]
         return 0
     size = task_size(memory, spark.sparkContext.defaultParallelism)
     plan = materialize(batch_plan(counted), "batch-plan")
-    rows = scan.select(
-        *[_required(f.name, f.dataType, required) for f in schema.fields],
-        F.col("_metadata.file_path").alias("__scanned"),
-        F.col("_metadata.row_index").alias("__row"),
-    )
+    rows = rows.select(*[_required(f.name, f.dataType, required) for f in schema.fields], "__scanned", "__row")
     placed = rows.join(small_side(plan, number, ROW_BYTES), "__scanned")
     inside = F.col("__memory_before") + F.col("__row") * F.col("__row_memory")
     offset = F.col("__batch_start") + F.when(F.col("__batch_memory") > size, inside).otherwise(0)

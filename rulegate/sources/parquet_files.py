@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import islice
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rulegate.functions.text import decode_path
 from rulegate.session import glob, matches, materialize, scratch_path
-from rulegate.sources.inventory import BETWEEN, entries, files_and_parts, is_hidden, spot
+from rulegate.sources.inventory import BETWEEN, entries_inside, files_and_parts, is_hidden, matching, spot, stretches
 
 PARQUET_GLOB = "*.[pP][aA][rR][qQ][uU][eE][tT]"
 SOURCE_FOLDER = "source_file="  # folders written by the directory jobs: one logical file each
@@ -37,11 +34,6 @@ def logical_parquet_name(path: Column) -> Column:
     )
 
 
-def scanned_name(path: Column) -> Column:
-    """Logical name of a file as `_metadata.file_path` spells it."""
-    return logical_parquet_name(decode_path(path))
-
-
 def parquet_paths(spark: SparkSession, directory: str) -> list[str]:
     """Globs of what Spark can read of a folder."""
     folder = directory.rstrip("/")
@@ -60,7 +52,8 @@ def list_parquet(spark: SparkSession, directory: str) -> DataFrame:
     # parts of a folder are Parquet files by their names; a bare folder is listed itself
     problem = F.when(F.col("hidden"), F.lit(UNREADABLE_NAME)).when(F.col("length") == 0, F.lit(NO_PARQUET))
     plain = plain.where(F.lower("path").endswith(".parquet")).select("path", "length", problem.alias("problem"))
-    parts = entries(spark, f"{folder}/{SOURCE_FOLDER}*/{PARQUET_GLOB}").where("NOT folder").where(~is_hidden(F.col("path")))
+    parts = entries_inside(spark, matching(spark, f"{folder}/{SOURCE_FOLDER}*"), PARQUET_GLOB)
+    parts = parts.where("NOT folder").where(~is_hidden(F.col("path")))
     parts = parts.select("path", "length", F.when(F.col("length") == 0, F.lit(NO_PARQUET)).alias("problem"))
     listed = plain.unionByName(parts).select("path", "length", logical_parquet_name(F.col("path")).alias("file"), "problem")
     known = glob(spark, f"{folder}/{SOURCES_TABLE}")
@@ -132,11 +125,6 @@ class Footers:
         return [f.getName() for f in self.schema(path).getFields() if f.getRepetition().toString() == "REQUIRED"]
 
 
-def stretches(rows: Iterator, size: int) -> Iterator[list]:
-    while part := list(islice(rows, size)):
-        yield part
-
-
 def schemas(listed: DataFrame) -> DataFrame:
     """path, fingerprint (NULL: no Parquet file) of the readable files of a listing; a scratch table.
 
@@ -153,12 +141,13 @@ def schemas(listed: DataFrame) -> DataFrame:
     return spark.read.schema(shape).parquet(table)
 
 
-def row_counts(scan: DataFrame) -> DataFrame:
+def row_counts(scan: DataFrame, path: Column | None = None) -> DataFrame:
     """scanned (the path as scans spell it), spot, num_rows of every file with rows of a scan.
 
-    No column is read, so the scan ends at the footers.
+    No column is read, so the scan ends at the footers; rows that are kept with the `path` of their file are counted by it.
     """
-    counted = scan.select(F.col("_metadata.file_path").alias("scanned")).groupBy("scanned").agg(F.count("*").alias("num_rows"))
+    path = F.col("_metadata.file_path") if path is None else path
+    counted = scan.select(path.alias("scanned")).groupBy("scanned").agg(F.count("*").alias("num_rows"))
     return counted.withColumn("spot", spot(decode_path(F.col("scanned"))))
 
 

@@ -1,5 +1,11 @@
 """Folders with more files than one scan reads: listed, read and batched a stretch at a time."""
 
+import os
+
+from pyspark.sql import functions as F
+
+from rulegate.operators import batch
+from rulegate.operators.batch import batch_directory
 from rulegate.plans.workflows import split_csv, validate_directory
 from rulegate.rules import parse_rules
 from rulegate.sources import csv_files, inventory
@@ -66,3 +72,22 @@ def test_split_validated_and_read_back(spark, tmp_path, monkeypatch):
     result = validate_directory(spark, f"{tmp_path}/split", parse_rules(RULES), f"{tmp_path}/ok", f"{tmp_path}/bad")
     assert (result.summary.files, result.summary.total_rows, result.summary.invalid_rows) == (len(KEYS), len(lines), len(KEYS))
     assert spark.read.parquet(f"{tmp_path}/ok").count() == 2 * len(KEYS)
+
+
+def test_batches_are_written_some_files_at_a_time(spark, tmp_path, monkeypatch):
+    rows = spark.range(60).select("id", F.concat(F.lit("s"), (F.col("id") % 10).cast("string")).alias("source_file"))
+    rows.repartition(2).write.partitionBy("source_file").parquet(f"{tmp_path}/in")
+    monkeypatch.setattr(inventory, "STRETCH", 3)
+    monkeypatch.setattr(batch, "FILES_AT_ONCE", 5)
+    seen, write = [], batch._write_piece
+    monkeypatch.setattr(batch, "_write_piece", lambda part, *rest: seen.append(part.count()) or write(part, *rest))
+    parts = sum(f.endswith(".parquet") for _, _, names in os.walk(tmp_path / "in") for f in names)
+    for small in (0, batch.SMALL_FILE):  # counted from footers, and from kept rows
+        monkeypatch.setattr(batch, "SMALL_FILE", small)
+        seen.clear()
+        summary = batch_directory(spark, f"{tmp_path}/in", f"{tmp_path}/out", 2)
+        assert (summary.input_files, summary.batches, summary.total_rows) == (10, 5, 60)
+        assert sum(seen) == parts and len(seen) > 1 and max(seen) < parts
+        out = spark.read.parquet(f"{tmp_path}/out").groupBy("validation_batch").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+        found = {r.validation_batch: r.ids for r in out.collect()}
+        assert found == {b: sorted(i for i in range(60) if i % 10 // 2 == b - 1) for b in range(1, 6)}
